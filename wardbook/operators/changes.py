@@ -107,7 +107,7 @@ def move_roster(base: DataFrame, moves: DataFrame, order: str = "request_id") ->
         .agg(
             F.sum("leaving").alias("leaving"),
             F.sum("standing").alias("standing"),
-            F.count_if("leaving > 0").alias("units"),
+            F.count_if(F.col("leaving") > 0).alias("units"),
             F.bool_or(F.expr("leaving > 0 and standing > 0")).alias("same_unit"),
         )
         .withColumn("status", F.when(F.col("leaving") == 0, "moved")

@@ -36,12 +36,33 @@ from wardbook.operators.quality import outside_domain
 PATIENT_KIND = "paciente"  # fixed value: kind of a registration request, beside the staff roles
 
 
+Types = Mapping[str, "str | T.DataType"]
+NO_TYPES: Types = MappingProxyType({})
+
+
 @dataclass(frozen=True)
 class Outcome:
-    """Accepted rows and rejected requests (request columns plus ``reason``)."""
+    """A judged batch: ``accepted`` rows with cast values, ``rejected`` requests as given.
+
+    ``labelled`` is the whole batch as given with ``reason``, NULL for accepted ones.
+    """
+
+    judged: DataFrame
+    columns: Sequence[str]
+    types: Types = NO_TYPES
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.judged.where("reason is null").select(*self.columns)
 
-    accepted: DataFrame
-    rejected: DataFrame
+    @property
+    def labelled(self) -> DataFrame:
+        given = [F.col(_as_given(c, self.types)).alias(c) for c in self.columns]
+        return self.judged.select(*given, "reason")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.labelled.where("reason is not null")
 
 
 def apply_defaults(df: DataFrame, defaults: Mapping[str, Column], id_column: str | None = None,
@@ -56,10 +77,6 @@ def apply_defaults(df: DataFrame, defaults: Mapping[str, Column], id_column: str
     return df
 
 
-Types = Mapping[str, "str | T.DataType"]
-NO_TYPES: Types = MappingProxyType({})
-
-
 def typed(batch: DataFrame, types: Types) -> DataFrame:
     """Casts columns without failing: a value that cannot be cast becomes NULL.
 
@@ -91,15 +108,6 @@ def _unknown(flag: str) -> Column:
     return F.col(flag).isNull()
 
 
-def _split(judged: DataFrame, columns: Sequence[str], types: Types = NO_TYPES) -> Outcome:
-    """Accepted rows with their cast values, rejected requests as they were given."""
-    given = [F.col(_as_given(c, types)).alias(c) for c in columns]
-    return Outcome(
-        judged.where("reason is null").select(*columns),
-        judged.where("reason is not null").select(*given, "reason"),
-    )
-
-
 @dataclass(frozen=True)
 class Parent:
     """A reference a request must satisfy: its column, the parent's keys, the reason otherwise."""
@@ -132,7 +140,7 @@ def judge_typed(judged: DataFrame, parents: Sequence[Parent], rules: Mapping[str
 def validated_append(batch: DataFrame, parents: Sequence[Parent], rules: Mapping[str, Column],
                      required: Sequence[str], types: Types = NO_TYPES) -> Outcome:
     """Accepts the requests whose parents exist and whose rules hold."""
-    return _split(judge(batch, parents, rules, required, types), batch.columns, types)
+    return Outcome(judge(batch, parents, rules, required, types), batch.columns, types)
 
 
 ENCOUNTER_FIELDS = ("started_at", "minutes", "patient_id", "resident_id", "supervisor_id", "unit_id")
@@ -160,7 +168,10 @@ def register_units(batch: DataFrame) -> Outcome:
 
 
 def first_of(batch: DataFrame, key: Sequence[str], order: Sequence[str], *carry: str) -> DataFrame:
-    """Per non-NULL key the first row in ``order``: key columns plus struct ``_first``."""
+    """Per non-NULL key the first row in ``order``: key columns plus struct ``_first``.
+
+    ``order`` must tell any two requests apart, as the default, a request id, does.
+    """
     return (
         batch.dropna(subset=list(key)).groupBy(*key)
         .agg(F.min(F.struct(*order, *carry)).alias("_first"))
@@ -186,14 +197,44 @@ PERSON_TYPES = {"birth_date": "date", "hired_on": "date"}
 
 @dataclass(frozen=True)
 class People:
-    """Rows for each table out of one batch of registrations, and the refused requests."""
+    """Rows for each table out of one batch of registrations, and what became of the requests."""
+
+    requests: Outcome
+
+    @property
+    def _taken(self) -> DataFrame:
+        return self.requests.accepted.withColumn("person_id", stable_id("cpf"))
+
+    def _of_kind(self, *kinds: str) -> DataFrame:
+        return self._taken.where(F.col("kind").isin(*kinds))
+
+    @property
+    def person(self) -> DataFrame:
+        return self._taken.select("person_id", "name", "cpf", "birth_date", F.lit(True).alias("is_fan"), "phone")
+
+    @property
+    def patient(self) -> DataFrame:
+        return self._of_kind(PATIENT_KIND).select(
+            F.col("person_id").alias("patient_id"), "plan", "allergies", "blood_group")
+
+    @property
+    def staff(self) -> DataFrame:
+        return self._of_kind(*ROLES).select(
+            F.col("person_id").alias("staff_id"), "crm", "hired_on", "specialty", F.col("kind").alias("role"))
 
-    person: DataFrame
-    patient: DataFrame
-    staff: DataFrame
-    resident: DataFrame
-    supervisor: DataFrame
-    rejected: DataFrame
+    @property
+    def resident(self) -> DataFrame:
+        return self._of_kind(RESIDENT).select(
+            F.col("person_id").alias("resident_id"), F.col("kind").alias("role"), "year")
+
+    @property
+    def supervisor(self) -> DataFrame:
+        return self._of_kind(SUPERVISOR).select(
+            F.col("person_id").alias("supervisor_id"), F.col("kind").alias("role"), "title")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.requests.rejected
 
 
 def judge_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of: date) -> DataFrame:
@@ -236,21 +277,7 @@ def register_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as
     blood_group, crm, hired_on, specialty, year, title. Ids of new persons are
     digests of the cpf, so that a repeated run gives the same rows.
     """
-    judged = judge_people(requests, person, staff, as_of)
-    taken = judged.where("reason is null").withColumn("person_id", stable_id("cpf"))
-    staff_rows = taken.where(F.col("kind").isin(*ROLES))
-    return People(
-        person=taken.select("person_id", "name", "cpf", "birth_date", F.lit(True).alias("is_fan"), "phone"),
-        patient=taken.where(F.col("kind") == PATIENT_KIND).select(
-            F.col("person_id").alias("patient_id"), "plan", "allergies", "blood_group"),
-        staff=staff_rows.select(
-            F.col("person_id").alias("staff_id"), "crm", "hired_on", "specialty", F.col("kind").alias("role")),
-        resident=staff_rows.where(F.col("kind") == RESIDENT).select(
-            F.col("person_id").alias("resident_id"), F.col("kind").alias("role"), "year"),
-        supervisor=staff_rows.where(F.col("kind") == SUPERVISOR).select(
-            F.col("person_id").alias("supervisor_id"), F.col("kind").alias("role"), "title"),
-        rejected=_split(judged, requests.columns, PERSON_TYPES).rejected,
-    )
+    return People(Outcome(judge_people(requests, person, staff, as_of), requests.columns, PERSON_TYPES))
 
 
 # An item of an encounter bundle, read as text first so that a malformed number
@@ -262,9 +289,22 @@ ITEM_FIELDS = {
 
 @dataclass(frozen=True)
 class Bundles:
-    encounters: DataFrame
-    performed: DataFrame
-    rejected: DataFrame
+    """Encounter and performed rows of the accepted bundles, and what became of the requests."""
+
+    requests: Outcome
+
+    @property
+    def encounters(self) -> DataFrame:
+        return self.requests.judged.where("reason is null").select("encounter_id", *ENCOUNTER_FIELDS)
+
+    @property
+    def performed(self) -> DataFrame:
+        items = self.requests.judged.where("reason is null").select("encounter_id", F.explode("_items").alias("i"))
+        return items.select("encounter_id", "i.procedure_id", "i.quantity", "i.minutes", "i.started_at", "i.note")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.requests.rejected
 
 
 def _read_items(batch: DataFrame, procedure_id_type: T.DataType) -> DataFrame:
@@ -328,14 +368,7 @@ def register_encounter_bundle(batch: DataFrame, refs: Tables) -> Bundles:
     minutes, started_at, note). Quantity defaults to 1 and the start to that of
     the encounter; NULL or an empty list is an encounter without procedures.
     """
-    judged = judge_bundles(batch, refs)
-    taken = judged.where("reason is null")
-    return Bundles(
-        encounters=taken.select("encounter_id", *ENCOUNTER_FIELDS),
-        performed=taken.select("encounter_id", F.explode("_items").alias("i")).select(
-            "encounter_id", "i.procedure_id", "i.quantity", "i.minutes", "i.started_at", "i.note"),
-        rejected=_split(judged, batch.columns, ENCOUNTER_TYPES).rejected,
-    )
+    return Bundles(Outcome(judge_bundles(batch, refs), batch.columns, ENCOUNTER_TYPES))
 
 
 PAIR = ("encounter_id", "procedure_id")
@@ -373,7 +406,7 @@ def register_performed(batch: DataFrame, refs: Tables, order: Sequence[str] = ("
     requests for a pair the first in ``order`` wins.
     """
     columns = list(dict.fromkeys([*batch.columns, "quantity"]))
-    return _split(judge_performed(batch, refs, order), columns, PERFORMED_TYPES)
+    return Outcome(judge_performed(batch, refs, order), columns, PERFORMED_TYPES)
 
 
 def judge_bills(requests: DataFrame, performed: DataFrame, billing: DataFrame, as_of: date,
@@ -398,7 +431,7 @@ def bill_procedures(requests: DataFrame, performed: DataFrame, billing: DataFram
     the pair. Of several valid requests for a pair the first in ``order`` wins.
     """
     columns = list(dict.fromkeys([*requests.columns, "issued_on", "billing_id"]))
-    return _split(judge_bills(requests, performed, billing, as_of, order), columns, BILLING_TYPES)
+    return Outcome(judge_bills(requests, performed, billing, as_of, order), columns, BILLING_TYPES)
 
 
 SLOT = ("resident_id", "weekday", "turn")
@@ -454,4 +487,4 @@ def assign_roster(batch: DataFrame, base: DataFrame, refs: Tables | None = None,
     after the other" needs no loop. Requests that are invalid in themselves are
     put aside first and cannot keep a valid one out.
     """
-    return _split(label_roster(batch, base, refs, order), batch.columns)
+    return Outcome(label_roster(batch, base, refs, order), batch.columns)

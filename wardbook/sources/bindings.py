@@ -9,6 +9,8 @@ unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,60 +107,102 @@ def risk_of(size: str) -> Column:
     return F.when(F.col(size) <= 16, "BAIXO").when(F.col(size) <= 33, "MEDIO").otherwise("ALTO")
 
 
-def orders_clinic(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+class Clinic(Mapping):
+    """Tables built when they are first asked for: a query pays only for what it reads."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._builders
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def orders_clinic(spark: SparkSession, directory: str) -> Clinic:
     """Patients are customers, staff are suppliers, encounters orders, procedures parts."""
-    customer, supplier, nation, part, orders, lineitem = read_raw(
-        spark, directory, "customer", "supplier", "nation", "part", "orders", "lineitem")
-
-    patient = customer.select(
-        F.col("c_custkey").alias("patient_id"),
-        F.col("c_name").alias("name"),
-        F.lpad(F.col("c_custkey").cast("string"), 11, "0").alias("cpf"),
-        F.col("c_mktsegment").alias("plan"),
-        (F.col("c_mktsegment") == "BUILDING").alias("is_fan"),
-    )
-    staff = supplier.select(
-        F.col("s_suppkey").alias("staff_id"),
-        F.col("s_name").alias("name"),
-        F.lpad(F.col("s_suppkey").cast("string"), 11, "0").alias("cpf"),
-        F.concat(F.lit("CRM "), F.col("s_suppkey")).alias("crm"),
-        F.col("s_nationkey").cast("string").alias("specialty"),
-        F.when(F.col("s_suppkey") % 2 == 0, RESIDENT).otherwise(SUPERVISOR).alias("role"),
-    )
-    people = staff.select("staff_id", "name", "specialty", "role")
-    resident = people.where(F.col("role") == RESIDENT).select(
-        F.col("staff_id").alias("resident_id"), "name", "specialty",
-        F.concat(F.lit("R"), 1 + F.col("staff_id") % 3).alias("year"),
-    )
-    supervisor = people.where(F.col("role") == SUPERVISOR).select(
-        F.col("staff_id").alias("supervisor_id"), "name", "specialty",
-        F.when(F.col("staff_id") % 3 == 0, " Doutor ")
-        .when(F.col("staff_id") % 3 == 1, "Mestre").otherwise("Especialista").alias("title"),
-    )
-    unit = nation.select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("name"))
-    procedure = part.select(
-        F.col("p_partkey").alias("procedure_id"),
-        F.col("p_brand").alias("code"),
-        F.col("p_name").alias("name"),
-        F.col("p_size").alias("expected_minutes"),
-        risk_of("p_size").alias("risk"),
-    )
-    encounter = (
-        encounter_requests(orders, customer, lineitem)
-        .where("resident_id is not null and supervisor_id is not null")
-        .select("encounter_id", "started_at", (1 + F.col("price") % 90).cast("int").alias("minutes"),
-                "patient_id", "resident_id", "supervisor_id", "unit_id")
-    )
-    lines = performed_lines(lineitem).join(encounter.select("encounter_id"), "encounter_id", "left_semi")
-    billing = lines.where("flag = 'R'").select(
-        F.concat_ws("-", "encounter_id", "procedure_id").alias("billing_id"),
-        "encounter_id", "procedure_id", "amount", F.col("started_at").cast("date").alias("issued_on"),
-    )
-    return {
-        "patient": patient, "staff": staff, "resident": resident, "supervisor": supervisor, "unit": unit,
-        "procedure": procedure, "encounter": encounter, "performed": lines.drop("amount", "flag"),
-        "billing": billing,
-    }
+
+    def raw(name: str) -> DataFrame:
+        return read_raw(spark, directory, name)[0]
+
+    def patient() -> DataFrame:
+        return raw("customer").select(
+            F.col("c_custkey").alias("patient_id"),
+            F.col("c_name").alias("name"),
+            F.lpad(F.col("c_custkey").cast("string"), 11, "0").alias("cpf"),
+            F.col("c_mktsegment").alias("plan"),
+            (F.col("c_mktsegment") == "BUILDING").alias("is_fan"),
+        )
+
+    def staff() -> DataFrame:
+        return raw("supplier").select(
+            F.col("s_suppkey").alias("staff_id"),
+            F.col("s_name").alias("name"),
+            F.lpad(F.col("s_suppkey").cast("string"), 11, "0").alias("cpf"),
+            F.concat(F.lit("CRM "), F.col("s_suppkey")).alias("crm"),
+            F.col("s_nationkey").cast("string").alias("specialty"),
+            F.when(F.col("s_suppkey") % 2 == 0, RESIDENT).otherwise(SUPERVISOR).alias("role"),
+        )
+
+    def resident() -> DataFrame:
+        return clinic["staff"].where(F.col("role") == RESIDENT).select(
+            F.col("staff_id").alias("resident_id"), "name", "specialty",
+            F.concat(F.lit("R"), 1 + F.col("staff_id") % 3).alias("year"),
+        )
+
+    def supervisor() -> DataFrame:
+        return clinic["staff"].where(F.col("role") == SUPERVISOR).select(
+            F.col("staff_id").alias("supervisor_id"), "name", "specialty",
+            F.when(F.col("staff_id") % 3 == 0, " Doutor ")
+            .when(F.col("staff_id") % 3 == 1, "Mestre").otherwise("Especialista").alias("title"),
+        )
+
+    def unit() -> DataFrame:
+        return raw("nation").select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("name"))
+
+    def procedure() -> DataFrame:
+        return raw("part").select(
+            F.col("p_partkey").alias("procedure_id"),
+            F.col("p_brand").alias("code"),
+            F.col("p_name").alias("name"),
+            F.col("p_size").alias("expected_minutes"),
+            risk_of("p_size").alias("risk"),
+        )
+
+    def encounter() -> DataFrame:
+        return (
+            encounter_requests(*read_raw(spark, directory, "orders", "customer", "lineitem"))
+            .where("resident_id is not null and supervisor_id is not null")
+            .select("encounter_id", "started_at", (1 + F.col("price") % 90).cast("int").alias("minutes"),
+                    "patient_id", "resident_id", "supervisor_id", "unit_id")
+        )
+
+    def lines() -> DataFrame:
+        encounters = clinic["encounter"].select("encounter_id")
+        return performed_lines(raw("lineitem")).join(encounters, "encounter_id", "left_semi")
+
+    def performed() -> DataFrame:
+        return lines().drop("amount", "flag")
+
+    def billing() -> DataFrame:
+        return lines().where("flag = 'R'").select(
+            F.concat_ws("-", "encounter_id", "procedure_id").alias("billing_id"),
+            "encounter_id", "procedure_id", "amount", F.col("started_at").cast("date").alias("issued_on"),
+        )
+
+    builders = (patient, staff, resident, supervisor, unit, procedure, encounter, performed, billing)
+    clinic = Clinic({build.__name__: build for build in builders})
+    return clinic
 
 
 def roster_requests(events: DataFrame) -> DataFrame:
@@ -183,30 +227,45 @@ def first_slots(requests: DataFrame) -> DataFrame:
     )
 
 
-def duty_clinic(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+def duty_clinic(spark: SparkSession, directory: str) -> Clinic:
     """Rosters and stays from events, with their own residents, patients and units."""
-    (events,) = read_raw(spark, directory, "events")
-    users = events.select("user_id").distinct()
-    resident = users.select(
-        F.col("user_id").alias("resident_id"),
-        F.concat(F.lit("Resident#"), "user_id").alias("name"),
-        F.concat(F.lit("R"), 1 + F.col("user_id") % 3).alias("year"),
-    )
-    patient = users.select(
-        F.col("user_id").alias("patient_id"), F.concat(F.lit("Patient#"), "user_id").alias("name"))
-    unit = events.select(F.col("event_type").alias("unit_id")).distinct().withColumn("name", F.col("unit_id"))
-    stay = events.select(
-        F.col("event_id").alias("stay_id"),
-        F.col("user_id").alias("patient_id"),
-        F.col("event_type").alias("unit_id"),
-        F.col("ts").alias("entered_at"),
-        F.when(F.col("event_type") != "error",
-               F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int"))).alias("left_at"),
-        F.col("props").alias("reason"),
-    )
-    requests = roster_requests(events)
-    return {
-        "resident": resident, "patient": patient, "unit": unit, "stay": stay,
-        "supervisor": orders_clinic(spark, directory)["supervisor"],
-        "requests": requests, "roster": first_slots(requests),
-    }
+
+    def events() -> DataFrame:
+        return read_raw(spark, directory, "events")[0]
+
+    def resident() -> DataFrame:
+        return events().select("user_id").distinct().select(
+            F.col("user_id").alias("resident_id"),
+            F.concat(F.lit("Resident#"), "user_id").alias("name"),
+            F.concat(F.lit("R"), 1 + F.col("user_id") % 3).alias("year"),
+        )
+
+    def patient() -> DataFrame:
+        return events().select("user_id").distinct().select(
+            F.col("user_id").alias("patient_id"), F.concat(F.lit("Patient#"), "user_id").alias("name"))
+
+    def unit() -> DataFrame:
+        return events().select(F.col("event_type").alias("unit_id")).distinct().withColumn("name", F.col("unit_id"))
+
+    def supervisor() -> DataFrame:
+        return orders_clinic(spark, directory)["supervisor"]
+
+    def stay() -> DataFrame:
+        length = F.make_dt_interval(mins=F.floor("value").cast("int"))
+        return events().select(
+            F.col("event_id").alias("stay_id"),
+            F.col("user_id").alias("patient_id"),
+            F.col("event_type").alias("unit_id"),
+            F.col("ts").alias("entered_at"),
+            F.when(F.col("event_type") != "error", F.col("ts") + length).alias("left_at"),
+            F.col("props").alias("reason"),
+        )
+
+    def requests() -> DataFrame:
+        return roster_requests(events())
+
+    def roster() -> DataFrame:
+        return first_slots(requests())
+
+    builders = (resident, patient, unit, supervisor, stay, requests, roster)
+    return Clinic({build.__name__: build for build in builders})
