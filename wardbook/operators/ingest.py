@@ -10,7 +10,7 @@ over the group: a key asked for by a third of all requests stays spread out.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 from types import MappingProxyType
 
@@ -32,6 +32,7 @@ from wardbook.model import (
     WEEKDAYS,
 )
 from wardbook.operators.quality import outside_domain
+from wardbook.session import new_run_dir
 
 PATIENT_KIND = "paciente"  # fixed value: kind of a registration request, beside the staff roles
 
@@ -64,6 +65,17 @@ class Outcome:
     def rejected(self) -> DataFrame:
         return self.labelled.where("reason is not null")
 
+    def settled(self) -> Outcome:
+        """The same outcome from a table in the shared folder.
+
+        For outcomes that feed several tables: the batch is judged once, here, and
+        not again for every table written from it.
+        """
+        spark = self.judged.sparkSession
+        path = new_run_dir(spark, "outcome")
+        self.judged.write.parquet(path)
+        return replace(self, judged=spark.read.schema(self.judged.schema).parquet(path))
+
 
 def apply_defaults(df: DataFrame, defaults: Mapping[str, Column], id_column: str | None = None,
                    id_from: Sequence[str] = ()) -> DataFrame:
@@ -236,6 +248,9 @@ class People:
     def rejected(self) -> DataFrame:
         return self.requests.rejected
 
+    def settled(self) -> People:
+        return People(self.requests.settled())
+
 
 def judge_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of: date) -> DataFrame:
     """The requests, dates cast, with ``reason``; see :func:`register_people`."""
@@ -306,6 +321,9 @@ class Bundles:
     def rejected(self) -> DataFrame:
         return self.requests.rejected
 
+    def settled(self) -> Bundles:
+        return Bundles(self.requests.settled())
+
 
 def _read_items(batch: DataFrame, procedure_id_type: T.DataType) -> DataFrame:
     """``items`` (JSON text or array of structs) as ``_items``: typed structs with a ``bad`` flag."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wardbook.model import HOSPITAL, RESIDENT, SUPERVISOR, UNIT_KINDS
 from wardbook.operators import analytics, changes, ingest, listings, quality
 from wardbook.plans import surface
-from wardbook.session import new_run_dir
+from wardbook.session import configure, new_run_dir
 from wardbook.sources.bindings import (
     TEST_SCHEMAS,
     duty_clinic,
@@ -40,7 +40,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
-        QUERIES[name] = lambda spark, directory: plain_numbers(build(spark, directory))
+        QUERIES[name] = lambda spark, directory: plain_numbers(build(configure(spark), directory))
         return build
     return register
 
@@ -198,7 +198,7 @@ def b9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("B9_register_people_rows")
 def b9_rows(spark: SparkSession, d: str) -> DataFrame:
-    people = ingest.register_people(*registrations(spark, d), ORDERS_AS_OF)
+    people = ingest.register_people(*registrations(spark, d), ORDERS_AS_OF).settled()
     parts = [
         people.person.select(F.lit("person").alias("table_name"), "person_id", F.col("name").alias("detail")),
         people.patient.select(F.lit("patient"), "patient_id", "plan"),

@@ -21,6 +21,13 @@ SETTINGS = {
 SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Applies the settings above to a session that somebody else built."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "wardbook", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -30,20 +37,24 @@ def build_session(app: str = "wardbook", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a fresh temporary folder; on a
-    cluster a machine-local folder would lose data, so a missing setting is an error.
+    A local session without the setting gets a temporary folder; on a cluster a
+    machine-local folder would lose data, so a missing setting is an error.
     """
-    named = spark.conf.get(SHARED_DIR_SETTING, None)
+    context = spark.sparkContext
+    named = spark.conf.get(SHARED_DIR_SETTING, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {SHARED_DIR_SETTING} to a folder all executors can reach")
-    named = tempfile.mkdtemp(prefix="wardbook-")
-    spark.conf.set(SHARED_DIR_SETTING, named)
-    return named
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="wardbook-")
+    return _local_dirs[context.applicationId]
 
 
 def new_run_dir(spark: SparkSession, job: str) -> str:

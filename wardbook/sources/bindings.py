@@ -69,6 +69,10 @@ def lead_staff(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def with_both(orders: DataFrame) -> DataFrame:
+    return orders.where("resident_id is not null and supervisor_id is not null")
+
+
 def encounter_requests(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Every order as an encounter; resident or supervisor stay NULL where no line names one."""
     return (
@@ -182,14 +186,17 @@ def orders_clinic(spark: SparkSession, directory: str) -> Clinic:
     def encounter() -> DataFrame:
         return (
             encounter_requests(*read_raw(spark, directory, "orders", "customer", "lineitem"))
-            .where("resident_id is not null and supervisor_id is not null")
+            .transform(with_both)
             .select("encounter_id", "started_at", (1 + F.col("price") % 90).cast("int").alias("minutes"),
                     "patient_id", "resident_id", "supervisor_id", "unit_id")
         )
 
     def lines() -> DataFrame:
-        encounters = clinic["encounter"].select("encounter_id")
-        return performed_lines(raw("lineitem")).join(encounters, "encounter_id", "left_semi")
+        # Every line's order exists and every order's customer does, so the lines of
+        # an encounter are those of an order with both kinds of staff.
+        lineitem = raw("lineitem")
+        staffed = with_both(lead_staff(lineitem)).select("encounter_id")
+        return performed_lines(lineitem).join(staffed, "encounter_id", "left_semi")
 
     def performed() -> DataFrame:
         return lines().drop("amount", "flag")
