@@ -194,12 +194,10 @@ def _is_first(order: Sequence[str]) -> Column:
     return F.struct(*order).eqNullSafe(F.struct(*(F.col(f"_first.{c}").alias(c) for c in order)))
 
 
-def _mark_first(batch: DataFrame, key: Sequence[str], order: Sequence[str], flag: str,
-                among: Column | None = None) -> DataFrame:
-    """Adds ``flag``: whether the row is the first of its key (among the rows meeting a condition)."""
-    candidates = batch if among is None else batch.where(among)
+def _mark_first(batch: DataFrame, key: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
+    """Adds ``flag``: whether the row is the first of its key."""
     return (
-        batch.join(first_of(candidates, key, order), list(key), "left")
+        batch.join(first_of(batch, key, order), list(key), "left")
         .withColumn(flag, _is_first(order)).drop("_first")
     )
 
@@ -392,29 +390,41 @@ def register_encounter_bundle(batch: DataFrame, refs: Tables) -> Bundles:
 PAIR = ("encounter_id", "procedure_id")
 
 
-def _first_valid_pair_wins(judged: DataFrame, taken: DataFrame, order: Sequence[str], reason: str) -> DataFrame:
-    """Refuses valid requests for a pair that is taken or that an earlier valid request asked for."""
-    valid = F.col("reason").isNull()
-    judged = _mark_known(judged, PAIR, distinct_keys(taken, *PAIR), "_taken")
-    judged = _mark_first(judged, PAIR, order, "_first_valid", among=valid & F.col("_taken").isNull())
-    repeated = F.col("_taken").isNotNull() | ~F.coalesce(F.col("_first_valid"), F.lit(False))
-    return judged.withColumn("reason", F.when(valid & repeated, F.lit(reason)).otherwise(F.col("reason")))
-
-
 PERFORMED_TYPES = {"quantity": "int", "minutes": "int", "started_at": "timestamp_ntz"}
 BILLING_TYPES = {"amount": "decimal(10,2)", "issued_on": "date"}
 
 
+def _with_pair_facts(batch: DataFrame, valid: Column, order: Sequence[str],
+                     known: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """The batch with what holds for its pair: a flag per known key, and ``_is_first``.
+
+    ``_is_first`` marks the first ``valid`` row of a pair. Facts are looked up once
+    per distinct pair, however often the pair is asked for, and joined back once.
+    """
+    first = F.min(F.when(valid, F.struct(*order))).alias("_first")
+    pairs = batch.dropna(subset=list(PAIR)).groupBy(*PAIR).agg(first)
+    for flag, (df, columns) in known.items():
+        pairs = _mark_known(pairs, columns, distinct_keys(df, *columns), flag)
+    return batch.join(pairs, list(PAIR), "left").withColumn("_is_first", _is_first(order))
+
+
 def judge_performed(batch: DataFrame, refs: Tables, order: Sequence[str] = ("request_id",)) -> DataFrame:
     """The batch, defaults filled and values cast, with ``reason``; see :func:`register_performed`."""
-    filled = apply_defaults(batch, {"quantity": F.lit(1)})
-    parents = [
-        Parent("encounter_id", refs["encounter"], "encounter_id", "encounter_not_found"),
-        Parent("procedure_id", refs["procedure"], "procedure_id", "procedure_not_found"),
-    ]
-    rules = {"invalid_quantity": F.col("quantity") > 0, "invalid_minutes": F.col("minutes") > 0}
-    judged = judge(filled, parents, rules, (*PAIR, "minutes", "started_at"), PERFORMED_TYPES)
-    return _first_valid_pair_wins(judged, refs["performed"], order, "already_registered")
+    filled = typed(apply_defaults(batch, {"quantity": F.lit(1)}), PERFORMED_TYPES)
+    fields = _field_reasons((*PAIR, "minutes", "started_at"), PERFORMED_TYPES)
+    values = [(F.col("quantity") <= 0, "invalid_quantity"), (F.col("minutes") <= 0, "invalid_minutes")]
+    facts = _with_pair_facts(filled, first_failure([*fields, *values]).isNull(), order, {
+        "_encounter": (refs["encounter"], PAIR[:1]),
+        "_procedure": (refs["procedure"], PAIR[1:]),
+        "_taken": (refs["performed"], PAIR),
+    })
+    return facts.withColumn("reason", first_failure([
+        *fields,
+        (_unknown("_encounter"), "encounter_not_found"),
+        (_unknown("_procedure"), "procedure_not_found"),
+        *values,
+        (F.col("_taken") | ~F.col("_is_first"), "already_registered"),
+    ]))
 
 
 def register_performed(batch: DataFrame, refs: Tables, order: Sequence[str] = ("request_id",)) -> Outcome:
@@ -430,14 +440,16 @@ def register_performed(batch: DataFrame, refs: Tables, order: Sequence[str] = ("
 def judge_bills(requests: DataFrame, performed: DataFrame, billing: DataFrame, as_of: date,
                 order: Sequence[str] = ("request_id",)) -> DataFrame:
     """The requests, defaults filled and values cast, with ``reason``; see :func:`bill_procedures`."""
-    filled = apply_defaults(requests, {"issued_on": F.lit(as_of)}, "billing_id", PAIR)
-    judged = _mark_known(typed(filled, BILLING_TYPES), PAIR, distinct_keys(performed, *PAIR), "_performed")
-    judged = judged.withColumn("reason", first_failure([
-        *_field_reasons((*PAIR, "amount"), BILLING_TYPES),
-        (F.col("amount") <= 0, "invalid_amount"),
+    filled = typed(apply_defaults(requests, {"issued_on": F.lit(as_of)}, "billing_id", PAIR), BILLING_TYPES)
+    own = [*_field_reasons((*PAIR, "amount"), BILLING_TYPES), (F.col("amount") <= 0, "invalid_amount")]
+    facts = _with_pair_facts(filled, first_failure(own).isNull(), order, {
+        "_performed": (performed, PAIR), "_billed": (billing, PAIR),
+    })
+    return facts.withColumn("reason", first_failure([
+        *own,
         (_unknown("_performed"), "not_found"),
+        (F.col("_billed") | ~F.col("_is_first"), "already_billed"),
     ]))
-    return _first_valid_pair_wins(judged, billing, order, "already_billed")
 
 
 def bill_procedures(requests: DataFrame, performed: DataFrame, billing: DataFrame, as_of: date,

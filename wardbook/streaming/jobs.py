@@ -17,17 +17,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wardbook.functions import ratio
 from wardbook.functions.frames import Tables
 from wardbook.operators.changes import audit_entries
-from wardbook.operators.ingest import SLOT, against_standing, judge_slots
+from wardbook.operators.ingest import against_standing, judge_slots
 from wardbook.session import new_run_dir
 
 
 def read_files(spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet",
-               files_per_batch: int | None = None) -> DataFrame:
-    """A stream over the Parquet files of a folder, oldest first."""
+               files_per_batch: int | None = None, bytes_per_batch: str = "1g") -> DataFrame:
+    """A stream over the Parquet files of a folder, oldest first.
+
+    Micro-batches are bounded in bytes (or in files), also when a long backlog is
+    worked off: what a stateful operator sees at once of a hot key is bounded too.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(directory)
+        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(directory)
+    return reader.option("maxBytesPerTrigger", bytes_per_batch).parquet(directory)
 
 
 def run_to_table(stream: DataFrame, job: str, directory: str | None = None) -> DataFrame:
@@ -100,41 +104,50 @@ def current_means(versions: DataFrame) -> DataFrame:
 
 
 def _arbitrate(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Labels the requests for one slot; the state is the unit that holds it.
+    """Labels one resident's requests; the state is the unit that holds each slot of the week.
 
-    Chunks arrive unordered. Only in the micro-batch that first asks for a slot
-    must they be held back, until the earliest request is known.
+    Chunks arrive unordered, so those of a micro-batch are held back until the
+    earliest request for every slot that was still free is known.
     """
-    first = None
-    if state.exists:
-        (holder,) = state.get
-    else:
-        chunks = list(chunks)
-        first, holder = min(
-            (c["request_id"].iloc[i], c["unit_id"].iloc[i]) for c in chunks for i in [c["request_id"].argmin()])
-        state.update((holder,))
-    for chunk in chunks:
-        reason = chunk["unit_id"].eq(holder).map({True: "duplicate_slot", False: "overlap"}).astype(object)
-        if first is not None:
-            reason[chunk["request_id"] == first] = None
-        yield chunk.assign(reason=reason)
+    chunks = [c.assign(slot=c["weekday"].str.cat(c["turn"], sep="/")) for c in chunks]
+    holders = dict(zip(*state.get)) if state.exists else {}
+    earliest: dict[str, tuple] = {}
+    for c in chunks:
+        for slot, request, unit in zip(c["slot"], c["request_id"], c["unit_id"]):
+            if slot not in holders and (slot not in earliest or request < earliest[slot][0]):
+                earliest[slot] = (request, unit)
+    holders.update({slot: unit for slot, (_, unit) in earliest.items()})
+    if earliest:
+        state.update((list(holders), list(holders.values())))
+    accepted = {request for request, _ in earliest.values()}
+    for c in chunks:
+        reasons = [
+            None if request in accepted else "duplicate_slot" if holders[slot] == unit else "overlap"
+            for slot, request, unit in zip(c["slot"], c["request_id"], c["unit_id"])
+        ]
+        yield c.drop(columns="slot").assign(reason=pd.Series(reasons, index=c.index, dtype=object))
 
 
 def stream_roster(requests: DataFrame, base: DataFrame | None = None, refs: Tables | None = None) -> DataFrame:
     """Roster requests with ``reason`` (NULL: accepted), first come first served across micro-batches.
 
     The same rules as ``assign_roster``. Requests that are invalid or ask for a
-    slot of the standing roster are answered without state; the rest is decided
-    per (resident, weekday, turn). Micro-batches must come in order of arrival.
+    slot of the standing roster are answered without state. The rest is decided per
+    resident, whose state is bounded by the 21 slots of a week; what one resident
+    asks for at once is bounded by the size of a micro-batch. Request ids are
+    unique, and micro-batches must come in order of arrival.
     """
     judged = judge_slots(requests, refs or {})
     if base is not None:
         judged = against_standing(judged, base)
     schema = T.StructType([*requests.schema.fields, T.StructField("reason", T.StringType())])
     judged = judged.select(*schema.names)
+    state = T.StructType([
+        T.StructField("slots", T.ArrayType(T.StringType())),
+        T.StructField("units", T.ArrayType(requests.schema["unit_id"].dataType)),
+    ])
     contested = (
-        judged.where("reason is null").drop("reason").groupBy(*SLOT)
-        .applyInPandasWithState(
-            _arbitrate, schema, T.StructType([requests.schema["unit_id"]]), "append", GroupStateTimeout.NoTimeout)
+        judged.where("reason is null").drop("reason").groupBy("resident_id")
+        .applyInPandasWithState(_arbitrate, schema, state, "append", GroupStateTimeout.NoTimeout)
     )
     return judged.where("reason is not null").unionByName(contested)
