@@ -1,0 +1,100 @@
+"""Streams over several micro-batches against their batch twins."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import as_set, rows
+from tests.test_ingest import SLOT_REQUEST, crowd, one_after_the_other
+from wardbook.operators import changes, ingest
+from wardbook.streaming import jobs
+
+
+def arrive(df, path, order, parts):
+    """Writes rows as files that a stream picks up one by one, in order."""
+    total = df.count()
+    ordered = df.orderBy(order).collect()
+    step = -(-total // parts)
+    for i in range(parts):
+        chunk = ordered[i * step:(i + 1) * step]
+        if chunk:
+            df.sparkSession.createDataFrame(chunk, df.schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def stream(df, path):
+    return jobs.read_files(df.sparkSession, path, df.schema, files_per_batch=1)
+
+
+@pytest.mark.parametrize("with_base", [False, True])
+def test_roster_stream_equals_the_batch_operator(frame, tmp_path, with_base):
+    requests = crowd(200, 7)
+    base = [("u0", "segunda", "tarde", "r1"), ("u1", "segunda", "tarde", "r1")] if with_base else []
+    batch = frame(SLOT_REQUEST, *requests, (-1, "u1", "sunday", "manha", "r1", "s"))
+    standing = frame("unit_id string, weekday string, turn string, resident_id string", *base)
+    path = str(tmp_path / "requests")
+    arrive(batch, path, "request_id", 4)
+    labelled = jobs.run_to_table(jobs.stream_roster(stream(batch, path), standing if with_base else None), "roster")
+    found = {r["request_id"]: r["reason"] for r in labelled.collect()}
+    expected = {r["request_id"]: r["reason"] for r in ingest.assign_roster(batch, standing).labelled.collect()}
+    assert found == expected
+    assert found == {**one_after_the_other(requests, base), -1: "invalid_weekday"}
+    assert labelled.count() == 201
+
+
+def test_roster_stream_goes_on_where_it_stopped(frame, tmp_path):
+    path, job = str(tmp_path / "requests"), str(tmp_path / "job")
+    first = frame(SLOT_REQUEST, (1, "u1", "segunda", "manha", "r", "s"))
+    second = frame(SLOT_REQUEST, (2, "u2", "segunda", "manha", "r", "s"), (3, "u2", "terca", "manha", "r", "s"))
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(path)
+        labelled = jobs.run_to_table(jobs.stream_roster(stream(part, path)), "roster", job)
+    assert {r["request_id"]: r["reason"] for r in labelled.collect()} == {1: None, 2: "overlap", 3: None}
+
+
+def test_means_stream_with_inserts_updates_and_deletes(frame, tmp_path):
+    log = [(i, f"d{i % 3}", 5 + i % 11, 1) for i in range(90)]
+    log += [(100 + i, p, m, -1) for i, p, m, _ in log if p == "d1" or i % 4 == 0]
+    changes_df = frame("at int, procedure_id string, minutes int, sign int", *log)
+    path = str(tmp_path / "changes")
+    arrive(changes_df, path, "at", 3)
+    versions = jobs.run_to_table(jobs.stream_procedure_means(stream(changes_df, path)), "means")
+    found = {r["procedure_id"]: (r["executions"], r["mean_minutes"]) for r in jobs.current_means(versions).collect()}
+    left = [(p, m) for i, p, m, s in log if s == 1 and p != "d1" and i % 4 != 0]
+    performed = frame("procedure_id string, minutes int", *left)
+    procedures = frame("procedure_id string", ("d0",), ("d1",), ("d2",))
+    twin = dict(rows(changes.refresh_procedure_means(procedures, performed)))
+    counts = {p: sum(1 for q, _ in left if q == p) for p in twin}
+    assert {p: (n, None if m is None else float(m)) for p, (n, m) in found.items()} == {
+        p: (counts[p], None if m is None else float(m)) for p, m in twin.items()}
+    assert twin["d1"] is None
+    assert versions.where("procedure_id = 'd0'").count() > 1
+
+
+def test_audit_stream_drops_replays(frame, tmp_path):
+    at = dt.datetime(2025, 6, 1)
+    image = "struct<encounter_id:string,minutes:int>"
+    schema = f"change_id int, operation string, encounter_id string, before {image}, after {image}, " \
+             "changed_at timestamp_ntz"
+    log = frame(schema,
+                (1, "INSERT", "e", None, ("e", 5), at), (2, "UPDATE", "e", ("e", 5), ("e", None), at),
+                (2, "UPDATE", "e", ("e", 5), ("e", None), at),
+                (3, "DELETE", "e", ("e", None), None, at + dt.timedelta(minutes=1)),
+                (1, "INSERT", "e", None, ("e", 5), at))
+    path = str(tmp_path / "log")
+    log.repartition(1).write.parquet(path)
+    log.limit(2).coalesce(1).write.mode("append").parquet(path)
+    entries = jobs.run_to_table(
+        jobs.stream_audit(stream(log, path), "encounter_id", user=F.lit("nurse")), "audit").collect()
+    found = {r["operation"]: r for r in entries}
+    assert len(entries) == 3 and set(found) == {"INSERT", "UPDATE", "DELETE"}
+    assert found["INSERT"]["before"] is None and found["DELETE"]["after"] is None
+    assert json.loads(found["UPDATE"]["after"]) == {"encounter_id": "e", "minutes": None}
+    assert found["UPDATE"]["changed_by"] == "nurse"
+
+
+def test_helper_writes_in_order(frame, tmp_path):
+    df = frame("k int", *((i,) for i in (3, 1, 2)))
+    arrive(df, str(tmp_path / "x"), "k", 3)
+    assert as_set(df.sparkSession.read.parquet(str(tmp_path / "x"))) == {(1,), (2,), (3,)}

@@ -83,7 +83,7 @@ def weekdays_in_month(spark, as_of: date) -> DataFrame:
     first, following = month_bounds(as_of.year, as_of.month)
     days = F.explode(F.sequence(F.lit(first), F.date_sub(F.lit(following), 1)))
     return (
-        spark.range(1).select(days.alias("day"))
+        spark.range(0, 1, 1, 1).select(days.alias("day"))
         .groupBy(weekday_label("day").alias("weekday")).agg(n_rows().alias("days"))
     )
 
@@ -329,4 +329,4 @@ def dashboard_kpis(t: Tables, as_of: date, duty: Tables | None = None) -> DataFr
             unqualified, F.count_distinct("resident_id")),
     }
     spark = t["patient"].sparkSession
-    return spark.range(1).select(*(column.alias(name) for name, column in figures.items()))
+    return spark.range(0, 1, 1, 1).select(*(column.alias(name) for name, column in figures.items()))

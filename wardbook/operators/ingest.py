@@ -80,8 +80,10 @@ class Outcome:
 def apply_defaults(df: DataFrame, defaults: Mapping[str, Column], id_column: str | None = None,
                    id_from: Sequence[str] = ()) -> DataFrame:
     """Fills missing values (adding absent columns); a missing id becomes a digest of ``id_from``."""
-    filled = {c: F.coalesce(F.col(c), value) if c in df.columns else value for c, value in defaults.items()}
-    df = df.withColumns(filled)
+    df = df.withColumns({
+        c: F.coalesce(F.col(c), value.cast(df.schema[c].dataType)) if c in df.columns else value
+        for c, value in defaults.items()
+    })
     if id_column:
         made = stable_id(*id_from)
         df = df.withColumn(id_column, F.coalesce(F.col(id_column).cast("string"), made)

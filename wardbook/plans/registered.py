@@ -496,8 +496,8 @@ def e13(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- F: streaming ---------------------------------------------------------
 
-def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.read_files(spark, d, TEST_SCHEMAS["events"], "events.parquet")
+def event_stream(spark: SparkSession, d: str, **limits: int) -> DataFrame:
+    return jobs.read_files(spark, d, TEST_SCHEMAS["events"], "events.parquet", **limits)
 
 
 def event_changes(events: DataFrame) -> DataFrame:
@@ -533,7 +533,7 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("F3_stream_roster")
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    labelled = jobs.run_to_table(jobs.stream_roster(roster_requests(event_stream(spark, d))), "roster")
+    labelled = jobs.run_to_table(jobs.stream_roster(roster_requests(event_stream(spark, d, bytes_per_batch=1 << 30))), "roster")
     return outcome(labelled, "request_id")
 
 

@@ -22,7 +22,7 @@ from wardbook.session import new_run_dir
 
 
 def read_files(spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet",
-               files_per_batch: int | None = None, bytes_per_batch: str = "1g") -> DataFrame:
+               files_per_batch: int | None = None, bytes_per_batch: int = 64 << 30) -> DataFrame:
     """A stream over the Parquet files of a folder, oldest first.
 
     Micro-batches are bounded in bytes (or in files), also when a long backlog is
