@@ -161,6 +161,29 @@ def test_bundles_are_all_or_nothing(hospital, frame):
     assert performed["1", uid("d2")]["started_at"] == dt.datetime(2020, 1, 1, 9, 5)
 
 
+def test_flat_items_are_judged_like_nested_ones(hospital, frame):
+    other, third = {**ITEM, "procedure_id": uid("d3")}, {**ITEM, "procedure_id": uid("d4")}
+    bundles = {
+        "1": [ITEM, other], "2": [ITEM, ITEM], "3": [other, {**ITEM, "procedure_id": NOBODY}], "4": [],
+        "5": [other, {**ITEM, "minutes": 0}], "6": [{**ITEM, "quantity": "two"}], "7": [{**ITEM, "quantity": None}],
+        "8": [{**ITEM, "procedure_id": None}], "9": [third, {**other, "started_at": None}],
+        "10": [{**ITEM, "procedure_id": NOBODY}, {**other, "quantity": 0}],
+    }
+    schema = "encounter_id string, started_at string, minutes string, patient_id string, resident_id string, " \
+             "supervisor_id string, unit_id string, items string"
+    nested = frame(schema, *(bundle(i, *items) for i, items in bundles.items()))
+    fields = list(ITEM)
+    flat = frame("encounter_id string, " + ", ".join(f"{c} string" for c in fields),
+                 *((i, *(None if x[c] is None else str(x[c]) for c in fields)) for i, xs in bundles.items() for x in xs))
+    one = ingest.register_encounter_bundle(nested, hospital)
+    two = ingest.register_encounter_bundle(nested.drop("items"), hospital, flat)
+    assert reasons(one.requests, "encounter_id") == reasons(two.requests, "encounter_id")
+    assert set(reasons(two.requests, "encounter_id").values()) == {
+        None, "repeated_procedure", "procedure_not_found", "invalid_item"}
+    assert as_set(one.performed) == as_set(two.performed)
+    assert as_set(two.settled().performed) == as_set(two.performed)
+
+
 def test_bundles_take_arrays_too(hospital, frame):
     batch = frame(
         "encounter_id string, started_at timestamp_ntz, minutes int, patient_id string, resident_id string, "

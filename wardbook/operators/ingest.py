@@ -9,7 +9,7 @@ over the group: a key asked for by a third of all requests stays spread out.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 from types import MappingProxyType
@@ -307,6 +307,7 @@ class Bundles:
     """Encounter and performed rows of the accepted bundles, and what became of the requests."""
 
     requests: Outcome
+    items: DataFrame | None = None  # apart from the requests, or else nested in them
 
     @property
     def encounters(self) -> DataFrame:
@@ -314,79 +315,105 @@ class Bundles:
 
     @property
     def performed(self) -> DataFrame:
-        items = self.requests.judged.where("reason is null").select("encounter_id", F.explode("_items").alias("i"))
-        return items.select("encounter_id", "i.procedure_id", "i.quantity", "i.minutes", "i.started_at", "i.note")
+        taken = self.requests.judged.where("reason is null")
+        if self.items is None:
+            items = taken.select("encounter_id", F.col("started_at").alias("_arrival"), F.explode("_items").alias("_item"))
+        else:
+            items = self.items.join(taken.select("encounter_id", F.col("started_at").alias("_arrival")), "encounter_id")
+        start = F.coalesce("_item.started_at", "_arrival").alias("started_at")
+        return items.select(
+            "encounter_id", "_item.procedure_id", "_item.quantity", "_item.minutes", start, "_item.note")
 
     @property
     def rejected(self) -> DataFrame:
         return self.requests.rejected
 
     def settled(self) -> Bundles:
-        return Bundles(self.requests.settled())
+        return replace(self, requests=self.requests.settled())
+
+
+def _item(field: Callable[[str], Column], procedure_id_type: T.DataType) -> Column:
+    """A typed item with its default quantity, and ``bad`` where it cannot be accepted."""
+    types = {**ITEM_FIELDS, "procedure_id": procedure_id_type}
+    cast = {c: field(c).try_cast(kind) for c, kind in types.items()}
+    uncastable = F.lit(False)
+    for c in ITEM_FIELDS:
+        uncastable = uncastable | (field(c).isNotNull() & cast[c].isNull())
+    cast["quantity"] = F.coalesce(cast["quantity"], F.lit(1))
+    bad = (
+        uncastable | cast["procedure_id"].isNull()
+        | (cast["quantity"] <= 0) | F.coalesce(cast["minutes"] <= 0, F.lit(True))
+    )
+    return F.struct(*(value.alias(c) for c, value in cast.items()), bad.alias("bad"))
 
 
-def _read_items(batch: DataFrame, procedure_id_type: T.DataType) -> DataFrame:
-    """``items`` (JSON text or array of structs) as ``_items``: typed structs with a ``bad`` flag."""
+def _read_nested(batch: DataFrame, procedure_id_type: T.DataType) -> DataFrame:
+    """``items`` (JSON text or array of structs) as ``_items``, typed; ``_malformed`` for unreadable text."""
     text_schema = "array<struct<" + ",".join(f"{c}:string" for c in ITEM_FIELDS) + ">>"
     if isinstance(batch.schema["items"].dataType, T.StringType):
         given = F.when(F.trim("items") != "", F.col("items"))
-        raw = F.from_json(given, text_schema)
-        batch = batch.withColumn("_raw", raw).withColumn("_malformed", given.isNotNull() & F.col("_raw").isNull())
+        batch = batch.withColumn("_raw", F.from_json(given, text_schema))
+        batch = batch.withColumn("_malformed", given.isNotNull() & F.col("_raw").isNull())
     else:
         batch = batch.withColumn("_raw", F.col("items").cast(text_schema)).withColumn("_malformed", F.lit(False))
+    raw = F.coalesce("_raw", F.array().cast(text_schema))
+    return batch.withColumn("_items", F.transform(raw, lambda x: _item(lambda c: x[c], procedure_id_type)))
 
-    def item(x: Column) -> Column:
-        types = {**ITEM_FIELDS, "procedure_id": procedure_id_type}
-        cast = {c: x[c].try_cast(kind) for c, kind in types.items()}
-        uncastable = F.lit(False)
-        for c in ITEM_FIELDS:
-            uncastable = uncastable | (x[c].isNotNull() & cast[c].isNull())
-        quantity = F.coalesce(cast["quantity"], F.lit(1))
-        bad = (
-            uncastable | cast["procedure_id"].isNull()
-            | (quantity <= 0) | F.coalesce(cast["minutes"] <= 0, F.lit(True))
-        )
-        return F.struct(
-            cast["procedure_id"].alias("procedure_id"), quantity.alias("quantity"), cast["minutes"].alias("minutes"),
-            F.coalesce(cast["started_at"], F.col("started_at")).alias("started_at"), cast["note"].alias("note"),
-            bad.alias("bad"),
-        )
-
-    return batch.withColumn("_items", F.transform(F.coalesce("_raw", F.array().cast(text_schema)), item))
-
-
-def judge_bundles(batch: DataFrame, refs: Tables) -> DataFrame:
-    """The batch with ``_items`` and ``reason``.
-
-    All item checks but one are made inside the row. Only (encounter, procedure)
-    pairs are shuffled, to find the encounters that name an unknown procedure.
-    """
-    kind = refs["procedure"].schema["procedure_id"].dataType
-    read = _read_items(typed(batch, ENCOUNTER_TYPES), kind)
-    named_procedures = read.select("encounter_id", F.explode("_items.procedure_id").alias("procedure_id"))
-    unknown = distinct_keys(
-        named_procedures.dropna().join(distinct_keys(refs["procedure"], "procedure_id"), "procedure_id", "left_anti"),
-        "encounter_id")
-    read = _mark_known(read, ["encounter_id"], unknown, "_names_unknown")
+
+def _nested_verdicts(batch: DataFrame, refs: Tables) -> tuple[DataFrame, dict[str, Column]]:
+    """Item rules for nested items. All but one are tested inside the row; only (encounter, procedure)
+    pairs are shuffled, to find the encounters that name an unknown procedure."""
+    read = _read_nested(batch, refs["procedure"].schema["procedure_id"].dataType)
+    asked = read.select("encounter_id", F.explode("_items.procedure_id").alias("procedure_id")).dropna()
+    unknown = asked.join(distinct_keys(refs["procedure"], "procedure_id"), "procedure_id", "left_anti")
     ids = F.col("_items.procedure_id")
-    rules = {
-        **encounter_rules(),
+    return _mark_known(read, ["encounter_id"], distinct_keys(unknown, "encounter_id"), "_unknown"), {
         "malformed_items": ~F.col("_malformed"),
-        "procedure_not_found": F.col("_names_unknown").isNull(),
+        "procedure_not_found": F.col("_unknown").isNull(),
         "invalid_item": ~F.exists("_items", lambda x: x["bad"]),
         "repeated_procedure": F.size(F.array_distinct(ids)) == F.size(ids),
     }
-    return judge_typed(read, encounter_parents(refs), rules, ENCOUNTER_FIELDS, ENCOUNTER_TYPES)
 
 
-def register_encounter_bundle(batch: DataFrame, refs: Tables) -> Bundles:
+def _flat_verdicts(batch: DataFrame, items: DataFrame, refs: Tables) -> tuple[DataFrame, dict[str, Column]]:
+    """Item rules for items in rows of their own, combined per pair and then per encounter, so that
+    the many items of a hot encounter are spread over tasks."""
+    per_pair = items.groupBy("encounter_id", F.col("_item.procedure_id").alias("procedure_id")).agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_or("_item.bad").alias("_bad"))
+    procedures = distinct_keys(refs["procedure"], "procedure_id")
+    named = F.col("procedure_id").isNotNull()
+    per_encounter = _mark_known(per_pair, ["procedure_id"], procedures, "_known").groupBy("encounter_id").agg(
+        F.bool_or("_bad").alias("_bad"),
+        F.bool_or(named & F.col("_known").isNull()).alias("_unknown"),
+        F.bool_or(named & (F.col("_n") > 1)).alias("_repeated"),
+    )
+    return batch.join(per_encounter, "encounter_id", "left"), {
+        "procedure_not_found": ~F.col("_unknown"),
+        "invalid_item": ~F.col("_bad"),
+        "repeated_procedure": ~F.col("_repeated"),
+    }
+
+
+def register_encounter_bundle(batch: DataFrame, refs: Tables, items: DataFrame | None = None) -> Bundles:
     """Encounters together with their procedures, all or nothing per encounter.
 
-    ``items`` is a JSON list or an array of structs (procedure_id, quantity,
-    minutes, started_at, note). Quantity defaults to 1 and the start to that of
-    the encounter; NULL or an empty list is an encounter without procedures.
+    Items (procedure_id, quantity, minutes, started_at, note) come nested in the
+    column ``items``, as a JSON list or an array of structs, or as rows of their
+    own with ``encounter_id``. Quantity defaults to 1 and the start to that of the
+    encounter; an encounter without items is legal.
     """
-    return Bundles(Outcome(judge_bundles(batch, refs), batch.columns, ENCOUNTER_TYPES))
+    typed_batch = typed(batch, ENCOUNTER_TYPES)
+    if items is None:
+        read, rules = _nested_verdicts(typed_batch, refs)
+    else:
+        kind = refs["procedure"].schema["procedure_id"].dataType
+        given = [c for c in ITEM_FIELDS if c in items.columns]
+        absent = {c: F.lit(None).cast("string") for c in ITEM_FIELDS if c not in given}
+        items = items.withColumns(absent).select("encounter_id", _item(F.col, kind).alias("_item"))
+        read, rules = _flat_verdicts(typed_batch, items, refs)
+    judged = judge_typed(
+        read, encounter_parents(refs), {**encounter_rules(), **rules}, ENCOUNTER_FIELDS, ENCOUNTER_TYPES)
+    return Bundles(Outcome(judged, batch.columns, ENCOUNTER_TYPES), items)
 
 
 PAIR = ("encounter_id", "procedure_id")

@@ -333,6 +333,17 @@ _BOUND = {
     "B11_register_encounter_bundle_performed": """
         SELECT i.encounter_id, i.procedure_id, i.quantity, i.minutes, coalesce(i.started_at, o.started_at) AS started_at
         FROM bundle_item i JOIN bundle_outcome o ON o.encounter_id = i.encounter_id WHERE o.outcome = 'accepted'""",
+    "B11_register_encounter_bundle_json": """
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS encounter_id, CASE
+            WHEN l_suppkey // 2 * 2 + 1 NOT IN (SELECT supervisor_id FROM supervisor) THEN 'supervisor_not_found'
+            WHEN l_returnflag = 'N' THEN 'accepted'
+            WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 48)
+              OR l_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 48) THEN 'procedure_not_found'
+            WHEN CAST(floor(l_extendedprice) AS BIGINT) % 240 <= 0 OR l_linenumber <= 1 OR l_quantity < 1
+            THEN 'invalid_item'
+            WHEN l_partkey = l_suppkey THEN 'repeated_procedure'
+            ELSE 'accepted' END AS outcome
+        FROM lineitem""",
     "B12_register_performed": """
         , checked AS (
             SELECT *, CASE

@@ -7,6 +7,7 @@ same tables by the conditions given here and restated in ``plans.oracle``.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable
 from datetime import date
 
@@ -226,17 +227,20 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bundles(spark: SparkSession, d: str) -> ingest.Bundles:
-    """Orders with their lines as a JSON list; parts over size 48 are not in the catalogue."""
+    """Orders with their lines as items; parts over size 48 are not in the catalogue."""
     lineitem, part = read_raw(spark, d, "lineitem", "part")
-    items = lineitem.groupBy(F.col("l_orderkey").alias("encounter_id")).agg(F.to_json(F.collect_list(F.struct(
-        F.col("l_partkey").alias("procedure_id"), F.col("l_quantity").cast("int").alias("quantity"),
-        (F.floor("l_extendedprice") % 240).alias("minutes"),
+    items = lineitem.select(
+        F.col("l_orderkey").alias("encounter_id"), F.col("l_partkey").alias("procedure_id"),
+        F.col("l_quantity").cast("int").alias("quantity"), (whole("l_extendedprice") % 240).alias("minutes"),
         F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("started_at"),
-    ))).alias("items"))
-    batch = encounter_batch(spark, d).withColumn("minutes", F.col("minutes") + 1).join(items, "encounter_id", "left")
-    refs = dict(orders_clinic(spark, d))
-    refs["procedure"] = part.where("p_size <= 48").select(F.col("p_partkey").alias("procedure_id"))
-    return ingest.register_encounter_bundle(batch, refs)
+    )
+    batch = encounter_batch(spark, d).withColumn("minutes", F.col("minutes") + 1)
+    refs = ChainMap({"procedure": catalogue(part)}, orders_clinic(spark, d))
+    return ingest.register_encounter_bundle(batch, refs, items)
+
+
+def catalogue(part: DataFrame) -> DataFrame:
+    return part.where("p_size <= 48").select(F.col("p_partkey").alias("procedure_id"))
 
 
 @query("B11_register_encounter_bundle")
@@ -249,6 +253,34 @@ def b11_performed(spark: SparkSession, d: str) -> DataFrame:
     return bundles(spark, d).performed.drop("note")
 
 
+@query("B11_register_encounter_bundle_json")
+def b11_json(spark: SparkSession, d: str) -> DataFrame:
+    """Every line asks for an encounter of its own with a JSON list of two procedures.
+
+    The second is the part whose key equals the supplier's; both lead suppliers
+    are the line's neighbours in the key range.
+    """
+    lineitem, part = read_raw(spark, d, "lineitem", "part")
+
+    def procedure(key: str, quantity: Column) -> Column:
+        return F.struct(F.col(key).alias("procedure_id"), quantity.alias("quantity"),
+                        (whole("l_extendedprice") % 240).alias("minutes"))
+
+    pair = F.array(procedure("l_partkey", F.col("l_quantity").cast("int")),
+                   procedure("l_suppkey", F.col("l_linenumber") - 1))
+    batch = lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("encounter_id"),
+        F.col("l_shipdate").alias("started_at"), F.lit(30).alias("minutes"),
+        F.col("l_suppkey").alias("patient_id"),
+        (F.col("l_suppkey") - F.col("l_suppkey") % 2).alias("resident_id"),
+        (F.col("l_suppkey") - F.col("l_suppkey") % 2 + 1).alias("supervisor_id"),
+        F.col("l_linenumber").alias("unit_id"),
+        F.when(F.col("l_returnflag") != "N", F.to_json(pair)).alias("items"),
+    )
+    result = ingest.register_encounter_bundle(batch, ChainMap({"procedure": catalogue(part)}, orders_clinic(spark, d)))
+    return outcome(result.requests.labelled, "encounter_id")
+
+
 def line_requests(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("request_id"),
@@ -273,7 +305,7 @@ def b12(spark: SparkSession, d: str) -> DataFrame:
     lines = line_requests(lineitem)
     refs = {
         "encounter": t["encounter"], "performed": lines.where("line % 2 = 1"),
-        "procedure": part.where("p_size <= 48").select(F.col("p_partkey").alias("procedure_id")),
+        "procedure": catalogue(part),
     }
     result = ingest.register_performed(lines.where("line % 2 = 0"), refs, LINE_ORDER)
     return outcome(result.labelled, "request_id", "quantity")
