@@ -102,6 +102,7 @@ def test_people(hospital, frame):
         staff(16, "residente", "90029003905", "CRM/PB 0005", year="R9"),
         staff(17, "diretor", "90029003906", "CRM/PB 0006"),
         staff(18, "preceptor", "90029003907", None, title="Doutor"),
+        patient(21, "10920930455", born=None), staff(22, "preceptor", "90029003909", "CRM/PB 0009", title="M", hired=None),
         staff(19, "preceptor", "11122233344", "CRM/PB 0007", title="Doutor"),   # refused for its cpf ...
         staff(20, "preceptor", "90029003908", "CRM/PB 0007", title="Doutor"),   # ... yet its crm stays taken
     )
@@ -111,7 +112,7 @@ def test_people(hospital, frame):
         5: "invalid_cpf_is_numeric", 6: "invalid_birth_date_not_in_future", 7: "malformed_birth_date",
         8: "missing_name", 9: "invalid_blood_group", 10: None, 11: None, 12: "duplicate_crm", 13: "duplicate_crm",
         14: "missing_year", 15: "missing_title", 16: "invalid_year", 17: "invalid_kind", 18: "missing_crm",
-        19: "duplicate_cpf", 20: "duplicate_crm"}
+        19: "duplicate_cpf", 20: "duplicate_crm", 21: "missing_birth_date", 22: "missing_hired_on"}
     sizes = [df.count() for df in (people.person, people.patient, people.staff, people.resident, people.supervisor)]
     assert sizes == [3, 1, 2, 1, 1]
     new = {name: hospital[name].unionByName(getattr(people, name))

@@ -46,7 +46,8 @@ def test_each_rule_catches_its_breach(hospital):
     """One query over all breaches: each broken table reports exactly its own rule."""
     found = None
     for i, (name, values, _) in enumerate(BROKEN):
-        audit = quality.audit_table(hospital[name].limit(1).withColumns({c: F.expr(v) for c, v in values.items()}), HOSPITAL[name], TODAY)
+        broken = hospital[name].limit(1).withColumns({c: F.expr(v) for c, v in values.items()})
+        audit = quality.audit_table(broken, HOSPITAL[name], TODAY)
         audit = audit.select(F.lit(i).alias("case"), "rule")
         found = audit if found is None else found.unionByName(audit)
     by_case = {}

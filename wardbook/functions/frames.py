@@ -37,7 +37,3 @@ def named(tables: Tables, role: str, *columns: str, prefix: str = "") -> DataFra
         return roles.select(f"{role}_id", *(F.col(c).alias(prefix if c == "name" else c) for c in wanted))
     return roles
 
-
-def without_order(df: DataFrame, *columns: str) -> DataFrame:
-    """Drops helper columns used only for sorting."""
-    return df.drop(*columns)

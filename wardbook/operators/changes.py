@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wardbook.functions import distinct_keys, ratio, stable_id
 from wardbook.functions.frames import Tables
 from wardbook.model import CASCADE, HOSPITAL, RESTRICT, ROLES, Table
-from wardbook.operators.ingest import PAIR, SLOT
+from wardbook.operators.ingest import PAIR, order_key
 
 PATIENT_FIELDS = ("plan", "allergies", "blood_group")
 
@@ -59,12 +59,12 @@ def delete_performed(base: DataFrame, requests: DataFrame, billing: DataFrame,
     repeated request for a pair finds it gone: only the first one deletes.
     """
     pair = list(PAIR)
-    asked = requests.dropna(subset=pair).groupBy(*pair).agg(F.min(F.struct(*order)).alias("_first"))
+    asked = requests.dropna(subset=pair).groupBy(*pair).agg(F.min(order_key(order)).alias("_first"))
     billed = distinct_keys(billing, *pair).withColumn("_billed", F.lit(True))
     existing = distinct_keys(base, *pair).withColumn("_exists", F.lit(True))
     fate = asked.join(existing, pair, "left").join(billed, pair, "left")
     deletable = fate.where("_exists and _billed is null").select(*pair)
-    first = F.col("_first").eqNullSafe(F.struct(*order))
+    first = F.col("_first").eqNullSafe(order_key(order))
     outcome = (
         F.when(F.col("_exists").isNull(), "not_found").when(F.col("_billed"), "blocked_billed")
         .when(first, "deleted").otherwise("not_found")

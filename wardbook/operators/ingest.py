@@ -106,11 +106,20 @@ def _as_given(column: str, types: Types) -> str:
     return f"_given_{column}" if column in types else column
 
 
-def _field_reasons(required: Sequence[str], types: Types) -> list[tuple[Column, str]]:
-    """Missing mandatory fields, then values that could not be cast."""
-    missing = [(blank(_as_given(c, types)), f"missing_{c}") for c in required]
-    malformed = [(F.col(c).isNull() & ~blank(f"_given_{c}"), f"malformed_{c}") for c in types]
-    return missing + malformed
+Reasons = list[tuple[Column, str]]
+
+
+def _missing(required: Sequence[str], types: Types = NO_TYPES) -> Reasons:
+    return [(blank(_as_given(c, types)), f"missing_{c}") for c in required]
+
+
+def _malformed(types: Types) -> Reasons:
+    """Values given that could not be cast."""
+    return [(F.col(c).isNull() & ~blank(f"_given_{c}"), f"malformed_{c}") for c in types]
+
+
+def _field_reasons(required: Sequence[str], types: Types) -> Reasons:
+    return _missing(required, types) + _malformed(types)
 
 
 def _mark_known(batch: DataFrame, columns: Sequence[str], known: DataFrame, flag: str) -> DataFrame:
@@ -181,19 +190,25 @@ def register_units(batch: DataFrame) -> Outcome:
     return validated_append(batch, [], rules, ("name", "kind", "beds"), {"beds": "int"})
 
 
+def order_key(order: Sequence[str]) -> Column:
+    """What requests are ordered by. A single id stays plain: its minimum needs no sort."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def first_of(batch: DataFrame, key: Sequence[str], order: Sequence[str], *carry: str) -> DataFrame:
-    """Per non-NULL key the first row in ``order``: key columns plus struct ``_first``.
+    """Per non-NULL key the first row in ``order``: its order key as ``_first``, and ``carry`` columns of it.
 
     ``order`` must tell any two requests apart, as the default, a request id, does.
     """
-    return (
-        batch.dropna(subset=list(key)).groupBy(*key)
-        .agg(F.min(F.struct(*order, *carry)).alias("_first"))
-    )
+    groups = batch.dropna(subset=list(key)).groupBy(*key)
+    if not carry:
+        return groups.agg(F.min(order_key(order)).alias("_first"))
+    first = groups.agg(F.min(F.struct(order_key(order).alias("at"), *carry)).alias("f"))
+    return first.select(*key, F.col("f.at").alias("_first"), *(F.col(f"f.{c}").alias(f"_first_{c}") for c in carry))
 
 
 def _is_first(order: Sequence[str]) -> Column:
-    return F.struct(*order).eqNullSafe(F.struct(*(F.col(f"_first.{c}").alias(c) for c in order)))
+    return order_key(order).eqNullSafe(F.col("_first"))
 
 
 def _mark_first(batch: DataFrame, key: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
@@ -262,15 +277,13 @@ def judge_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of
     judged = _mark_known(judged, ["crm"], distinct_keys(staff, "crm"), "_crm_taken")
     judged = _mark_first(judged, ["cpf"], ["request_id"], "_cpf_first")
     judged = _mark_first(judged, ["crm"], ["request_id"], "_crm_first")
-    mandatory = [(blank(c), f"missing_{c}") for c in ("name", "cpf", "_given_birth_date")]
-    mandatory += [(is_staff & blank(c), f"missing_{c}") for c in ("crm", "_given_hired_on", "specialty")]
-    mandatory = [(condition, label.replace("_given", "")) for condition, label in mandatory]
     reasons = [
         (~F.coalesce(kind.isin(PATIENT_KIND, *ROLES), F.lit(False)), "invalid_kind"),
-        *mandatory,
+        *_missing(("name", "cpf", "birth_date"), PERSON_TYPES),
+        *((is_staff & missing, label) for missing, label in _missing(("crm", "hired_on", "specialty"), PERSON_TYPES)),
         ((kind == RESIDENT) & blank("year"), "missing_year"),
         ((kind == SUPERVISOR) & blank("title"), "missing_title"),
-        *_field_reasons((), PERSON_TYPES),
+        *_malformed(PERSON_TYPES),
         *((~rule, f"invalid_{name}") for name, rule in person_rules.items()),
         (F.col("_cpf_taken") | ~F.col("_cpf_first"), "duplicate_cpf"),
         (is_staff & (F.col("_crm_taken") | ~F.col("_crm_first")), "duplicate_crm"),
@@ -315,11 +328,11 @@ class Bundles:
 
     @property
     def performed(self) -> DataFrame:
-        taken = self.requests.judged.where("reason is null")
+        taken = self.requests.judged.where("reason is null").withColumn("_arrival", F.col("started_at"))
         if self.items is None:
-            items = taken.select("encounter_id", F.col("started_at").alias("_arrival"), F.explode("_items").alias("_item"))
+            items = taken.select("encounter_id", "_arrival", F.explode("_items").alias("_item"))
         else:
-            items = self.items.join(taken.select("encounter_id", F.col("started_at").alias("_arrival")), "encounter_id")
+            items = self.items.join(taken.select("encounter_id", "_arrival"), "encounter_id")
         start = F.coalesce("_item.started_at", "_arrival").alias("started_at")
         return items.select(
             "encounter_id", "_item.procedure_id", "_item.quantity", "_item.minutes", start, "_item.note")
@@ -347,31 +360,40 @@ def _item(field: Callable[[str], Column], procedure_id_type: T.DataType) -> Colu
     return F.struct(*(value.alias(c) for c, value in cast.items()), bad.alias("bad"))
 
 
-def _read_nested(batch: DataFrame, procedure_id_type: T.DataType) -> DataFrame:
-    """``items`` (JSON text or array of structs) as ``_items``, typed; ``_malformed`` for unreadable text."""
-    text_schema = "array<struct<" + ",".join(f"{c}:string" for c in ITEM_FIELDS) + ">>"
+def _nested_verdicts(batch: DataFrame, refs: Tables) -> tuple[DataFrame, dict[str, Column]]:
+    """Item rules for nested items, as JSON text or an array of structs.
+
+    All but one are tested inside the row. Only (encounter, procedure) pairs are
+    shuffled, read by a narrow parse of their own, to find the encounters that
+    name an unknown procedure.
+    """
+    kind = refs["procedure"].schema["procedure_id"].dataType
+    whole_items = "array<struct<" + ",".join(f"{c}:string" for c in ITEM_FIELDS) + ">>"
     if isinstance(batch.schema["items"].dataType, T.StringType):
         given = F.when(F.trim("items") != "", F.col("items"))
-        batch = batch.withColumn("_raw", F.from_json(given, text_schema))
-        batch = batch.withColumn("_malformed", given.isNotNull() & F.col("_raw").isNull())
+        named = F.from_json(given, "array<struct<procedure_id:string>>")["procedure_id"]
+        read = batch.withColumn("_raw", F.from_json(given, whole_items))
+        malformed = given.isNotNull() & F.col("_raw").isNull()
     else:
-        batch = batch.withColumn("_raw", F.col("items").cast(text_schema)).withColumn("_malformed", F.lit(False))
-    raw = F.coalesce("_raw", F.array().cast(text_schema))
-    return batch.withColumn("_items", F.transform(raw, lambda x: _item(lambda c: x[c], procedure_id_type)))
-
+        named = F.col("items.procedure_id")
+        read = batch.withColumn("_raw", F.col("items").cast(whole_items))
+        malformed = F.lit(False)
+    raw = F.coalesce("_raw", F.array().cast(whole_items))
+    read = read.withColumn("_malformed", malformed).withColumn(
+        "_items", F.transform(raw, lambda x: _item(lambda c: x[c], kind)))
+    ids = F.col("_items.procedure_id")
+    read = read.withColumn("_bad", F.exists("_items", lambda x: x["bad"])).withColumn(
+        "_repeated", F.size(F.array_distinct(ids)) != F.size(ids))
 
-def _nested_verdicts(batch: DataFrame, refs: Tables) -> tuple[DataFrame, dict[str, Column]]:
-    """Item rules for nested items. All but one are tested inside the row; only (encounter, procedure)
-    pairs are shuffled, to find the encounters that name an unknown procedure."""
-    read = _read_nested(batch, refs["procedure"].schema["procedure_id"].dataType)
-    asked = read.select("encounter_id", F.explode("_items.procedure_id").alias("procedure_id")).dropna()
+    # explode_outer: explode would filter on the array first and so parse it twice
+    asked = batch.select("encounter_id", F.explode_outer(named).alias("id"))
+    asked = asked.select("encounter_id", F.col("id").try_cast(kind).alias("procedure_id")).dropna()
     unknown = asked.join(distinct_keys(refs["procedure"], "procedure_id"), "procedure_id", "left_anti")
-    ids = F.col("_items.procedure_id")
     return _mark_known(read, ["encounter_id"], distinct_keys(unknown, "encounter_id"), "_unknown"), {
         "malformed_items": ~F.col("_malformed"),
         "procedure_not_found": F.col("_unknown").isNull(),
-        "invalid_item": ~F.exists("_items", lambda x: x["bad"]),
-        "repeated_procedure": F.size(F.array_distinct(ids)) == F.size(ids),
+        "invalid_item": ~F.col("_bad"),
+        "repeated_procedure": ~F.col("_repeated"),
     }
 
 
@@ -430,7 +452,7 @@ def _with_pair_facts(batch: DataFrame, valid: Column, order: Sequence[str],
     ``_is_first`` marks the first ``valid`` row of a pair. Facts are looked up once
     per distinct pair, however often the pair is asked for, and joined back once.
     """
-    first = F.min(F.when(valid, F.struct(*order))).alias("_first")
+    first = F.min(F.when(valid, order_key(order))).alias("_first")
     pairs = batch.dropna(subset=list(PAIR)).groupBy(*PAIR).agg(first)
     for flag, (df, columns) in known.items():
         pairs = _mark_known(pairs, columns, distinct_keys(df, *columns), flag)
@@ -528,7 +550,7 @@ def label_roster(batch: DataFrame, base: DataFrame, refs: Tables | None = None,
     judged = against_standing(judge_slots(batch, refs or {}), base)
     open_slot = F.col("reason").isNull()
     winner = first_of(judged.where(open_slot), SLOT, order, "unit_id")
-    lost = F.when(F.col("unit_id") == F.col("_first.unit_id"), "duplicate_slot").otherwise("overlap")
+    lost = F.when(F.col("unit_id") == F.col("_first_unit_id"), "duplicate_slot").otherwise("overlap")
     return (
         judged.join(winner, list(SLOT), "left")
         .withColumn("reason", F.when(open_slot & ~_is_first(order), lost).otherwise(F.col("reason")))

@@ -217,7 +217,8 @@ WITH lead_staff AS (
     SELECT * FROM roster WHERE unit_id IN ('signup', 'click')
 ), move AS (
     SELECT request_id, resident_id, weekday AS from_weekday, turn AS from_turn,
-           ({_list(WEEKDAYS)})[isodow(ts + to_days(CAST(1 + request_id % 3 AS INTEGER)))] AS to_weekday, turn AS to_turn,
+           ({_list(WEEKDAYS)})[isodow(ts + to_days(CAST(1 + request_id % 3 AS INTEGER)))] AS to_weekday,
+           turn AS to_turn,
            row_number() OVER (PARTITION BY resident_id ORDER BY request_id) AS place
     FROM request WHERE unit_id = 'purchase'
 ), move_outcome AS (
@@ -263,7 +264,8 @@ def _roster_outcome(batch: str, standing: str, unknown_unit: str) -> str:
     return f"""
     SELECT q.request_id, CASE
         WHEN q.unit_id = '{unknown_unit}' THEN 'unit_not_found'
-        WHEN h.low IS NOT NULL THEN CASE WHEN h.low = q.unit_id AND h.high = q.unit_id THEN 'duplicate_slot' ELSE 'overlap' END
+        WHEN h.low = q.unit_id AND h.high = q.unit_id THEN 'duplicate_slot'
+        WHEN h.low IS NOT NULL THEN 'overlap'
         WHEN q.request_id = w.first THEN 'accepted'
         WHEN q.unit_id = w.unit THEN 'duplicate_slot' ELSE 'overlap' END AS outcome
     FROM request q
@@ -287,7 +289,8 @@ _BY_RESIDENT = "resident_id, resident, specialty, year, encounters"
 _PERSON_ID = "sha256(cpf)"
 _AFTER = "{'user_id': user_id, 'level': CAST(floor(value) AS BIGINT) + 1}"
 _BEFORE = "{'user_id': user_id, 'level': CAST(floor(value) AS BIGINT)}"
-_ORDER_IMAGE = "json_object('encounter_id', {0}.encounter_id, 'minutes', {1}, 'patient_id', {0}.patient_id, 'note', {0}.note)"
+_ORDER_IMAGE = (
+    "json_object('encounter_id', {0}.encounter_id, 'minutes', {1}, 'patient_id', {0}.patient_id, 'note', {0}.note)")
 _BEFORE_IMAGE = _ORDER_IMAGE.format("b", "b.minutes")
 _AFTER_IMAGE = _ORDER_IMAGE.format("a", "a.minutes + a.extra")
 
@@ -298,7 +301,8 @@ _BOUND = {
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing FROM stay" for c in _STAY),
     "B6_audit_exclusive_roles": """
         , member AS (
-            SELECT s_suppkey AS staff_id, 'residente' AS subtype FROM supplier WHERE s_suppkey % 2 = 0 OR s_nationkey = 5
+            SELECT s_suppkey AS staff_id, 'residente' AS subtype FROM supplier
+            WHERE s_suppkey % 2 = 0 OR s_nationkey = 5
             UNION ALL
             SELECT s_suppkey, 'preceptor' FROM supplier WHERE s_suppkey % 2 = 1 OR s_nationkey = 7)
         SELECT m.staff_id, m.subtype, 'role_mismatch' AS problem FROM member m JOIN staff s ON s.staff_id = m.staff_id
@@ -334,7 +338,8 @@ _BOUND = {
         SELECT i.encounter_id, i.procedure_id, i.quantity, i.minutes, coalesce(i.started_at, o.started_at) AS started_at
         FROM bundle_item i JOIN bundle_outcome o ON o.encounter_id = i.encounter_id WHERE o.outcome = 'accepted'""",
     "B11_register_encounter_bundle_json": """
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS encounter_id, CASE
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                         CAST(round(l_extendedprice * 100) AS BIGINT)) AS encounter_id, CASE
             WHEN l_suppkey // 2 * 2 + 1 NOT IN (SELECT supervisor_id FROM supervisor) THEN 'supervisor_not_found'
             WHEN l_returnflag = 'N' THEN 'accepted'
             WHEN l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 48)
@@ -366,12 +371,17 @@ _BOUND = {
                 WHEN x.encounter_id IS NULL THEN 'not_found' ELSE 'accepted' END AS verdict
             FROM line_request q
             LEFT JOIN performed x ON x.encounter_id = q.encounter_id AND x.procedure_id = q.procedure_id
-            LEFT JOIN billing b ON b.encounter_id = q.encounter_id AND b.procedure_id = q.procedure_id AND b.amount < 50000)
-        SELECT request_id, {SHA.format("encounter_id, procedure_id")} AS billing_id, DATE '1998-06-15' AS issued_on, CASE
+            LEFT JOIN billing b ON b.encounter_id = q.encounter_id AND b.procedure_id = q.procedure_id
+             AND b.amount < 50000
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY encounter_id, procedure_id, verdict
+                                         ORDER BY line, supplier, price) AS place
+            FROM checked)
+        SELECT request_id, {SHA.format("encounter_id, procedure_id")} AS billing_id,
+               DATE '1998-06-15' AS issued_on, CASE
             WHEN verdict <> 'accepted' THEN verdict
-            WHEN billed OR row_number() OVER (PARTITION BY encounter_id, procedure_id, verdict ORDER BY line, supplier, price) > 1
-            THEN 'already_billed' ELSE 'accepted' END AS outcome
-        FROM checked""",
+            WHEN billed OR place > 1 THEN 'already_billed' ELSE 'accepted' END AS outcome
+        FROM ranked""",
     "B14_assign_roster": _roster_outcome("unit_id <> 'signup'", "unit_id = 'signup'", "error"),
     "B15_audit_roster_overlap": """
         SELECT resident_id, weekday, turn, count(DISTINCT unit_id) AS units FROM roster
@@ -448,7 +458,8 @@ _BOUND = {
         SELECT encounter_id, started_at, minutes, patient, resident, supervisor FROM encounter_names
         ORDER BY started_at DESC, encounter_id DESC LIMIT 50""",
     "D5_patient_encounters": """
-        SELECT patient_id, encounter_id, started_at, minutes, patient, resident, supervisor, unit FROM encounter_names""",
+        SELECT patient_id, encounter_id, started_at, minutes, patient, resident, supervisor, unit
+        FROM encounter_names""",
     "D6_encounter_procedures": """
         SELECT encounter_id, procedure_id, procedure, risk, quantity, minutes, billed, amount FROM detail""",
     "D7_encounter_procedures_timeline": """
@@ -458,8 +469,10 @@ _BOUND = {
         FROM roster r JOIN duty_resident d ON d.resident_id = r.resident_id
         JOIN supervisor s ON s.supervisor_id = r.supervisor_id""",
     "E1_resident_ranking": "SELECT resident_id, resident, year, encounters FROM by_resident",
-    "E2_mean_duration_by_resident": f"SELECT {_BY_RESIDENT}, {mean('total', 'encounters')} AS mean_minutes FROM by_resident",
-    "E2_mean_duration_one_decimal": f"SELECT {_BY_RESIDENT}, {mean('total', 'encounters', 1)} AS mean_minutes FROM by_resident",
+    "E2_mean_duration_by_resident": f"""
+        SELECT {_BY_RESIDENT}, {mean('total', 'encounters')} AS mean_minutes FROM by_resident""",
+    "E2_mean_duration_one_decimal": f"""
+        SELECT {_BY_RESIDENT}, {mean('total', 'encounters', 1)} AS mean_minutes FROM by_resident""",
     "E3_busy_supervisors": "SELECT * FROM busy",
     "E4_shifts_per_unit": f"""
         SELECT r.unit_id AS unit, d.name AS resident, count(*) AS shifts
@@ -481,7 +494,8 @@ _BOUND = {
         WHERE e.resident_id IN (SELECT f.resident_id FROM encounter f JOIN patient p ON p.patient_id = f.patient_id
                                 WHERE p.is_fan)""",
     "E11_last_encounter_by_patient": """
-        SELECT e.encounter_id, e.patient, e.started_at, e.resident, e.supervisor, coalesce(n.procedures, '') AS procedures
+        SELECT e.encounter_id, e.patient, e.started_at, e.resident, e.supervisor,
+               coalesce(n.procedures, '') AS procedures
         FROM encounter_names e
         JOIN (SELECT patient_id, max(started_at) AS newest FROM encounter GROUP BY patient_id) l
           ON l.patient_id = e.patient_id AND l.newest = e.started_at
@@ -490,7 +504,8 @@ _BOUND = {
           ON n.encounter_id = e.encounter_id""",
     "E12_high_risk_share_by_resident": f"""
         SELECT resident_id, resident, procedures, high_risk,
-               CASE WHEN procedures = 0 THEN 0 ELSE {mean('(100 * high_risk)', 'procedures', 1)} END AS high_risk_percent
+               CASE WHEN procedures = 0 THEN 0 ELSE {mean('(100 * high_risk)', 'procedures', 1)} END
+                   AS high_risk_percent
         FROM (
             SELECT r.resident_id, r.name AS resident, CAST(coalesce(sum(x.quantity), 0) AS BIGINT) AS procedures,
                    CAST(coalesce(sum(CASE WHEN c.risk = 'ALTO' THEN x.quantity END), 0) AS BIGINT) AS high_risk
@@ -523,7 +538,8 @@ _RAW = {
     "B1_audit_domains": """
         SELECT 'o_orderpriority' AS "column", o_orderkey, o_orderpriority AS value FROM orders
         WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')
-        UNION ALL SELECT 'o_orderstatus', o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')""",
+        UNION ALL SELECT 'o_orderstatus', o_orderkey, o_orderstatus FROM orders
+        WHERE o_orderstatus NOT IN ('F', 'O')""",
     "B2_audit_checks": f"""
         SELECT 'shipped_after_order' AS rule, {_LINE_KEY} FROM lineitem JOIN orders ON o_orderkey = l_orderkey
         WHERE l_shipdate < o_orderdate
@@ -549,7 +565,8 @@ _RAW = {
             WHEN n_nationkey - 2 <= 0 THEN 'invalid_beds' ELSE 'accepted' END AS outcome
         FROM nation""",
     "F1_stream_audit": f"""
-        SELECT user_id, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+        SELECT user_id,
+               CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation,
                CASE WHEN event_type <> 'signup' THEN CAST(to_json({_BEFORE}) AS VARCHAR) END AS before,
                CASE WHEN event_type <> 'error' THEN CAST(to_json({_AFTER}) AS VARCHAR) END AS after,
                ts AS changed_at

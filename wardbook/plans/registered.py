@@ -14,6 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardbook.functions import weekday_label
 from wardbook.model import HOSPITAL, RESIDENT, SUPERVISOR, UNIT_KINDS
 from wardbook.operators import analytics, changes, ingest, listings, quality
 from wardbook.plans import surface
@@ -269,7 +270,7 @@ def b11_json(spark: SparkSession, d: str) -> DataFrame:
     pair = F.array(procedure("l_partkey", F.col("l_quantity").cast("int")),
                    procedure("l_suppkey", F.col("l_linenumber") - 1))
     batch = lineitem.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("encounter_id"),
+        F.concat_ws("-", *LINE_KEY, F.round(F.col("l_extendedprice") * 100).cast("long")).alias("encounter_id"),
         F.col("l_shipdate").alias("started_at"), F.lit(30).alias("minutes"),
         F.col("l_suppkey").alias("patient_id"),
         (F.col("l_suppkey") - F.col("l_suppkey") % 2).alias("resident_id"),
@@ -283,7 +284,7 @@ def b11_json(spark: SparkSession, d: str) -> DataFrame:
 
 def line_requests(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("request_id"),
+        F.concat_ws("-", *LINE_KEY).alias("request_id"),
         F.col("l_orderkey").alias("encounter_id"), F.col("l_partkey").alias("procedure_id"),
         F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"),
         F.col("l_extendedprice").alias("price"),
@@ -386,14 +387,12 @@ def moves(spark: SparkSession, d: str) -> changes.Moved:
     slots to move to.
     """
     (events,) = read_raw(spark, d, "events")
-    t = duty_clinic(spark, d)
-    at = roster_requests(events.where("event_type = 'purchase'"))
-    to = roster_requests(events.where("event_type = 'purchase'").withColumn(
-        "ts", F.col("ts") + F.make_dt_interval(days=(1 + F.col("event_id") % 3).cast("int"))))
-    requests = at.select(
+    later = F.col("ts") + F.make_dt_interval(days=(1 + F.col("event_id") % 3).cast("int"))
+    requests = roster_requests(events.where("event_type = 'purchase'"), to_weekday=weekday_label(later)).select(
         "request_id", "resident_id", F.col("weekday").alias("from_weekday"), F.col("turn").alias("from_turn"),
-    ).join(to.select("request_id", F.col("weekday").alias("to_weekday"), F.col("turn").alias("to_turn")), "request_id")
-    return changes.move_roster(t["roster"].where("unit_id in ('signup', 'click')"), requests)
+        "to_weekday", F.col("turn").alias("to_turn"))
+    standing = duty_clinic(spark, d)["roster"].where("unit_id in ('signup', 'click')")
+    return changes.move_roster(standing, requests)
 
 
 @query("C3_move_roster")
@@ -565,8 +564,8 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("F3_stream_roster")
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    labelled = jobs.run_to_table(jobs.stream_roster(roster_requests(event_stream(spark, d, bytes_per_batch=1 << 30))), "roster")
-    return outcome(labelled, "request_id")
+    requests = roster_requests(event_stream(spark, d, bytes_per_batch=1 << 30))
+    return outcome(jobs.run_to_table(jobs.stream_roster(requests), "roster"), "request_id")
 
 
 # ---- G: SQL surface -------------------------------------------------------

@@ -12,7 +12,6 @@ from wardbook.functions import month_bounds
 from wardbook.functions.frames import Tables
 from wardbook.model import HOSPITAL, RESIDENT, SUPERVISOR
 from wardbook.operators import analytics, listings
-from wardbook.sources.load import register_views as register_tables
 from wardbook.sources.load import to_stored
 
 VIEWS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -131,6 +130,5 @@ def run_named(spark: SparkSession, name: str, **params: int | str | date | None)
 
 
 __all__ = [
-    "CATALOGUE", "SessionTables", "VIEWS", "register_functions", "register_stored_tables", "register_tables",
-    "register_views", "run_named",
+    "CATALOGUE", "SessionTables", "VIEWS", "register_functions", "register_stored_tables", "register_views", "run_named",
 ]

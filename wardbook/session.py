@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more shuffle later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Streaming state on local disk instead of in executor memory.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 SHARED_DIR_SETTING = "spark.checkpoint.dir"

@@ -212,7 +212,7 @@ def orders_clinic(spark: SparkSession, directory: str) -> Clinic:
     return clinic
 
 
-def roster_requests(events: DataFrame) -> DataFrame:
+def roster_requests(events: DataFrame, **more: Column) -> DataFrame:
     """Every event asks for a place on the roster; the event id is its order of arrival."""
     turn = F.element_at(F.array(*map(F.lit, TURNS)), (F.floor(F.hour("ts") / 8) + 1).cast("int"))
     return events.select(
@@ -222,6 +222,7 @@ def roster_requests(events: DataFrame) -> DataFrame:
         turn.alias("turn"),
         F.col("user_id").alias("resident_id"),
         (2 * (F.col("event_id") % 5) + 1).alias("supervisor_id"),
+        *(column.alias(name) for name, column in more.items()),
     )
 
 
