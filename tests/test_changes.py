@@ -160,3 +160,48 @@ def test_role_changes(hospital, frame):
         1: "changed", 2: "blocked_subtype", 3: "unchanged", 4: "not_found", 5: "invalid_role"}
     roles = dict(rows(result.table.select("staff_id", "role")))
     assert roles[C1] == "preceptor" and roles[C2] == "residente" and len(roles) == 10
+
+
+def one_move_after_the_other(base, moves):
+    """The rule as it reads: rows move one at a time, each tested against all others; a failure undoes the move."""
+    table = {row_id: (unit, weekday, turn, resident) for row_id, unit, weekday, turn, resident in base}
+    result, seen = {}, set()
+    for request, resident, from_day, from_turn, to_day, to_turn in sorted(moves):
+        if resident in seen:
+            result[request] = ("ambiguous", 0)
+            continue
+        seen.add(resident)
+        at = lambda day, turn: [
+            i for i, row in sorted(table.items()) if row[1:] == (day, turn, resident)]
+        origin, destination = at(from_day, from_turn), at(to_day, to_turn)
+        if {table[i][0] for i in origin} & {table[i][0] for i in destination}:
+            result[request] = ("conflict_same_unit", 0)
+            continue
+        trial = dict(table)
+        for i in origin:
+            unit = trial[i][0]
+            if any(j != i and row[1:] == (to_day, to_turn, resident) and row[0] != unit for j, row in trial.items()):
+                result[request] = ("conflict_other_unit", 0)
+                break
+            trial[i] = (unit, to_day, to_turn, resident)
+        else:
+            table = trial
+            result[request] = ("moved", len(origin))
+    return result, {(i, *row) for i, row in table.items()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_moves_equal_the_sequential_rule(frame, seed):
+    import random
+    rng = random.Random(seed)
+    days, turns = ["segunda", "terca", "quarta"], ["manha", "tarde"]
+    slots = {(f"u{rng.randrange(3)}", rng.choice(days), rng.choice(turns), f"r{rng.randrange(60)}") for _ in range(150)}
+    base = [(i, *slot) for i, slot in enumerate(sorted(slots))]
+    moves = [(i, f"r{rng.randrange(60)}", rng.choice(days), rng.choice(turns), rng.choice(days), rng.choice(turns))
+             for i in range(90)]
+    outcome, table = moved(
+        frame("roster_id int, unit_id string, weekday string, turn string, resident_id string", *base), frame, *moves)
+    expected, after = one_move_after_the_other(base, moves)
+    assert outcome == expected
+    assert as_set(table) == after
+    assert {s for s, _ in expected.values()} == {"moved", "ambiguous", "conflict_same_unit", "conflict_other_unit"}
