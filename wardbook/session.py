@@ -16,7 +16,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more shuffle later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Streaming state on local disk instead of in executor memory.
+}
+
+# Streaming state on local disk instead of in executor memory. A choice of the
+# session that owns the checkpoints: it cannot change between runs of a stream.
+STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -25,7 +29,7 @@ SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Applies the settings above to a session that somebody else built."""
+    """Applies the general settings to a session that somebody else built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -35,7 +39,7 @@ def build_session(app: str = "wardbook", master: str | None = None, **settings:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **settings}.items():
+    for key, value in {**SETTINGS, **STREAM_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
