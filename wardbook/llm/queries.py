@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardbook.llm import bpe, exact_dedup, simhash
+from wardbook.llm import bpe, decontaminate, exact_dedup, simhash
 from wardbook.llm.common import read_table
 
 
@@ -14,12 +14,17 @@ def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontaminate.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op6_simhash_near_dedup, op8_bpe,
+    op1_exact_dedup, op6_simhash_near_dedup, op7_decontamination, op8_bpe,
 )}
 
 ORACLE = {
