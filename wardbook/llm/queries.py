@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardbook.llm import bpe, decontaminate, exact_dedup, simhash
+from wardbook.llm import bpe, decontaminate, exact_dedup, simhash, substring_dedup
 from wardbook.llm.common import read_table
 
 
@@ -10,6 +10,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op8_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op6_simhash_near_dedup, op7_decontamination, op8_bpe,
+    op1_exact_dedup, op3_substring_dedup, op6_simhash_near_dedup, op7_decontamination, op8_bpe,
 )}
 
 ORACLE = {
