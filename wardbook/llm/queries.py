@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from wardbook.llm import bpe, decontaminate, exact_dedup, simhash, substring_dedup
+from pyspark.sql import functions as F
+
+from wardbook.llm import bpe, decontaminate, exact_dedup, langid, simhash, substring_dedup
 from wardbook.llm.common import read_table
 
 
@@ -27,8 +29,16 @@ def op8_bpe(spark, sf_dir):
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).withColumn("held_out", held_out)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op3_substring_dedup, op6_simhash_near_dedup, op7_decontamination, op8_bpe,
+    op10_language_id,
 )}
 
 ORACLE = {
