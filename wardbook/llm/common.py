@@ -64,3 +64,8 @@ def keep_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
     right = keepers.select(*(c.alias(k) for k, c in row_key(keepers, F.col("text_hash")).items())).distinct()
     left = docs.withColumns(row_key(docs, text_hash()))
     return left.join(right, list(_KEY), "left_semi").dropDuplicates(list(_KEY)).drop(*_KEY)
+
+
+def fold(folds: int, held_out: int) -> Column:
+    """Whether a row is held out: crc32 of its id as text, modulo ``folds``. Rows without an id always are."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out, F.lit(True))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardbook.llm import bpe, decontaminate, exact_dedup, langid, simhash, substring_dedup
-from wardbook.llm.common import read_table
+from wardbook.llm import bpe, decontaminate, exact_dedup, langid, simhash, substring_dedup, toxicity
+from wardbook.llm.common import fold, read_table
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -29,16 +29,23 @@ def op8_bpe(spark, sf_dir):
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = fold(5, 0)
+    model, scorer = toxicity.train(docs, labels.where(~held_out).select("doc_id", F.col("toxic").alias("label")))
+    return toxicity.score(docs, model, scorer).withColumn("held_out", held_out)
+
+
 def op10_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = fold(3, 1)
     model = langid.train(docs.where(~held_out))
     return langid.identify(docs, model).withColumn("held_out", held_out)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op3_substring_dedup, op6_simhash_near_dedup, op7_decontamination, op8_bpe,
-    op10_language_id,
+    op9_toxicity, op10_language_id,
 )}
 
 ORACLE = {
