@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardbook.llm import bpe, common, exact_dedup, simhash
+from wardbook.llm import bpe, common, decontaminate, exact_dedup, quality, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go. It learns from the labels outside its held-out fold."""
+    labels = common.read_table(spark, sf_dir, "labels").where(~common.fold(4, 2))
+    trees = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality.good_documents(docs, trees)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +25,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.representatives(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of words with a benchmark item go."""
+    return decontaminate.clean_documents(docs, common.read_table(spark, sf_dir, "benchmark"))
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
     return bpe.encode_documents(docs)
 
 
 STAGES = [
+    ("quality_classifier", quality_stage),
     ("exact_dedup", exact_dedup_stage),
     ("simhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
     ("bpe", bpe_stage),
 ]
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardbook.session import new_run_dir
 
@@ -26,7 +27,7 @@ def settle(df: DataFrame, job: str) -> DataFrame:
 
 
 def by_batch(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
-             schema: str) -> DataFrame:
+             schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, for long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     return df.mapInArrow(work, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardbook.llm import bpe, decontaminate, exact_dedup, langid, simhash, substring_dedup, toxicity
+from wardbook.llm import bpe, decontaminate, exact_dedup, langid, quality, simhash, substring_dedup, toxicity
 from wardbook.llm.common import fold, read_table
 
 
@@ -12,6 +12,13 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = fold(4, 2)
+    trees = quality.train(docs, labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    return quality.score(docs, trees).withColumn("held_out", held_out)
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
 
@@ -44,7 +51,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_substring_dedup, op6_simhash_near_dedup, op7_decontamination, op8_bpe,
+    op1_exact_dedup, op2_quality_classifier, op3_substring_dedup, op6_simhash_near_dedup, op7_decontamination, op8_bpe,
     op9_toxicity, op10_language_id,
 )}
 
