@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardbook.llm import bpe, decontaminate, exact_dedup, langid, pii, quality, simhash, substring_dedup, toxicity
+from wardbook.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii, quality, simhash, substring_dedup, toxicity
 from wardbook.llm.common import fold, read_table
 
 
@@ -23,6 +23,10 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark, sf_dir):
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark, sf_dir):
     return pii.find_identifiers(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_quality_classifier, op3_substring_dedup, op5_pii,
+    op1_exact_dedup, op2_quality_classifier, op3_substring_dedup, op4_license_scans, op5_pii,
     op6_simhash_near_dedup, op7_decontamination, op8_bpe,
     op9_toxicity, op10_language_id,
 )}
@@ -70,4 +74,5 @@ ORACLE = {
                sha256(d.text) AS text_sha256
         FROM d JOIN g USING (text)
     """,
+    "op4_license_scans": licenses.oracle_sql(),
 }
