@@ -26,7 +26,7 @@ NODE_BYTES = 400
 class Node:
     """A place in the trie: the label that leads to it, children by their first byte, and what ends here."""
 
-    __slots__ = ("label", "children", "value", "weight")
+    __slots__ = ("label", "children", "value")
 
     def __init__(self, label: bytes, value: tuple | None = None):
         self.label, self.children, self.value = label, {}, value
@@ -102,21 +102,26 @@ class PatriciaTrie:
         self.spilled[first] = file
         self.size -= weights[first]
 
-    def items(self, before: bytes = b"") -> Iterator[tuple[bytes, tuple]]:
-        """All strings with their values; ``before`` is what leads to the root. The trie is used up."""
-        if self.root.value is not None:
-            yield before, self.root.value
-        for child in self.root.children.values():
-            yield from _walk(child, before)
-        self.root.children = {}
-        while self.spilled:
-            first, file = self.spilled.popitem()
-            below = PatriciaTrie(self.limit)
-            with file:
-                file.seek(0)
-                while (entry := _read(file)) is not None:
-                    below.insert(*entry, at=len(before) + 1)
-            yield from below.items(before + bytes([first]))
+    def items(self) -> Iterator[tuple[bytes, tuple]]:
+        """All strings with their values. The trie is used up."""
+        yield from _walk(self.root, b"")
+        files = list(self.spilled.values())
+        while files:
+            # What all strings of a file begin with leads to the root of a trie for them; below, they part.
+            with files.pop() as file:
+                lead = _shared_prefix(file)
+                below = PatriciaTrie(self.limit)
+                for key, value in _entries(file):
+                    below.insert(key, value, at=len(lead))
+            yield from _walk(below.root, lead)
+            files.extend(below.spilled.values())
+
+
+def _shared_prefix(file: BinaryIO) -> bytes:
+    lead = None
+    for key, _ in _entries(file):
+        lead = key if lead is None else lead[:_common(lead, key, 0)]
+    return lead or b""
 
 
 def _walk(top: Node, before: bytes) -> Iterator[tuple[bytes, tuple]]:
@@ -147,12 +152,11 @@ def _write(file: BinaryIO, key: bytes, value: tuple) -> None:
     file.write(key)
 
 
-def _read(file: BinaryIO) -> tuple[bytes, tuple] | None:
-    head = file.read(_ENTRY.size)
-    if not head:
-        return None
-    length, n, low, high, known = _ENTRY.unpack(head)
-    return file.read(length), (n, low, high) if known else (n, None, None)
+def _entries(file: BinaryIO) -> Iterator[tuple[bytes, tuple]]:
+    file.seek(0)
+    while head := file.read(_ENTRY.size):
+        length, n, low, high, known = _ENTRY.unpack(head)
+        yield file.read(length), (n, low, high) if known else (n, None, None)
 
 
 SCHEMA = "text string, n long, low long, high long"
