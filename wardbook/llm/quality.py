@@ -92,7 +92,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
     inner, leaves = 2 ** DEPTH - 1, 2 ** DEPTH
     none = np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves))
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Trees(float(np.log((share + 1e-6) / (1 - share + 1e-6))), *none, learned=False)
     cuts = [np.unique(np.quantile(c, np.arange(1, BINS) / BINS, method="lower")) for c in x.T]
     binned = np.stack([np.searchsorted(cut, c, "left") for cut, c in zip(cuts, x.T)])  # c > cut[b] iff bin > b

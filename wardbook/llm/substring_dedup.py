@@ -75,6 +75,10 @@ class _Batch:
         # Rows without an id neither have nor are an earlier document.
         self.asks = self.known_id & (self.counts >= WINDOW)
 
+    def found(self, column: pa.Array) -> list:
+        """By document the places that were found in it, None for none."""
+        return [p if known else None for p, known in zip(column.to_pylist(), self.known_id.tolist())]
+
     def runs(self, n: int, kind: int, cover: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the batch, document, hash) of the runs of ``n`` words, of all or at cover places."""
         found = []
@@ -156,7 +160,7 @@ def _ask_windows(buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in _numbers(batches):
             b = _Batch(batch)
-            shared = _expand(b, batch.column("found").to_pylist(), *b.runs(ANCHOR, 0, cover=True))
+            shared = _expand(b, b.found(batch.column("found")), *b.runs(ANCHOR, 0, cover=True))
             place, text, key = b.runs(WINDOW, 0)
             check = b.runs(WINDOW, 1)[2]
             # A window holds the anchors that start at its first PERIOD words.
@@ -257,16 +261,18 @@ def _found(cells: DataFrame, windows: bool) -> DataFrame:
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
-    """The texts of ``docs`` by row key, with found: windows that start in a smaller document too."""
+    """The texts of ``docs`` by row key, with found: windows that start in a smaller document too.
+
+    Both joins take the same columns of the texts, so that they share one shuffle of them. The key of a row
+    without an id may be that of another row; such rows are known by __llm_null.
+    """
     buckets = BUCKETS_PER_TASK * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumns(row_key(docs, text_hash()))
     keyed = keyed.withColumn("__llm_id", F.col("__llm_id").cast("long"))
-    null_of = F.lit(False).alias("__llm_null")
-    asked = by_batch(keyed.drop("doc_id"), _ask_anchors(buckets), CELL)
-    shared = _found(asked, False).select(null_of, "*")
-    keys = ["__llm_null", "__llm_id", "__llm_hash"]
-    asked = by_batch(keyed.join(shared, keys).select(*keys, "text", "found"), _ask_windows(buckets), CELL)
-    return keyed.join(_found(asked, True).select(null_of, "*"), keys, "left")
+    keys = ["__llm_id", "__llm_hash"]
+    shared = _found(by_batch(keyed, _ask_anchors(buckets), CELL), False)
+    asked = by_batch(keyed.join(shared, keys), _ask_windows(buckets), CELL)
+    return keyed.join(_found(asked, True), keys, "left")
 
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -281,7 +287,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = _Batch(batch)
-            found = batch.column("found").to_pylist()
+            found = b.found(batch.column("found"))
             starts = _expand(b, found, *b.runs(WINDOW, 0)) if any(found) else np.zeros(int(b.first[-1]), bool)
             # Covered: one of the WINDOW places up to here starts a window that goes.
             sums = np.concatenate([[0], np.cumsum(starts)])

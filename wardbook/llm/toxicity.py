@@ -38,12 +38,14 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 # Letters a-z are 1 to 26, other letters 27, all else the border 0.
 CODES = 28
 
-LOG_SUBSTITUTED, LOG_DROPPED, LOG_KEPT = math.log(0.5), math.log(0.3), math.log(0.6)
+LOG_SUBSTITUTED, LOG_KEPT = math.log(0.5), math.log(0.6)
+# A letter may well stand twice; from the third on, a repetition is a stretched word.
+LOG_DROPPED, LOG_DROPPED_SECOND = math.log(0.3), math.log(0.02)
 
 _PLAIN = re.compile(r"[^\W\d_]+")
-_EDGES = re.compile(r"^[^\w@$!|+(]+|[^\w]+$")
+_EDGES = re.compile(r"^([\W_]*)(.*?)[\W_]*$", re.DOTALL)
 _REPEATED = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ " + re.escape(SEPARATORS) + r"]\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ " + re.escape(SEPARATORS) + r"]\S){3,}(?!\w)")
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -100,7 +102,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         else:
             options = [(c, LOG_KEPT)]
         if i and token[i - 1] == c:
-            options.append(("", LOG_DROPPED))
+            options.append(("", LOG_DROPPED if token[i - 2:i] == c + c else LOG_DROPPED_SECOND))
         found.append(options)
     return found
 
@@ -147,7 +149,9 @@ class Restorer(dict):
         return words
 
     def read(self, token: str) -> tuple[str, ...]:
-        core = _EDGES.sub("", token)
+        lead, core = _EDGES.match(token).groups()
+        if len(lead) == 1 and lead in LOOK_ALIKES:
+            core = lead + core
         if _PLAIN.fullmatch(core) and not _REPEATED.search(core) or len(core) > LONGEST_TOKEN:
             return (core,) if len(core) <= LONGEST_TOKEN else ()
         letters = sum(c.isalpha() for c in core)
@@ -169,6 +173,8 @@ class Restorer(dict):
                 found[word] += n
         if sum(n for t, n in tokens.items() if len(t) == 1) >= 4 or any(len(t) > 6 and t[1] in SEPARATORS for t in tokens):
             for match in _SPACED.finditer(lower):
+                if " " not in match.group():
+                    continue  # a token, which is counted already
                 joined = re.sub(f"[ {re.escape(SEPARATORS)}]", "", match.group())
                 if len(joined) <= LONGEST_TOKEN:
                     for word in self[joined]:
