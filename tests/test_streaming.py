@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import as_set, rows
 from tests.test_ingest import SLOT_REQUEST, crowd, one_after_the_other
 from wardbook.operators import changes, ingest
+from wardbook.plans import registered
 from wardbook.streaming import jobs
 
 
@@ -24,7 +26,7 @@ def arrive(df, path, order, parts):
 
 
 def stream(df, path):
-    return jobs.read_files(df.sparkSession, path, df.schema, files_per_batch=1)
+    return jobs.read_stream(df.sparkSession, path, df.schema, files_per_batch=1)
 
 
 @pytest.mark.parametrize("with_base", [False, True])
@@ -35,7 +37,7 @@ def test_roster_stream_equals_the_batch_operator(frame, tmp_path, with_base):
     standing = frame("unit_id string, weekday string, turn string, resident_id string", *base)
     path = str(tmp_path / "requests")
     arrive(batch, path, "request_id", 4)
-    labelled = jobs.run_to_table(jobs.stream_roster(stream(batch, path), standing if with_base else None), "roster")
+    labelled = jobs.roster_to_table(stream(batch, path), standing if with_base else None)
     found = {r["request_id"]: r["reason"] for r in labelled.collect()}
     expected = {r["request_id"]: r["reason"] for r in ingest.assign_roster(batch, standing).labelled.collect()}
     assert found == expected
@@ -49,7 +51,7 @@ def test_roster_stream_goes_on_where_it_stopped(frame, tmp_path):
     second = frame(SLOT_REQUEST, (2, "u2", "segunda", "manha", "r", "s"), (3, "u2", "terca", "manha", "r", "s"))
     for part in (first, second):
         part.coalesce(1).write.mode("append").parquet(path)
-        labelled = jobs.run_to_table(jobs.stream_roster(stream(part, path)), "roster", job)
+        labelled = jobs.roster_to_table(stream(part, path), directory=job)
     assert {r["request_id"]: r["reason"] for r in labelled.collect()} == {1: None, 2: "overlap", 3: None}
 
 
@@ -59,7 +61,7 @@ def test_means_stream_with_inserts_updates_and_deletes(frame, tmp_path):
     changes_df = frame("at int, procedure_id string, minutes int, sign int", *log)
     path = str(tmp_path / "changes")
     arrive(changes_df, path, "at", 3)
-    versions = jobs.run_to_table(jobs.stream_procedure_means(stream(changes_df, path)), "means")
+    versions = jobs.means_to_table(stream(changes_df, path))
     found = {r["procedure_id"]: (r["executions"], r["mean_minutes"]) for r in jobs.current_means(versions).collect()}
     left = [(p, m) for i, p, m, s in log if s == 1 and p != "d1" and i % 4 != 0]
     performed = frame("procedure_id string, minutes int", *left)
@@ -85,8 +87,7 @@ def test_audit_stream_drops_replays(frame, tmp_path):
     path = str(tmp_path / "log")
     log.repartition(1).write.parquet(path)
     log.limit(2).coalesce(1).write.mode("append").parquet(path)
-    entries = jobs.run_to_table(
-        jobs.stream_audit(stream(log, path), "encounter_id", user=F.lit("nurse")), "audit").collect()
+    entries = jobs.audit_to_table(stream(log, path), "encounter_id", user=F.lit("nurse")).collect()
     found = {r["operation"]: r for r in entries}
     assert len(entries) == 3 and set(found) == {"INSERT", "UPDATE", "DELETE"}
     assert found["INSERT"]["before"] is None and found["DELETE"]["after"] is None
@@ -98,3 +99,51 @@ def test_helper_writes_in_order(frame, tmp_path):
     df = frame("k int", *((i,) for i in (3, 1, 2)))
     arrive(df, str(tmp_path / "x"), "k", 3)
     assert as_set(df.sparkSession.read.parquet(str(tmp_path / "x"))) == {(1,), (2,), (3,)}
+
+
+CHANGE = ("change_id int, operation string, encounter_id string, before struct<minutes:int>, "
+          "after struct<minutes:int>, changed_at timestamp_ntz")
+
+
+def test_audit_stream_logs_late_changes(frame, tmp_path):
+    at = dt.datetime(2025, 6, 1, 12)
+    path, job = str(tmp_path / "log"), str(tmp_path / "job")
+    for i, hours in enumerate((0, -3, 30, -5)):
+        change = (i, "UPDATE", "e", (1,), (2,), at + dt.timedelta(hours=hours))
+        frame(CHANGE, change).coalesce(1).write.mode("append").parquet(path)
+        log = frame(CHANGE, change)
+        found = jobs.audit_to_table(stream(log, path), "encounter_id", directory=job)
+        assert found.count() == i + 1
+    replay = (1, "UPDATE", "e", (1,), (2,), at - dt.timedelta(hours=3))
+    frame(CHANGE, replay, replay).coalesce(1).write.mode("append").parquet(path)
+    assert jobs.audit_to_table(stream(log, path), "encounter_id", directory=job).count() == 4
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 3, None])
+def test_roster_stream_is_the_same_however_it_is_cut(frame, tmp_path, files_per_batch):
+    # Files out of order, and a third of the requests by one resident.
+    requests = [(i, u, w, t, "r1" if i % 3 == 0 else r, s) for i, u, w, t, r, s in crowd(240, 9)]
+    batch = frame(SLOT_REQUEST, *requests)
+    path = str(tmp_path / "requests")
+    arrive(batch.withColumn("at", -F.col("request_id")), path, "at", 6)
+    source = jobs.read_stream(batch.sparkSession, path, batch.schema, files_per_batch=files_per_batch)
+    found = {r["request_id"]: r["reason"] for r in jobs.roster_to_table(source).collect()}
+    empty = batch.limit(0).select("unit_id", "weekday", "turn", "resident_id")
+    assert found == {r["request_id"]: r["reason"] for r in ingest.assign_roster(batch, empty).labelled.collect()}
+    assert found == one_after_the_other(requests, [])
+
+
+@pytest.mark.parametrize("name", ["F1_stream_audit", "F2_stream_procedure_means", "F3_stream_roster"])
+def test_registered_streams_read_folders_of_part_files(spark, tmp_path, name):
+    single = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    spark.read.parquet(f"{single}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    build = registered.QUERIES[name]
+    assert as_set(build(spark, str(tmp_path))) == as_set(build(spark, single))
+
+
+def test_a_stream_without_files_is_an_error(spark, frame, tmp_path):
+    (tmp_path / "none.parquet").mkdir()
+    with pytest.raises(FileNotFoundError):
+        jobs.read_stream(spark, f"{tmp_path}/none.parquet", frame("k int").schema)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        jobs.read_stream(spark, f"{tmp_path}/absent.parquet", frame("k int").schema)

@@ -10,9 +10,9 @@ from wardbook.functions.columns import (
     stable_id,
     weekday_label,
 )
-from wardbook.functions.frames import distinct_keys, named
+from wardbook.functions.frames import distinct_keys, named, splittable
 
 __all__ = [
     "blank", "distinct_keys", "first_failure", "in_order_of", "month_bounds", "month_of",
-    "named", "ratio", "stable_id", "weekday_label",
+    "named", "ratio", "splittable", "stable_id", "weekday_label",
 ]

@@ -15,11 +15,21 @@ def distinct_keys(df: DataFrame, *columns: str, renamed: tuple[str, ...] = ()) -
 
     Used for the right side of every semi, anti and presence join: the partial
     aggregate removes repeats before the shuffle, so a hot key travels as one row
-    per task, and the join reuses the partitioning of the aggregate.
+    per task.
     """
     names = renamed or columns
     keys = df.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
-    return keys.dropna().distinct()
+    return splittable(keys.dropna().distinct())
+
+
+def splittable(right: DataFrame) -> DataFrame:
+    """An aggregate as the right side of a join whose left side may have a hot key.
+
+    Spark splits a hot key at run time only where a shuffle lies directly below both
+    sides of the join. A join that reuses the partitioning of an aggregate has none
+    there, so the aggregate is dealt out anew, in partitions of any rows.
+    """
+    return right.hint("rebalance")
 
 
 def named(tables: Tables, role: str, *columns: str, prefix: str = "") -> DataFrame:

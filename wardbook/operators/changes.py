@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions import distinct_keys, ratio, stable_id
-from wardbook.functions.frames import Tables
+from wardbook.functions.frames import Tables, splittable
 from wardbook.model import CASCADE, HOSPITAL, RESTRICT, ROLES, Table
 from wardbook.operators.ingest import PAIR, order_key
 
@@ -69,8 +69,8 @@ def delete_performed(base: DataFrame, requests: DataFrame, billing: DataFrame,
         F.when(F.col("_exists").isNull(), "not_found").when(F.col("_billed"), "blocked_billed")
         .when(first, "deleted").otherwise("not_found")
     )
-    judged = requests.join(fate, pair, "left").select(*requests.columns, outcome.alias("outcome"))
-    return Deleted(base.join(deletable, pair, "left_anti"), judged)
+    judged = requests.join(splittable(fate), pair, "left").select(*requests.columns, outcome.alias("outcome"))
+    return Deleted(base.join(splittable(deletable), pair, "left_anti"), judged)
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def move_roster(base: DataFrame, moves: DataFrame, order: str = "request_id") ->
     * ``moved``, with 0 rows when nothing matches the origin.
     """
     first = moves.groupBy("resident_id").agg(F.min(order).alias("_first"))
-    ranked = moves.join(first, "resident_id", "left")
+    ranked = moves.join(splittable(first), "resident_id", "left")
     chosen = ranked.where(F.col(order) == F.col("_first")).drop("_first")
     at_origin = (F.col("weekday") == F.col("from_weekday")) & (F.col("turn") == F.col("from_turn"))
     at_destination = (F.col("weekday") == F.col("to_weekday")) & (F.col("turn") == F.col("to_turn"))
@@ -125,7 +125,7 @@ def move_roster(base: DataFrame, moves: DataFrame, order: str = "request_id") ->
     applied = chosen.join(verdict.where("status = 'moved' and leaving > 0").select(order), order, "left_semi")
     targets = applied.select("resident_id", "from_weekday", "from_turn", "to_weekday", "to_turn")
     hit = F.coalesce(at_origin, F.lit(False))
-    table = base.join(targets, "resident_id", "left").select(*(
+    table = base.join(splittable(targets), "resident_id", "left").select(*(
         F.when(hit, F.col(f"to_{c}")).otherwise(F.col(c)).alias(c) if c in ("weekday", "turn") else F.col(c)
         for c in base.columns
     ))
@@ -152,11 +152,12 @@ def as_json(image: str) -> Column:
     return F.to_json(image, {"ignoreNullFields": "false"})
 
 
-def audit_entries(changes: DataFrame, key: str, changed_at: Column, user: Column | None = None) -> DataFrame:
-    """Change rows as audit log entries; ids are digests of key, operation and time."""
+def audit_entries(changes: DataFrame, key: str, changed_at: Column, user: Column | None = None,
+                  *carry: str) -> DataFrame:
+    """Change rows as audit log entries; ids are digests of key, operation and time. ``carry`` columns come along."""
     entries = changes.select(
         key, "operation", as_json("before").alias("before"), as_json("after").alias("after"),
-        changed_at.alias("changed_at"), *([] if user is None else [user.alias("changed_by")]),
+        changed_at.alias("changed_at"), *([] if user is None else [user.alias("changed_by")]), *carry,
     )
     return entries.withColumn("audit_id", stable_id(key, "operation", "changed_at"))
 

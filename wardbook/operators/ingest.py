@@ -4,7 +4,9 @@ Every operator returns ``accepted`` rows and ``rejected`` requests that together
 are the whole batch. A request carries the first reason that applies, in a fixed
 order. Where the first of several competing requests wins, the winner is found by
 an aggregate (which combines on the map side) and joined back, never by a window
-over the group: a key asked for by a third of all requests stays spread out.
+over the group. What is joined back is a shuffle away from its aggregate (see
+``splittable``), so that the requests of a key that a third of them ask for are split
+over tasks by the skewed-join rule.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardbook.functions import blank, distinct_keys, first_failure, stable_id
-from wardbook.functions.frames import Tables
+from wardbook.functions.frames import Tables, splittable
 from wardbook.model import (
     BLOOD_GROUPS,
     PERSON,
@@ -124,7 +126,7 @@ def _field_reasons(required: Sequence[str], types: Types) -> Reasons:
 
 def _mark_known(batch: DataFrame, columns: Sequence[str], known: DataFrame, flag: str) -> DataFrame:
     """Adds ``flag``: TRUE where the key is among ``known`` (distinct keys, same column names)."""
-    return batch.join(known.withColumn(flag, F.lit(True)), list(columns), "left")
+    return batch.join(known.withColumn(flag, F.lit(True)), list(columns), "left")  # distinct_keys are splittable
 
 
 def _unknown(flag: str) -> Column:
@@ -214,7 +216,7 @@ def _is_first(order: Sequence[str]) -> Column:
 def _mark_first(batch: DataFrame, key: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
     """Adds ``flag``: whether the row is the first of its key."""
     return (
-        batch.join(first_of(batch, key, order), list(key), "left")
+        batch.join(splittable(first_of(batch, key, order)), list(key), "left")
         .withColumn(flag, _is_first(order)).drop("_first")
     )
 
@@ -341,6 +343,21 @@ class Bundles:
     def rejected(self) -> DataFrame:
         return self.requests.rejected
 
+    @property
+    def labelled_items(self) -> DataFrame:
+        """Every item with the reason of its encounter's request, NULL if accepted; ``unknown_encounter`` without one."""
+        judged = self.requests.judged.select("encounter_id", "reason", F.lit(True).alias("_asked"))
+        if self.items is None:
+            own = self.requests.judged.select("encounter_id", "reason", F.explode("_items").alias("_item"))
+            return own.select("encounter_id", "_item.*", "reason").drop("bad")
+        found = self.items.join(judged, "encounter_id", "left")
+        reason = F.when(F.col("_asked").isNull(), "unknown_encounter").otherwise(F.col("reason"))
+        return found.select("encounter_id", "_item.*", reason.alias("reason")).drop("bad")
+
+    @property
+    def rejected_items(self) -> DataFrame:
+        return self.labelled_items.where("reason is not null")
+
     def settled(self) -> Bundles:
         return replace(self, requests=self.requests.settled())
 
@@ -409,7 +426,7 @@ def _flat_verdicts(batch: DataFrame, items: DataFrame, refs: Tables) -> tuple[Da
         F.bool_or(named & F.col("_known").isNull()).alias("_unknown"),
         F.bool_or(named & (F.col("_n") > 1)).alias("_repeated"),
     )
-    return batch.join(per_encounter, "encounter_id", "left"), {
+    return batch.join(splittable(per_encounter), "encounter_id", "left"), {
         "procedure_not_found": ~F.col("_unknown"),
         "invalid_item": ~F.col("_bad"),
         "repeated_procedure": ~F.col("_repeated"),
@@ -422,7 +439,8 @@ def register_encounter_bundle(batch: DataFrame, refs: Tables, items: DataFrame |
     Items (procedure_id, quantity, minutes, started_at, note) come nested in the
     column ``items``, as a JSON list or an array of structs, or as rows of their
     own with ``encounter_id``. Quantity defaults to 1 and the start to that of the
-    encounter; an encounter without items is legal.
+    encounter; an encounter without items is legal. Every item is either in
+    ``performed`` or in ``rejected_items``, also one whose encounter nobody asked for.
     """
     typed_batch = typed(batch, ENCOUNTER_TYPES)
     if items is None:
@@ -456,7 +474,7 @@ def _with_pair_facts(batch: DataFrame, valid: Column, order: Sequence[str],
     pairs = batch.dropna(subset=list(PAIR)).groupBy(*PAIR).agg(first)
     for flag, (df, columns) in known.items():
         pairs = _mark_known(pairs, columns, distinct_keys(df, *columns), flag)
-    return batch.join(pairs, list(PAIR), "left").withColumn("_is_first", _is_first(order))
+    return batch.join(splittable(pairs), list(PAIR), "left").withColumn("_is_first", _is_first(order))
 
 
 def judge_performed(batch: DataFrame, refs: Tables, order: Sequence[str] = ("request_id",)) -> DataFrame:
@@ -539,7 +557,7 @@ def against_standing(judged: DataFrame, base: DataFrame) -> DataFrame:
         .when((unit == F.col("_low")) & (unit == F.col("_high")), "duplicate_slot").otherwise("overlap")
     )
     return (
-        judged.join(standing, list(SLOT), "left")
+        judged.join(splittable(standing), list(SLOT), "left")
         .withColumn("reason", F.coalesce("reason", held)).drop("_low", "_high")
     )
 
@@ -548,14 +566,15 @@ def label_roster(batch: DataFrame, base: DataFrame, refs: Tables | None = None,
                  order: Sequence[str] = ("request_id",)) -> DataFrame:
     """The batch with ``reason``; see :func:`assign_roster`."""
     judged = against_standing(judge_slots(batch, refs or {}), base)
-    open_slot = F.col("reason").isNull()
-    winner = first_of(judged.where(open_slot), SLOT, order, "unit_id")
+    winner = first_of(judged.where("reason is null"), SLOT, order, "unit_id")
+    return decided(judged, splittable(winner), order).select(*batch.columns, "reason")
+
+
+def decided(judged: DataFrame, winner: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Refuses the valid requests that are not the winner of their slot (see :func:`first_of`)."""
     lost = F.when(F.col("unit_id") == F.col("_first_unit_id"), "duplicate_slot").otherwise("overlap")
-    return (
-        judged.join(winner, list(SLOT), "left")
-        .withColumn("reason", F.when(open_slot & ~_is_first(order), lost).otherwise(F.col("reason")))
-        .select(*batch.columns, "reason")
-    )
+    loses = F.col("reason").isNull() & ~_is_first(order)
+    return judged.join(winner, list(SLOT), "left").withColumn("reason", F.when(loses, lost).otherwise(F.col("reason")))
 
 
 def assign_roster(batch: DataFrame, base: DataFrame, refs: Tables | None = None,

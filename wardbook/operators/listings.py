@@ -66,17 +66,16 @@ def list_procedures(t: Tables) -> DataFrame:
 def recent_encounters(t: Tables, limit: int = 50) -> DataFrame:
     """The newest encounters with names; equal instants by descending id.
 
-    The top rows are taken before any join: the references of an encounter are
-    mandatory and enforced on ingest, so the joins neither add nor drop rows.
+    The top rows are taken after the joins: nothing enforces the references of Parquet tables, and an
+    encounter that names nobody must not take the place of one that is listed.
     """
     order = (F.desc("started_at"), F.desc("encounter_id"))
-    newest = t["encounter"].orderBy(*order).limit(limit)
     return (
-        newest.join(named(t, "patient", prefix="patient"), "patient_id")
+        t["encounter"].join(named(t, "patient", prefix="patient"), "patient_id")
         .join(named(t, "resident", prefix="resident"), "resident_id")
         .join(named(t, "supervisor", prefix="supervisor"), "supervisor_id")
         .select("encounter_id", "started_at", "minutes", "patient", "resident", "supervisor")
-        .orderBy(*order)
+        .orderBy(*order).limit(limit)
     )
 
 

@@ -7,7 +7,9 @@ model to the test tables.
 
 from __future__ import annotations
 
-from wardbook.model import TURNS, WEEKDAYS
+# Fixed values, written out here so that a wrong label in the engine shows.
+WEEKDAYS = ("segunda", "terca", "quarta", "quinta", "sexta", "sabado", "domingo")
+TURNS = ("manha", "tarde", "noite")
 
 
 def _list(labels: tuple[str, ...]) -> str:
@@ -205,22 +207,26 @@ WITH lead_staff AS (
     FROM orders
 ), deletion AS (
     SELECT q.*, CASE
-        WHEN x.encounter_id IS NULL THEN 'not_found'
+        WHEN q.status <> 'F' OR x.encounter_id IS NULL THEN 'not_found'
         WHEN b.encounter_id IS NOT NULL THEN 'blocked_billed'
-        WHEN row_number() OVER (PARTITION BY q.encounter_id, q.procedure_id ORDER BY q.line, q.supplier, q.price) = 1
+        WHEN row_number() OVER (PARTITION BY q.encounter_id, q.procedure_id, q.status = 'F'
+                                ORDER BY q.line, q.supplier, q.price) = 1
         THEN 'deleted' ELSE 'not_found' END AS outcome
     FROM line_request q
     LEFT JOIN performed x ON x.encounter_id = q.encounter_id AND x.procedure_id = q.procedure_id
     LEFT JOIN billing b ON b.encounter_id = q.encounter_id AND b.procedure_id = q.procedure_id
-    WHERE q.status = 'F'
 ), standing AS (
-    SELECT * FROM roster WHERE unit_id IN ('signup', 'click')
+    SELECT * REPLACE (CASE WHEN unit_id IN ('signup', 'click') THEN resident_id ELSE -1 - resident_id END
+                      AS resident_id) FROM roster
+), move_request AS (
+    SELECT * REPLACE (CASE WHEN unit_id = 'purchase' THEN resident_id ELSE -1 - resident_id END AS resident_id)
+    FROM request
 ), move AS (
     SELECT request_id, resident_id, weekday AS from_weekday, turn AS from_turn,
            ({_list(WEEKDAYS)})[isodow(ts + to_days(CAST(1 + request_id % 3 AS INTEGER)))] AS to_weekday,
            turn AS to_turn,
            row_number() OVER (PARTITION BY resident_id ORDER BY request_id) AS place
-    FROM request WHERE unit_id = 'purchase'
+    FROM move_request
 ), move_outcome AS (
     SELECT m.*, coalesce(o.rows, 0) AS leaving, CASE
         WHEN place > 1 THEN 'ambiguous'
@@ -297,6 +303,10 @@ _AFTER_IMAGE = _ORDER_IMAGE.format("a", "a.minutes + a.extra")
 # Queries over the bindings, and queries over the raw tables alone.
 _BOUND = {
     "A2_export_result": f"SELECT {_BY_RESIDENT}, {mean('total', 'encounters')} AS mean_minutes FROM by_resident",
+    "A2_export_result_csv": "SELECT * FROM monthly",
+    "A2_export_result_parquet": """
+        SELECT patient_id, encounter_id, started_at, minutes, patient, resident, supervisor, unit
+        FROM encounter_names""",
     "B3_audit_not_null": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing FROM stay" for c in _STAY),
     "B6_audit_exclusive_roles": """
@@ -337,6 +347,23 @@ _BOUND = {
     "B11_register_encounter_bundle_performed": """
         SELECT i.encounter_id, i.procedure_id, i.quantity, i.minutes, coalesce(i.started_at, o.started_at) AS started_at
         FROM bundle_item i JOIN bundle_outcome o ON o.encounter_id = i.encounter_id WHERE o.outcome = 'accepted'""",
+    "B11_register_encounter_bundle_items": """
+        SELECT encounter_id, outcome, count(*) AS items, sum(quantity) AS quantity FROM (
+            SELECT i.encounter_id, i.quantity, CASE WHEN r.price <= 400000 THEN o.outcome
+                ELSE 'unknown_encounter' END AS outcome
+            FROM bundle_item i LEFT JOIN bundle_outcome o ON o.encounter_id = i.encounter_id
+            LEFT JOIN encounter_request r ON r.encounter_id = i.encounter_id)
+        GROUP BY encounter_id, outcome""",
+    "B11_bundle_to_audit": """
+        SELECT r.encounter_id, 'INSERT' AS operation, TRUE AS is_new
+        FROM bundle_outcome o JOIN encounter_request r ON r.encounter_id = o.encounter_id
+        WHERE o.outcome = 'accepted' AND r.started_at >= DATE '1995-07-01'""",
+    "B11_bundle_to_means": f"""
+        SELECT p_partkey AS procedure_id, m.mean_minutes FROM part LEFT JOIN (
+            SELECT i.procedure_id, {mean('sum(i.minutes)', 'count(*)')} AS mean_minutes
+            FROM bundle_item i JOIN bundle_outcome o ON o.encounter_id = i.encounter_id
+            WHERE o.outcome = 'accepted' GROUP BY i.procedure_id) m ON m.procedure_id = p_partkey
+        WHERE p_size <= 48""",
     "B11_register_encounter_bundle_json": """
         SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
                          CAST(round(l_extendedprice * 100) AS BIGINT)) AS encounter_id, CASE
@@ -464,6 +491,15 @@ _BOUND = {
         SELECT encounter_id, procedure_id, procedure, risk, quantity, minutes, billed, amount FROM detail""",
     "D7_encounter_procedures_timeline": """
         SELECT encounter_id, procedure_id, procedure, risk, quantity, minutes, started_at, billed FROM detail""",
+    "D5_patient_encounters_by_id": """
+        SELECT patient_id, encounter_id, started_at, minutes, patient, resident, supervisor, unit
+        FROM encounter_names WHERE patient_id = 7""",
+    "D6_encounter_procedures_by_id": """
+        SELECT encounter_id, procedure_id, procedure, risk, quantity, minutes, billed, amount FROM detail
+        WHERE encounter_id = (SELECT min(encounter_id) FROM encounter)""",
+    "D7_encounter_procedures_timeline_by_id": """
+        SELECT encounter_id, procedure_id, procedure, risk, quantity, minutes, started_at, billed FROM detail
+        WHERE encounter_id = (SELECT min(encounter_id) FROM encounter)""",
     "D8_list_roster": """
         SELECT r.roster_id, r.unit_id AS unit, r.weekday, r.turn, d.name AS resident, s.name AS supervisor
         FROM roster r JOIN duty_resident d ON d.resident_id = r.resident_id

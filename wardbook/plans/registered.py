@@ -74,6 +74,22 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(report.schema).json(path)
 
 
+@query("A2_export_result_csv")
+def a2_csv(spark: SparkSession, d: str) -> DataFrame:
+    report = plain_numbers(analytics.monthly_stats(orders_clinic(spark, d)))
+    path = new_run_dir(spark, "export")
+    export_result(report, path, "csv")
+    return spark.read.schema(report.schema).option("header", "true").csv(path)
+
+
+@query("A2_export_result_parquet")
+def a2_parquet(spark: SparkSession, d: str) -> DataFrame:
+    report = plain_numbers(listings.patient_encounters(orders_clinic(spark, d)))
+    path = new_run_dir(spark, "export")
+    export_result(report, path, "parquet")
+    return spark.read.schema(report.schema).parquet(path)
+
+
 # ---- B: audits ------------------------------------------------------------
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -227,15 +243,22 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
     return outcome(ingest.register_units(batch).labelled, "unit_id")
 
 
-def bundles(spark: SparkSession, d: str) -> ingest.Bundles:
-    """Orders with their lines as items; parts over size 48 are not in the catalogue."""
+def bundles(spark: SparkSession, d: str, present: Column | None = None) -> ingest.Bundles:
+    """Orders with their lines as items; parts over size 48 are not in the catalogue.
+
+    The requests of orders that are not ``present`` have other ids than their items name.
+    """
     lineitem, part = read_raw(spark, d, "lineitem", "part")
     items = lineitem.select(
         F.col("l_orderkey").alias("encounter_id"), F.col("l_partkey").alias("procedure_id"),
         F.col("l_quantity").cast("int").alias("quantity"), (whole("l_extendedprice") % 240).alias("minutes"),
         F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("started_at"),
     )
-    batch = encounter_batch(spark, d).withColumn("minutes", F.col("minutes") + 1)
+    requests = encounter_requests(*read_raw(spark, d, "orders", "customer", "lineitem"))
+    if present is not None:
+        own = F.col("encounter_id")
+        requests = requests.withColumn("encounter_id", F.when(present, own).otherwise(-1 - own))
+    batch = requests.withColumn("minutes", (1 + F.col("price") % 90).cast("int")).drop("price")
     refs = ChainMap({"procedure": catalogue(part)}, orders_clinic(spark, d))
     return ingest.register_encounter_bundle(batch, refs, items)
 
@@ -254,6 +277,32 @@ def b11_performed(spark: SparkSession, d: str) -> DataFrame:
     return bundles(spark, d).performed.drop("note")
 
 
+@query("B11_register_encounter_bundle_items")
+def b11_items(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every item; those of orders over 400000 come without their encounter."""
+    made = bundles(spark, d, F.col("price") <= 400_000)
+    return made.labelled_items.groupBy("encounter_id", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(
+        F.count("*").alias("items"), F.sum("quantity").alias("quantity"))
+
+
+@query("B11_bundle_to_audit")
+def b11_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The log of adding the accepted bundles to the encounters of the first half of 1995."""
+    made = bundles(spark, d).settled()
+    before = made.encounters.where("started_at < '1995-07-01'")
+    log = changes.diff_audit(before, made.encounters, "encounter_id", F.lit(ORDERS_AS_OF).cast("timestamp_ntz"))
+    return log.select("encounter_id", "operation", F.col("before").isNull().alias("is_new"))
+
+
+@query("B11_bundle_to_means")
+def b11_means(spark: SparkSession, d: str) -> DataFrame:
+    """The means after the accepted bundles; procedures that none of them names keep having none."""
+    made = bundles(spark, d).settled().performed
+    (part,) = read_raw(spark, d, "part")
+    known = catalogue(part).withColumn("mean_minutes", F.lit(None).cast("decimal(10,2)"))
+    return changes.refresh_procedure_means(known, made, made).select("procedure_id", "mean_minutes")
+
+
 @query("B11_register_encounter_bundle_json")
 def b11_json(spark: SparkSession, d: str) -> DataFrame:
     """Every line asks for an encounter of its own with a JSON list of two procedures.
@@ -282,10 +331,10 @@ def b11_json(spark: SparkSession, d: str) -> DataFrame:
     return outcome(result.requests.labelled, "encounter_id")
 
 
-def line_requests(lineitem: DataFrame) -> DataFrame:
+def line_requests(lineitem: DataFrame, part: str = "l_partkey") -> DataFrame:
     return lineitem.select(
         F.concat_ws("-", *LINE_KEY).alias("request_id"),
-        F.col("l_orderkey").alias("encounter_id"), F.col("l_partkey").alias("procedure_id"),
+        F.col("l_orderkey").alias("encounter_id"), F.col(part).alias("procedure_id"),
         F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"),
         F.col("l_extendedprice").alias("price"),
         F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("int")).alias("quantity"),
@@ -316,7 +365,9 @@ def b12(spark: SparkSession, d: str) -> DataFrame:
 def b13(spark: SparkSession, d: str) -> DataFrame:
     t = orders_clinic(spark, d)
     requests = line_requests(*read_raw(spark, d, "lineitem"))
-    billed = t["billing"].where("amount < 50000")
+    # Bills of 50000 and more are of procedures that nobody asks for.
+    paid = F.when(F.col("amount") < 50_000, F.col("procedure_id")).otherwise(-1 - F.col("procedure_id"))
+    billed = t["billing"].withColumn("procedure_id", paid)
     result = ingest.bill_procedures(requests, t["performed"], billed, ORDERS_AS_OF, LINE_ORDER)
     return outcome(result.labelled, "request_id", "billing_id", "issued_on")
 
@@ -363,10 +414,12 @@ def c1_not_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deletions(spark: SparkSession, d: str) -> changes.Deleted:
-    """Finished lines ask for their pair to be removed."""
+    """Finished lines ask for their pair to be removed, the others for one that nobody performed."""
     t = orders_clinic(spark, d)
     (lineitem,) = read_raw(spark, d, "lineitem")
-    requests = line_requests(lineitem.where("l_linestatus = 'F'"))
+    part = F.col("l_partkey")
+    asked = lineitem.withColumn("asked", F.when(F.col("l_linestatus") == "F", part).otherwise(-1 - part))
+    requests = line_requests(asked, "asked")
     return changes.delete_performed(t["performed"], requests, t["billing"], LINE_ORDER)
 
 
@@ -381,17 +434,23 @@ def c2_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def moves(spark: SparkSession, d: str) -> changes.Moved:
-    """Purchases ask to move the resident's slot of that time by one to three days.
+    """Every event asks to move the resident's slot of that time by one to three days.
 
-    The standing roster is that of the units 'signup' and 'click', which leaves
-    slots to move to.
+    Each user is two residents: one holds the slots of the units 'signup' and
+    'click' and is moved by purchases, the other holds those of all other units and is moved by
+    all other events. That leaves slots to move to.
     """
     (events,) = read_raw(spark, d, "events")
+
+    def resident(first: Column) -> Column:
+        return F.when(first, F.col("resident_id")).otherwise(-1 - F.col("resident_id")).alias("resident_id")
+
     later = F.col("ts") + F.make_dt_interval(days=(1 + F.col("event_id") % 3).cast("int"))
-    requests = roster_requests(events.where("event_type = 'purchase'"), to_weekday=weekday_label(later)).select(
-        "request_id", "resident_id", F.col("weekday").alias("from_weekday"), F.col("turn").alias("from_turn"),
+    requests = roster_requests(events, to_weekday=weekday_label(later)).select(
+        "request_id", resident(F.col("unit_id") == "purchase"), F.col("weekday").alias("from_weekday"), F.col("turn").alias("from_turn"),
         "to_weekday", F.col("turn").alias("to_turn"))
-    standing = duty_clinic(spark, d)["roster"].where("unit_id in ('signup', 'click')")
+    roster = duty_clinic(spark, d)["roster"]
+    standing = roster.withColumn("resident_id", resident(F.col("unit_id").isin("signup", "click")))
     return changes.move_roster(standing, requests)
 
 
@@ -491,8 +550,21 @@ on_orders("D3_list_units", listings.list_units)
 on_orders("D3_list_procedures", listings.list_procedures)
 on_orders("D4_recent_encounters", listings.recent_encounters, limit=50)
 on_orders("D5_patient_encounters", listings.patient_encounters)
+on_orders("D5_patient_encounters_by_id", listings.patient_encounters, patient_id=7)
 on_orders("D6_encounter_procedures", listings.encounter_procedures)
 on_orders("D7_encounter_procedures_timeline", listings.encounter_procedures_timeline)
+
+
+def on_first_encounter(name: str, operator: Callable[..., DataFrame]) -> None:
+    @query(name)
+    def by_id(spark: SparkSession, d: str) -> DataFrame:
+        t = orders_clinic(spark, d)
+        (first,) = t["encounter"].agg(F.min("encounter_id")).first()
+        return operator(t, encounter_id=first)
+
+
+on_first_encounter("D6_encounter_procedures_by_id", listings.encounter_procedures)
+on_first_encounter("D7_encounter_procedures_timeline_by_id", listings.encounter_procedures_timeline)
 on_events("D8_list_roster", listings.list_roster)
 
 # ---- E: analytics ---------------------------------------------------------
@@ -528,7 +600,7 @@ def e13(spark: SparkSession, d: str) -> DataFrame:
 # ---- F: streaming ---------------------------------------------------------
 
 def event_stream(spark: SparkSession, d: str, **limits: int) -> DataFrame:
-    return jobs.read_files(spark, d, TEST_SCHEMAS["events"], "events.parquet", **limits)
+    return jobs.read_stream(spark, f"{d}/events.parquet", TEST_SCHEMAS["events"], **limits)
 
 
 def event_changes(events: DataFrame) -> DataFrame:
@@ -547,8 +619,7 @@ def event_changes(events: DataFrame) -> DataFrame:
 def f1(spark: SparkSession, d: str) -> DataFrame:
     """The stream delivers every change twice; the log holds it once."""
     twice = event_changes(event_stream(spark, d)).unionByName(event_changes(event_stream(spark, d)))
-    log = jobs.run_to_table(jobs.stream_audit(twice, "user_id"), "audit")
-    return log.select("user_id", "operation", "before", "after", F.col("changed_at").cast("timestamp_ntz"))
+    return jobs.audit_to_table(twice, "user_id").select("user_id", "operation", "before", "after", "changed_at")
 
 
 @query("F2_stream_procedure_means")
@@ -559,13 +630,12 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
             F.col("event_type").alias("procedure_id"), whole("value").alias("minutes"), F.lit(sign).alias("sign"))
 
     signed = executions(1).unionByName(executions(-1).where("minutes < 10"))
-    return jobs.current_means(jobs.run_to_table(jobs.stream_procedure_means(signed), "means"))
+    return jobs.current_means(jobs.means_to_table(signed))
 
 
 @query("F3_stream_roster")
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    requests = roster_requests(event_stream(spark, d, bytes_per_batch=1 << 30))
-    return outcome(jobs.run_to_table(jobs.stream_roster(requests), "roster"), "request_id")
+    return outcome(jobs.roster_to_table(roster_requests(event_stream(spark, d))), "request_id")
 
 
 # ---- G: SQL surface -------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,13 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Split a hot join key even where that costs one more shuffle later on.
+    # Split a hot join key even where that costs one more shuffle later on. It takes
+    # a shuffle directly below both sides of the join: see functions.splittable.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# Streaming state on local disk instead of in executor memory. A choice of the
-# session that owns the checkpoints: it cannot change between runs of a stream.
+# Streaming state on local disk instead of in executor memory. A stream keeps the
+# provider that its checkpoint was begun with.
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,8 +31,8 @@ SHARED_DIR_SETTING = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Applies the general settings to a session that somebody else built."""
-    for key, value in SETTINGS.items():
+    """Applies the settings to a session that somebody else built."""
+    for key, value in {**SETTINGS, **STREAM_SETTINGS}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -44,26 +46,39 @@ def build_session(app: str = "wardbook", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
-_local_dirs: dict[str, str] = {}
+# By application; removed when the process ends.
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; on a cluster a
-    machine-local folder would lose data, so a missing setting is an error.
+    A session within one process (``local``, ``local[n]``) that lacks the setting, as in tests, gets a
+    temporary folder that goes with the process; on a cluster a machine-local folder would lose data,
+    so a missing setting is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get(SHARED_DIR_SETTING, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError(f"set {SHARED_DIR_SETTING} to a folder all executors can reach")
     if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="wardbook-")
-    return _local_dirs[context.applicationId]
+        _local_dirs[context.applicationId] = tempfile.TemporaryDirectory(prefix="wardbook-", ignore_cleanup_errors=True)
+    return _local_dirs[context.applicationId].name
 
 
 def new_run_dir(spark: SparkSession, job: str) -> str:
-    """A fresh folder for one run of a job, below the shared folder."""
-    return f"{shared_dir(spark)}/wardbook/{job}/{uuid.uuid4().hex}"
+    """A fresh folder for one run of a job, below that of the application in the shared folder."""
+    return f"{_application_dir(spark)}/{job}/{uuid.uuid4().hex}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/wardbook/{spark.sparkContext.applicationId}"
+
+
+def remove_run_dirs(spark: SparkSession) -> None:
+    """Removes the run folders of this application. For when all results that read them have been written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

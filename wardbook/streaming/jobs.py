@@ -1,153 +1,149 @@
 """Structured Streaming jobs: audit log, running means, roster arbitration.
 
-Each job is a function from a streaming DataFrame to one in append mode, so any
-append sink serves; ``run_to_table`` drains what is available into Parquet.
+Each job drains what is available into Parquet tables below a directory, a folder per
+micro-batch that is overwritten if the batch is delivered again, and returns what the
+tables say. Given the same directory again it goes on where it stopped. A
+micro-batch is worked on by the batch operators; how the input is cut into micro-batches does
+not change what the tables say.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardbook.functions import ratio
-from wardbook.functions.frames import Tables
+from wardbook.functions.frames import Tables, splittable
 from wardbook.operators.changes import audit_entries
-from wardbook.operators.ingest import against_standing, judge_slots
+from wardbook.operators.ingest import SLOT, against_standing, decided, first_of, judge_slots
 from wardbook.session import new_run_dir
 
 
-def read_files(spark: SparkSession, directory: str, schema: T.StructType, pattern: str = "*.parquet",
-               files_per_batch: int | None = None, bytes_per_batch: int = 64 << 30) -> DataFrame:
-    """A stream over the Parquet files of a folder, oldest first.
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None,
+                bytes_per_batch: int = 64 << 30) -> DataFrame:
+    """A stream over a Parquet table, a folder of part files or one file. Without any file it is an error.
 
-    Micro-batches are bounded in bytes (or in files), also when a long backlog is
-    worked off: what a stateful operator sees at once of a hot key is bounded too.
+    Micro-batches are bounded in bytes, or in files.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    path = path.rstrip("/")
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if not files:
+        raise FileNotFoundError(f"there is no file of a table at {path}")
+    if len(files) == 1 and files[0].rsplit("/", 1)[1] == path.rsplit("/", 1)[1]:
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a single file only as a pattern
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
-        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(directory)
-    return reader.option("maxBytesPerTrigger", bytes_per_batch).parquet(directory)
+        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return reader.option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
 
 
-def run_to_table(stream: DataFrame, job: str, directory: str | None = None) -> DataFrame:
-    """Processes what is available, appends it to a Parquet table and reads that back.
-
-    Table and checkpoint lie in the shared folder. Given the same ``directory``
-    again, the job goes on where it stopped, also after a failure.
-    """
-    spark = stream.sparkSession
-    directory = directory or new_run_dir(spark, job)
+def _drain(stream: DataFrame, directory: str, work: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{directory}/checkpoint")
-        .trigger(availableNow=True).start(f"{directory}/rows").awaitTermination()
+        stream.writeStream.foreachBatch(work).outputMode(mode)
+        .option("checkpointLocation", f"{directory}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.schema(stream.schema).parquet(f"{directory}/rows")
 
 
-def stream_audit(changes: DataFrame, key: str, late_by: str = "1 hour", user: Column | None = None) -> DataFrame:
-    """An append-only audit log from (change_id, operation, key, before, after, changed_at).
-
-    A change id that is delivered again within ``late_by`` is dropped.
-    """
-    once = (
-        changes.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
-        .withWatermark("changed_at", late_by)
-        .dropDuplicatesWithinWatermark(["change_id"])
-    )
-    return audit_entries(once, key, F.col("changed_at"), user)
+class _Batches:
+    """A table with a folder per micro-batch, which readers see as the column ``batch``."""
 
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, by: Sequence[str] = ()):
+        self.spark, self.path, self.by = spark, path, list(by)
+        self.schema = schema
+        self.write(spark.createDataFrame([], schema), -1)  # so that the folder is there
 
-def _signed_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per procedure and Arrow batch, so that a hot procedure is combined before the shuffle."""
-    for rows in batches:
-        signed = rows.assign(total=rows["minutes"] * rows["sign"])
-        yield signed.groupby("procedure_id", as_index=False).agg(total=("total", "sum"), n=("sign", "sum"))
+    def write(self, rows: DataFrame, number: int) -> None:
+        rows.select(*self.schema.names).write.partitionBy(*self.by).mode("overwrite").parquet(
+            f"{self.path}/batch={number}")
 
+    def read(self) -> DataFrame:
+        batch = T.StructField("batch", T.LongType())
+        return self.spark.read.schema(T.StructType([*self.schema, batch])).parquet(self.path)
 
-def _running_sums(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    total, n, version = state.get if state.exists else (0, 0, 0)
-    for part in parts:
-        total += int(part["total"].sum())
-        n += int(part["n"].sum())
-    state.update((total, n, version + 1))
-    yield pd.DataFrame({"procedure_id": [key[0]], "version": [version + 1], "total": [total], "n": [n]})
 
+def audit_to_table(changes: DataFrame, key: str, user: Column | None = None, directory: str | None = None) -> DataFrame:
+    """The audit log of a stream of (change_id, operation, key, before, after, changed_at).
 
-def stream_procedure_means(performed: DataFrame) -> DataFrame:
-    """Running mean minutes per procedure from (procedure_id, minutes, sign).
+    Every change is logged once, however late it comes and however often it is
+    delivered: a change whose id is in the log already, on the day it was made, is
+    dropped. Changes without an id are all logged.
+    """
+    spark = changes.sparkSession
+    directory = directory or new_run_dir(spark, "audit")
+    entries = audit_entries(changes, key, F.col("changed_at"), user).schema
+    identity = [T.StructField("change_id", changes.schema["change_id"].dataType), T.StructField("day", T.DateType())]
+    log = _Batches(spark, f"{directory}/rows", T.StructType([*entries, *identity]), by=["day"])
+
+    def append(batch: DataFrame, number: int) -> None:
+        known = F.col("change_id").isNotNull()
+        once = batch.where(known).dropDuplicates(["change_id"]).unionByName(batch.where(~known))
+        day = F.coalesce(F.to_date("changed_at"), F.lit("1970-01-01").cast("date"))
+        once = once.withColumn("day", day)
+        first, last = once.agg(F.min("day"), F.max("day")).first()
+        if first is None:
+            return
+        # Folders of other days are not read.
+        logged = log.read().where((F.col("batch") != number) & F.col("day").between(F.lit(first), F.lit(last)))
+        fresh = once.join(logged.select("day", "change_id"), ["day", "change_id"], "left_anti")
+        rows = audit_entries(fresh, key, F.col("changed_at"), user, "change_id", "day")
+        log.write(rows, number)
+
+    _drain(changes, directory, append)
+    return log.read().select(*entries.names)
+
+
+def means_to_table(performed: DataFrame, directory: str | None = None) -> DataFrame:
+    """Running mean minutes per procedure of a stream of (procedure_id, minutes, sign).
 
     ``sign`` is 1 for an execution that was added and -1 for one that was removed;
     a change of minutes is one of each. Every micro-batch appends a new version
-    per procedure it touched; the mean is NULL when no execution is left.
+    per procedure it touched; the mean is NULL when no execution is left. Executions
+    without a procedure are one group like any other.
     """
-    key = performed.schema["procedure_id"]
-    changes = performed.select("procedure_id", F.col("minutes").cast("long"), F.col("sign").cast("long"))
-    longs = [T.StructField(c, T.LongType()) for c in ("total", "n")]
-    combined = changes.mapInPandas(_signed_sums, T.StructType([key, *longs]))
-    version = T.StructField("version", T.LongType())
-    sums = combined.groupBy("procedure_id").applyInPandasWithState(
-        _running_sums, T.StructType([key, version, *longs]), T.StructType([*longs, version]),
-        "append", GroupStateTimeout.NoTimeout)
-    return sums.withColumn("mean_minutes", ratio("total", "n"))
+    spark = performed.sparkSession
+    directory = directory or new_run_dir(spark, "means")
+    minutes, sign = F.col("minutes").cast("long"), F.col("sign").cast("long")
+    sums = performed.groupBy("procedure_id").agg(F.sum(minutes * sign).alias("total"), F.sum(sign).alias("n"))
+    versions = sums.withColumn("mean_minutes", ratio("total", "n"))
+    table = _Batches(spark, f"{directory}/rows", versions.schema)
+    _drain(versions, directory, table.write, "update")
+    return table.read().withColumnRenamed("batch", "version")
 
 
 def current_means(versions: DataFrame) -> DataFrame:
-    """The newest version per procedure of what ``stream_procedure_means`` appended."""
+    """The newest version per procedure of what ``means_to_table`` wrote."""
     newest = versions.groupBy("procedure_id").agg(F.max(F.struct("version", "n", "mean_minutes")).alias("v"))
     return newest.select("procedure_id", F.col("v.n").alias("executions"), "v.mean_minutes")
 
 
-def _arbitrate(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Labels one resident's requests; the state is the unit that holds each slot of the week.
+def roster_to_table(requests: DataFrame, base: DataFrame | None = None, refs: Tables | None = None,
+                    order: Sequence[str] = ("request_id",), directory: str | None = None) -> DataFrame:
+    """Roster requests of a stream with ``reason`` (NULL: accepted), as of all that has arrived.
 
-    Chunks arrive unordered, so those of a micro-batch are held back until the
-    earliest request for every slot that was still free is known.
+    The same labels as ``assign_roster`` gives the same requests, whatever order
+    they arrive in: a micro-batch is judged on its own and leaves the
+    first valid request for each slot it asks for; the first of those holds the
+    slot. A request that arrives late and is earlier in ``order`` takes it over.
     """
-    chunks = [c.assign(slot=c["weekday"].str.cat(c["turn"], sep="/")) for c in chunks]
-    holders = dict(zip(*state.get)) if state.exists else {}
-    earliest: dict[str, tuple] = {}
-    for c in chunks:
-        for slot, request, unit in zip(c["slot"], c["request_id"], c["unit_id"]):
-            if slot not in holders and (slot not in earliest or request < earliest[slot][0]):
-                earliest[slot] = (request, unit)
-    holders.update({slot: unit for slot, (_, unit) in earliest.items()})
-    if earliest:
-        state.update((list(holders), list(holders.values())))
-    accepted = {request for request, _ in earliest.values()}
-    for c in chunks:
-        reasons = [
-            None if request in accepted else "duplicate_slot" if holders[slot] == unit else "overlap"
-            for slot, request, unit in zip(c["slot"], c["request_id"], c["unit_id"])
-        ]
-        yield c.drop(columns="slot").assign(reason=pd.Series(reasons, index=c.index, dtype=object))
-
-
-def stream_roster(requests: DataFrame, base: DataFrame | None = None, refs: Tables | None = None) -> DataFrame:
-    """Roster requests with ``reason`` (NULL: accepted), first come first served across micro-batches.
-
-    The same rules as ``assign_roster``. Requests that are invalid or ask for a
-    slot of the standing roster are answered without state. The rest is decided per
-    resident, whose state is bounded by the 21 slots of a week; what one resident
-    asks for at once is bounded by the size of a micro-batch. Request ids are
-    unique, and micro-batches must come in order of arrival.
-    """
-    judged = judge_slots(requests, refs or {})
-    if base is not None:
-        judged = against_standing(judged, base)
-    schema = T.StructType([*requests.schema.fields, T.StructField("reason", T.StringType())])
-    judged = judged.select(*schema.names)
-    state = T.StructType([
-        T.StructField("slots", T.ArrayType(T.StringType())),
-        T.StructField("units", T.ArrayType(requests.schema["unit_id"].dataType)),
-    ])
-    contested = (
-        judged.where("reason is null").drop("reason").groupBy("resident_id")
-        .applyInPandasWithState(_arbitrate, schema, state, "append", GroupStateTimeout.NoTimeout)
-    )
-    return judged.where("reason is not null").unionByName(contested)
+    spark = requests.sparkSession
+    directory = directory or new_run_dir(spark, "roster")
+    reason = T.StructField("reason", T.StringType())
+    rows = _Batches(spark, f"{directory}/rows", T.StructType([*requests.schema, reason]))
+    open_requests = spark.createDataFrame([], rows.schema)
+    holders = _Batches(spark, f"{directory}/holders", first_of(open_requests, SLOT, order, "unit_id").schema)
+
+    def judge(batch: DataFrame, number: int) -> None:
+        judged = judge_slots(batch, refs or {})
+        if base is not None:
+            judged = against_standing(judged, base)
+        rows.write(judged, number)
+        written = rows.read().where((F.col("batch") == number) & F.col("reason").isNull())
+        holders.write(first_of(written, SLOT, order, "unit_id"), number)
+
+    _drain(requests, directory, judge)
+    first = F.min(F.struct("_first", "_first_unit_id")).alias("h")
+    winner = holders.read().groupBy(*SLOT).agg(first).select(*SLOT, "h.*")
+    return decided(rows.read().drop("batch"), splittable(winner), order).select(*rows.schema.names)
