@@ -1,4 +1,4 @@
-"""A small hospital: the rows the expected results of the reports refer to."""
+"""A small invented hospital. What happens in it follows from the numbers of its encounters."""
 
 from __future__ import annotations
 
@@ -6,174 +6,92 @@ import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from wardbook.model import HOSPITAL
 
-
-def uid(short: str) -> str:
-    """Full id of 'a1', 'd2' ...: the letter, then the digit in every place."""
-    letter, c = short
-    return f"{letter}{c * 7}-{c * 4}-{c * 4}-{c * 4}-{c * 12}"
-
-
-IRREGULAR_ID = "effffff0-ffff-ffff-ffff-ffffffffffff"
-
-# The seed rows, '|' between columns, empty for NULL. Ids are
-# short (see uid); roster, billing and stay have no id of their own and are
-# numbered in order.
-ROWS = {
-    "person": """
-a1|Arthur Antunes Coimbra|11122233344|1953-03-03|true|83999991111
-a2|Gabigol da Silva|22233344455|1996-08-30|true|83999992222
-a3|Bruno Henrique Pinto|33344455566|1990-12-30|true|83999993333
-a4|Arrascaeta Giorgian|44455566677|1994-06-01|true|83999994444
-a5|Pedro Guilherme|55566677788|1997-06-20|true|83999995555
-b1|Dr. Jorge Jesus|66677788899|1954-07-24|true|83988881111
-b2|Dra. Yuska Maritan|77788899900|1985-05-12|true|83988882222
-b3|Dr. Dorival Junior|88899900011|1962-04-25|false|83988883333
-b4|Dr. Filipe Luis|99900011122|1985-08-09|true|83988884444
-b5|Dra. Tite Silva|00011122233|1961-05-25|false|83988885555
-c1|Residente Gerson|12312312311|1997-05-20|true|83977771111
-c2|Residente Léo Ortiz|23423423422|1996-01-03|true|83977772222
-c3|Residente Ayrton Lucas|34534534533|1997-06-19|true|83977773333
-c4|Residente Gonzalo Plata|45645645644|2000-11-01|true|83977774444
-c5|Residente Michael Delgado|56756756755|1996-03-12|true|83977775555
-""",
-    "patient": """
-a1|UNIMED-123|Nenhuma|A+
-a2|SUS-456|Dipirona|O-
-a3|BRADESCO-789|Poeira|B+
-a4|AMIL-101|Nenhuma|AB+
-a5|CASSI-202|Penicilina|O+
-""",
-    "staff": """
-b1|CRM/PB 1111|2019-06-01|Cardiologia|preceptor
-b2|CRM/PB 2222|2015-02-10|Infectologia|preceptor
-b3|CRM/PB 3333|2022-03-15|Pediatria|preceptor
-b4|CRM/PB 4444|2024-10-01|Ortopedia|preceptor
-b5|CRM/PB 5555|2021-01-20|Neurologia|preceptor
-c1|CRM/PB 6666|2025-02-01|Cardiologia|residente
-c2|CRM/PB 7777|2025-02-01|Infectologia|residente
-c3|CRM/PB 8888|2024-02-01|Pediatria|residente
-c4|CRM/PB 9999|2023-02-01|Ortopedia|residente
-c5|CRM/PB 0000|2025-02-01|Neurologia|residente
-""",
-    "supervisor": """
-b1|preceptor|Doutor
-b2|preceptor|Doutor
-b3|preceptor|Mestre
-b4|preceptor|Especialista
-b5|preceptor|Mestre
-""",
-    "resident": """
-c1|residente|R1
-c2|residente|R1
-c3|residente|R2
-c4|residente|R3
-c5|residente|R1
-""",
-    "unit": """
-f1|Enfermaria Central|Enfermaria|40
-f2|UTI Adulto|UTI|12
-f3|Pronto-Socorro|Pronto-Socorro|20
-""",
-    "procedure": """
-d1|SUT-001|Sutura simples|20|ALTO|
-d2|COL-101|Coleta de sangue|10|BAIXO|
-d3|MED-205|Aplicação de medicação intravenosa|15|MEDIO|
-d4|RAIO-X|Radiografia de tórax|25|BAIXO|
-d5|ELETRO|Eletrocardiograma|12|BAIXO|
-d6|CURATIVO|Troca de curativo|18|BAIXO|
-d7|PUNCAO|Punção venosa|8|MEDIO|
-d8|NEBULIZACAO|Nebulização|22|BAIXO|
-d9|SUT-002|Sutura complexa|40|ALTO|
-da|DRENAGEM|Drenagem de abscesso|35|ALTO|
-""",
-    "encounter": """
-e1|2025-06-10 08:00|45|a1|c1|b1|f1
-e2|2025-06-10 09:00|30|a2|c2|b1|f1
-e3|2025-06-10 10:30|60|a3|c3|b2|f2
-e4|2025-06-11 07:45|40|a1|c4|b3|f3
-e5|2025-06-11 11:00|25|a4|c1|b2|f2
-e6|2025-06-11 13:30|50|a5|c5|b1|f1
-e7|2025-06-12 09:15|35|a2|c2|b3|f3
-e8|2025-06-12 14:00|70|a3|c3|b1|f2
-e9|2025-06-13 08:30|40|a4|c4|b2|f1
-ea|2025-06-13 16:00|55|a5|c5|b3|f3
-eb|2025-06-16 08:00|30|a2|c3|b1|f2
-ec|2025-06-17 09:30|45|a3|c4|b1|f1
-ed|2025-06-18 14:00|20|a1|c5|b1|f1
-ee|2025-06-19 10:00|35|a4|c2|b1|f1
-ef|2025-06-20 08:15|50|a5|c1|b2|f2
-e0|2025-06-20 16:00|25|a2|c3|b2|f2
-""",
-    "performed": """
-e1|d1|1|18|2025-06-10 08:05|Paciente estável após sutura
-e1|d2|1|12|2025-06-10 08:23|Coleta realizada com sucesso
-e2|d2|1|10|2025-06-10 09:05|Coleta em veia periférica
-e2|d3|1|16|2025-06-10 09:15|Medicação aplicada sem intercorrências
-e3|d4|1|26|2025-06-10 10:35|Radiografia com leve alteração
-e4|d1|1|22|2025-06-11 07:50|Sutura com pontos separados
-e5|d5|1|14|2025-06-11 11:05|Eletro normal
-e6|d6|1|20|2025-06-11 13:35|Curativo com gaze estéril
-e7|d7|1|9|2025-06-12 09:20|Punção bem-sucedida
-e8|d8|1|24|2025-06-12 14:05|Nebulização com salbutamol
-e9|d5|1|11|2025-06-13 08:35|Eletro de controle, sem alterações
-ea|d6|2|30|2025-06-13 16:05|Duas trocas de curativo no mesmo atendimento
-eb|d2|1|8|2025-06-16 08:05|Coleta para hemograma
-ec|d9|1|44|2025-06-17 09:35|Sutura complexa em face; sangramento controlado
-ed|d3|1|15|2025-06-18 14:05|Antibiótico intravenoso
-ee|d7|1|7|2025-06-19 10:05|Punção sem complicações
-ef|d8|1|21|2025-06-20 08:20|Nebulização de resgate
-e0|d4|1|23|2025-06-20 16:05|Radiografia sem achados
-""",
-    "roster": """
-1|f1|segunda|manha|c1|b1
-2|f1|segunda|manha|c2|b1
-3|f2|terca|noite|c3|b2
-4|f3|quarta|tarde|c4|b3
-5|f1|quinta|noite|c5|b1
-6|f2|sexta|manha|c1|b2
-7|f3|sabado|tarde|c2|b3
-8|f2|domingo|noite|c3|b1
-""",
-    "billing": """
-1|e2|d2|120.00|2025-06-15
-2|e3|d4|250.00|2025-06-16
-3|ec|d9|800.00|2025-06-22
-""",
-    "encounter_audit": "",
-    "stay": """
-1|a1|f2|2025-06-10 12:00||Observação pós-sutura
-2|a3|f1|2025-06-12 15:00||Pneumonia
-3|a2|f3|2025-06-10 09:30|2025-06-10 18:00|Alta no mesmo dia
-""",
-}
-
-_read = {
-    T.StringType: str,
-    T.IntegerType: int,
-    T.DateType: dt.date.fromisoformat,
-    T.TimestampNTZType: dt.datetime.fromisoformat,
-    T.BooleanType: lambda text: text == "true",
-    T.DecimalType: Decimal,
-}
-
-
-def _value(text: str, column):
-    if text == "":
-        return None
-    if column.name.endswith("_id") and len(text) == 2:
-        return IRREGULAR_ID if text == "ef" else uid(text)
-    return _read[type(column.type)](text)
-
-
-def table_rows(name: str) -> list[tuple]:
-    columns = HOSPITAL[name].columns
-    lines = ROWS[name].strip().splitlines()
-    return [tuple(_value(t, c) for t, c in zip(line.split("|"), columns, strict=True)) for line in lines]
+START = dt.datetime(2025, 5, 28, 7)
+PATIENTS = ("Ilse Brandt", "Tomás Quiroga", "Wanda Okoye", "Piet Verhoeven", "Noor Haddad", "Sven Lindqvist")
+SUPERVISORS = (("Amina Farouk", "Doutora"), ("Colin Mercer", "Mestre"), ("Greta Holm", " doutor "),
+               ("Rafael Prado", "Mestre"), ("Uma Castellan", "Especialista"))
+RESIDENTS = (("Bea Novak", "R1"), ("Cem Yildiz", "R3"), ("Dora Kim", "R2"), ("Emil Sato", "R1"), ("Fay Osei", "R2"),
+             ("Gus Moreau", "R3"))
+UNITS = (("Harbour Ward", "Enfermaria", 18), ("Lighthouse", "UTI", 6), ("Quay Entrance", "Pronto-Socorro", 9))
+PROCEDURES = (("Splint", "ALTO"), ("Blood count", "BAIXO"), ("Infusion", "MEDIO"), ("Ultrasound", "BAIXO"),
+              ("Biopsy", "ALTO"), ("Cast", "MEDIO"), ("Eye test", "BAIXO"), ("Allergy test", "MEDIO"), ("Dialysis", "ALTO"))
+BLOOD = ("A-", "O+", "B+", "AB-", "O-", "A+")
+N_ENCOUNTERS = 21
+
+
+def _person(key: str, i: int, name: str, number: int) -> tuple:
+    return (f"{key}-{i}", name, f"1000000{number:04d}", dt.date(1950 + 2 * number, 1 + i, 3 * i), number % 3 > 0,
+            f"555-{number:04d}")
+
+
+def _encounter(i: int) -> tuple:
+    return (f"encounter-{i}", START + i * dt.timedelta(hours=19), 20 + 7 * i % 41, f"patient-{1 + 2 * i % 5}",
+            f"resident-{1 + 3 * i % 5}", f"supervisor-{1 + i // 2 % 3}", f"unit-{1 + i % 3}")
+
+
+def _performed(i: int) -> list[tuple]:
+    start, minutes = _encounter(i)[1], 6 + 5 * i % 17
+    first = (f"encounter-{i}", f"procedure-{1 + (i - 1) % 8}", 2 if i == 10 else 1, minutes,
+             start + dt.timedelta(minutes=3 + i % 4), None)
+    second = (f"encounter-{i}", f"procedure-{1 + i % 8}", 1, minutes + 4, start + dt.timedelta(minutes=12), "as well")
+    return [first, second] if i <= 2 or i % 4 == 0 else [first]
+
+
+def _staff(key: str, role: str, people: tuple, number: int) -> list[tuple]:
+    return [(f"{key}-{i}", f"CRM {number + i}", dt.date(2015 + i, 2, 1), f"specialty {i}", role)
+            for i in range(1, len(people) + 1)]
+
+
+def plain() -> dict[str, list[tuple]]:
+    """The rows of every table, columns as in the model."""
+    numbers = range(1, N_ENCOUNTERS + 1)
+    return {
+        "person": [_person("patient", i, n, i) for i, n in enumerate(PATIENTS, 1)]
+                  + [_person("supervisor", i, n, 10 + i) for i, (n, _) in enumerate(SUPERVISORS, 1)]
+                  + [_person("resident", i, n, 20 + i) for i, (n, _) in enumerate(RESIDENTS, 1)],
+        "patient": [(f"patient-{i}", f"plan {i}", None if i % 2 else "latex", b) for i, b in enumerate(BLOOD, 1)],
+        "staff": _staff("supervisor", "preceptor", SUPERVISORS, 100) + _staff("resident", "residente", RESIDENTS, 200),
+        "supervisor": [(f"supervisor-{i}", "preceptor", title) for i, (_, title) in enumerate(SUPERVISORS, 1)],
+        "resident": [(f"resident-{i}", "residente", year) for i, (_, year) in enumerate(RESIDENTS, 1)],
+        "unit": [(f"unit-{i}", *u) for i, u in enumerate(UNITS, 1)],
+        "procedure": [(f"procedure-{i}", f"P{i}", name, 5 + 3 * i, risk, None)
+                      for i, (name, risk) in enumerate(PROCEDURES, 1)],
+        "encounter": [_encounter(i) for i in numbers],
+        "performed": [row for i in numbers for row in _performed(i)],
+        "roster": [
+            ("1", "unit-1", "terca", "tarde", "resident-1", "supervisor-1"),
+            ("2", "unit-2", "sabado", "manha", "resident-1", "supervisor-2"),
+            ("3", "unit-1", "terca", "tarde", "resident-2", "supervisor-1"),
+            ("4", "unit-2", "quinta", "manha", "resident-2", "supervisor-2"),
+            ("5", "unit-3", "quarta", "noite", "resident-3", "supervisor-3"),
+            ("6", "unit-3", "domingo", "manha", "resident-3", "supervisor-1"),
+            ("7", "unit-3", "sexta", "noite", "resident-4", "supervisor-2"),
+            ("8", "unit-2", "segunda", "tarde", "resident-5", "supervisor-3"),
+            ("9", "unit-2", "domingo", "tarde", "resident-5", "supervisor-3"),
+        ],
+        "billing": [
+            ("1", "encounter-2", "procedure-2", Decimal("95.50"), dt.date(2025, 6, 2)),
+            ("2", "encounter-5", "procedure-5", Decimal("310.00"), dt.date(2025, 5, 20)),
+            ("3", "encounter-12", "procedure-4", Decimal("640.25"), dt.date(2025, 6, 30)),
+        ],
+        "encounter_audit": [],
+        "stay": [
+            ("1", "patient-1", "unit-2", dt.datetime(2025, 5, 30, 22), None, "observation"),
+            ("2", "patient-3", "unit-1", dt.datetime(2025, 6, 1, 9), dt.datetime(2025, 6, 4, 10), "done"),
+            ("3", "patient-3", "unit-2", dt.datetime(2025, 6, 7, 18), None, "back again"),
+            ("4", "patient-2", "unit-3", dt.datetime(2025, 6, 8, 1), dt.datetime(2025, 6, 8, 6), "one night"),
+        ],
+    }
+
+
+def records(name: str) -> list[dict]:
+    columns = [c.name for c in HOSPITAL[name].columns]
+    return [dict(zip(columns, row, strict=True)) for row in plain()[name]]
 
 
 def tables(spark: SparkSession) -> dict[str, DataFrame]:
-    return {name: spark.createDataFrame(table_rows(name), table.schema()) for name, table in HOSPITAL.items()}
+    rows = plain()
+    return {name: spark.createDataFrame(rows[name], table.schema()) for name, table in HOSPITAL.items()}

@@ -7,35 +7,36 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tests import seed
 from tests.conftest import as_set, rows
-from tests.seed import uid
 from wardbook.operators import changes, quality
 
-A1, A2, C1, C2, C5, E1, E2, D1, D2, F1, F2 = (
-    uid(x) for x in ("a1", "a2", "c1", "c2", "c5", "e1", "e2", "d1", "d2", "f1", "f2"))
+A1, A2, C1, C2, C5, E1, E2, D1, D2, D8, F1, F2 = (
+    "patient-1", "patient-2", "resident-1", "resident-2", "resident-5", "encounter-1", "encounter-2", "procedure-1",
+    "procedure-2", "procedure-8", "unit-1", "unit-2")
 
 
 def test_patches_keep_what_they_do_not_name(hospital, frame):
     patches = frame(
         "request_id int, patient_id string, plan string, allergies string, blood_group string",
-        (1, A1, "UNIMED-999", None, None), (2, A1, None, "Dipirona; Poeira", None), (3, A1, "UNIMED-000", None, None),
-        (4, uid("90"), "X", None, None), (5, A2, None, None, None))
+        (1, A1, "plan X", None, None), (2, A1, None, "latex; dust", None), (3, A1, "plan Z", None, None),
+        (4, "nobody-0", "X", None, None), (5, A2, None, None, None))
     result = changes.patch_patients(hospital["patient"], patches)
     found = {r["patient_id"]: tuple(r)[1:] for r in result.table.collect()}
-    assert len(found) == 5
-    assert found[A1] == ("UNIMED-000", "Dipirona; Poeira", "A+")
-    assert found[A2] == ("SUS-456", "Dipirona", "O-")
-    assert rows(result.not_found) == [(uid("90"),)]
+    assert len(found) == 6
+    assert found[A1] == ("plan Z", "latex; dust", "A-")
+    assert found[A2] == ("plan 2", "latex", "O+")
+    assert rows(result.not_found) == [("nobody-0",)]
 
 
 def test_deletes_of_performed_procedures(hospital, frame):
     requests = frame("request_id int, encounter_id string, procedure_id string",
-                     (1, E2, D2), (2, E1, D1), (3, E1, D1), (4, E1, uid("d9")), (5, None, D1))
+                     (1, E2, D2), (2, E1, D1), (3, E1, D1), (4, E1, D8), (5, None, D1))
     result = changes.delete_performed(hospital["performed"], requests, hospital["billing"])
     assert {r["request_id"]: r["outcome"] for r in result.outcome.collect()} == {
         1: "blocked_billed", 2: "deleted", 3: "not_found", 4: "not_found", 5: "not_found"}
     left = as_set(result.table.select("encounter_id", "procedure_id"))
-    assert len(left) == 17 and (E1, D1) not in left and (E2, D2) in left
+    assert len(left) == len(seed.plain()["performed"]) - 1 and (E1, D1) not in left and (E2, D2) in left
 
 
 MOVE = "request_id int, resident_id string, from_weekday string, from_turn string, to_weekday string, to_turn string"
@@ -49,20 +50,20 @@ def moved(base, frame, *moves):
 def test_moves(hospital, frame):
     outcome, table = moved(
         hospital["roster"], frame,
-        (1, C5, "quinta", "noite", "domingo", "noite"),
-        (2, C1, "segunda", "manha", "sexta", "manha"),        # f2 holds the destination, the row is in f1
-        (3, C2, "segunda", "manha", "segunda", "manha"),      # onto itself
-        (4, uid("c4"), "domingo", "manha", "terca", "manha"),  # nothing to move
-        (5, uid("c3"), "terca", "noite", "quarta", "noite"),
-        (6, uid("c3"), "domingo", "noite", "quarta", "tarde"),
+        (1, C5, "segunda", "tarde", "domingo", "noite"),
+        (2, C1, "terca", "tarde", "sabado", "manha"),         # the second unit holds the destination, the first the row
+        (3, C2, "terca", "tarde", "terca", "tarde"),          # onto itself
+        (4, "resident-4", "domingo", "manha", "terca", "manha"),  # nothing to move
+        (5, "resident-3", "quarta", "noite", "quinta", "noite"),
+        (6, "resident-3", "domingo", "manha", "quarta", "tarde"),
     )
     assert outcome == {
         1: ("moved", 1), 2: ("conflict_other_unit", 0), 3: ("conflict_same_unit", 0), 4: ("moved", 0),
         5: ("moved", 1), 6: ("ambiguous", 0)}
     before = as_set(hospital["roster"].select("roster_id", "weekday", "turn"))
     after = as_set(table.select("roster_id", "weekday", "turn"))
-    assert after - before == {("5", "domingo", "noite"), ("3", "quarta", "noite")}
-    assert len(after) == 8 and rows(quality.audit_roster_overlap(table)) == []
+    assert after - before == {("8", "domingo", "noite"), ("5", "quinta", "noite")}
+    assert len(after) == 9 and rows(quality.audit_roster_overlap(table)) == []
 
 
 def test_moves_of_overlapping_history(frame):
@@ -84,9 +85,9 @@ def test_diff_audit(hospital):
     log = {r["encounter_id"]: r for r in changes.diff_audit(old, new, "encounter_id", at, F.lit("me")).collect()}
     assert {k: r["operation"] for k, r in log.items()} == {E1: "UPDATE", E2: "DELETE", "new": "INSERT"}
     before, after = json.loads(log[E1]["before"]), json.loads(log[E1]["after"])
-    assert (before.pop("minutes"), after.pop("minutes")) == (45, 50) and before == after
+    assert (before.pop("minutes"), after.pop("minutes")) == (27, 32) and before == after
     assert log[E2]["after"] is None and log["new"]["before"] is None
-    assert json.loads(log["new"]["after"])["patient_id"] == A2
+    assert json.loads(log["new"]["after"])["patient_id"] == "patient-5"
     assert {r["changed_by"] for r in log.values()} == {"me"}
     assert len({r["audit_id"] for r in log.values()}) == 3
     assert rows(changes.diff_audit(old, old, "encounter_id", at)) == []
@@ -101,11 +102,12 @@ def test_null_to_value_is_a_change(frame):
 
 def test_only_affected_means_are_refreshed(hospital, frame):
     stale = hospital["procedure"].withColumn("mean_minutes", F.lit(1).cast("decimal(10,2)"))
-    without = hospital["performed"].where(f"procedure_id <> '{uid('d9')}'")
-    affected = frame("procedure_id string", (D2,), (D2,), (uid("d9"),))
+    without = hospital["performed"].where(f"procedure_id <> '{D8}'")
+    affected = frame("procedure_id string", (D2,), (D2,), (D8,))
     found = dict(rows(changes.refresh_procedure_means(stale, without, affected).select("procedure_id", "mean_minutes")))
-    assert found[D2] == Decimal("10.00") and found[uid("d9")] is None
-    assert {v for k, v in found.items() if k not in (D2, uid("d9"))} == {Decimal("1.00")}
+    minutes = [r["minutes"] for r in seed.records("performed") if r["procedure_id"] == D2]
+    assert float(found[D2]) == round(sum(minutes) / len(minutes) + 1e-9, 2) and found[D8] is None
+    assert {v for k, v in found.items() if k not in (D2, D8)} == {Decimal("1.00")}
 
 
 def deleted(hospital, frame, table, *ids):
@@ -121,21 +123,21 @@ def sizes(tables, *names):
 def test_delete_of_encounters(hospital, frame):
     outcome, after = deleted(hospital, frame, "encounter", E1, E2, "nobody")
     assert outcome == {E1: ("deleted", None), E2: ("blocked", "billing"), "nobody": ("not_found", None)}
-    assert sizes(after, "encounter", "performed", "billing") == [15, 16, 3]
+    assert sizes(after, "encounter", "performed", "billing") == [20, len(seed.plain()["performed"]) - 2, 3]
 
 
 def test_delete_of_persons(hospital, frame):
-    idle = uid("b5")
-    outcome, after = deleted(hospital, frame, "person", A1, idle, uid("b4"), C1)
+    idle = "supervisor-5"
+    outcome, after = deleted(hospital, frame, "person", A1, idle, "supervisor-4", C1)
     assert outcome == {
-        A1: ("blocked", "encounter,stay"), idle: ("deleted", None), uid("b4"): ("deleted", None),
+        A1: ("blocked", "encounter,stay"), idle: ("deleted", None), "supervisor-4": ("deleted", None),
         C1: ("blocked", "encounter,roster")}
-    assert sizes(after, "person", "staff", "supervisor", "resident", "patient") == [13, 8, 3, 5, 5]
+    assert sizes(after, "person", "staff", "supervisor", "resident", "patient") == [15, 9, 3, 6, 6]
 
 
 @pytest.mark.parametrize(("table", "row", "expected"), [
-    ("procedure", uid("d1"), ("blocked", "performed")), ("procedure", uid("da"), ("deleted", None)),
-    ("unit", F1, ("blocked", "encounter,roster,stay")), ("patient", uid("a4"), ("blocked", "encounter")),
+    ("procedure", "procedure-1", ("blocked", "performed")), ("procedure", "procedure-9", ("deleted", None)),
+    ("unit", F1, ("blocked", "encounter,roster,stay")), ("patient", "patient-4", ("blocked", "encounter")),
 ])
 def test_restricting_references(hospital, frame, table, row, expected):
     outcome, _ = deleted(hospital, frame, table, row)
@@ -143,7 +145,7 @@ def test_restricting_references(hospital, frame, table, row, expected):
 
 
 def test_after_a_delete_no_reference_dangles(hospital, frame):
-    _, after = deleted(hospital, frame, "encounter", *(uid(f"e{c}") for c in "123456789"))
+    _, after = deleted(hospital, frame, "encounter", *(f"encounter-{i}" for i in range(1, 10)))
     assert rows(quality.audit_hospital(after, dt.date(2025, 7, 1))) == []
 
 
@@ -153,13 +155,13 @@ def test_role_changes(hospital, frame):
         "preceptor": hospital["supervisor"].select("supervisor_id"),
     }
     requests = frame("request_id int, staff_id string, role string",
-                     (1, C1, "preceptor"), (2, C2, "preceptor"), (3, uid("b1"), "preceptor"), (4, "x", "preceptor"),
+                     (1, C1, "preceptor"), (2, C2, "preceptor"), (3, "supervisor-1", "preceptor"), (4, "x", "preceptor"),
                      (5, C5, "diretor"))
     result = changes.change_roles(hospital["staff"], subtypes, requests)
     assert {r["request_id"]: r["outcome"] for r in result.outcome.collect()} == {
         1: "changed", 2: "blocked_subtype", 3: "unchanged", 4: "not_found", 5: "invalid_role"}
     roles = dict(rows(result.table.select("staff_id", "role")))
-    assert roles[C1] == "preceptor" and roles[C2] == "residente" and len(roles) == 10
+    assert roles[C1] == "preceptor" and roles[C2] == "residente" and len(roles) == 11
 
 
 def one_move_after_the_other(base, moves):

@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import as_set, reasons, rows
-from tests.seed import uid
 from wardbook.operators import ingest, quality
 
 TODAY = dt.date(2025, 7, 1)
-A1, B1, C1, C5, F1, F2 = (uid(x) for x in ("a1", "b1", "c1", "c5", "f1", "f2"))
-NOBODY = uid("90")
+A1, B1, C1, C5, F1, F2 = (
+    "patient-1", "supervisor-1", "resident-1", "resident-5", "unit-1", "unit-2")
+NOBODY = "nobody-0"
 
 
 def test_defaults_fill_missing_values_and_columns(frame):
@@ -87,24 +87,24 @@ def staff(i, kind, cpf, crm, year=None, title=None, hired="2020-01-01"):
 def test_people(hospital, frame):
     batch = frame(
         PEOPLE,
-        patient(1, "10920930450", blood="O+"),
-        patient(2, "10920930450"),                      # same cpf as an earlier request
-        patient(3, "11122233344"),                      # cpf of a known person
-        patient(4, "1092093045"), patient(5, "1092093045A"),
-        patient(6, "10920930451", born="2025-07-02"), patient(7, "10920930452", born="yesterday"),
-        patient(8, "10920930453", name=None), patient(9, "10920930454", blood="XYZ"),
-        staff(10, "preceptor", "90019002900", "CRM/PB 0001", title="Doutor"),
-        staff(11, "residente", "90029003900", "CRM/PB 0002", year="R1"),
-        staff(12, "residente", "90029003901", "CRM/PB 0001", year="R1"),   # crm of request 10
-        staff(13, "residente", "90029003902", "CRM/PB 1111", year="R1"),   # crm of known staff
-        staff(14, "residente", "90029003903", "CRM/PB 0003"),
-        staff(15, "preceptor", "90029003904", "CRM/PB 0004"),
-        staff(16, "residente", "90029003905", "CRM/PB 0005", year="R9"),
-        staff(17, "diretor", "90029003906", "CRM/PB 0006"),
+        patient(1, "30920930450", blood="O+"),
+        patient(2, "30920930450"),                      # same cpf as an earlier request
+        patient(3, "10000000001"),                      # cpf of a known person
+        patient(4, "3092093045"), patient(5, "3092093045A"),
+        patient(6, "30920930451", born="2025-07-02"), patient(7, "30920930452", born="yesterday"),
+        patient(8, "30920930453", name=None), patient(9, "30920930454", blood="XYZ"),
+        staff(10, "preceptor", "90019002900", "CRM x0001", title="Doutor"),
+        staff(11, "residente", "90029003900", "CRM x0002", year="R1"),
+        staff(12, "residente", "90029003901", "CRM x0001", year="R1"),   # crm of request 10
+        staff(13, "residente", "90029003902", "CRM 101", year="R1"),   # crm of known staff
+        staff(14, "residente", "90029003903", "CRM x0003"),
+        staff(15, "preceptor", "90029003904", "CRM x0004"),
+        staff(16, "residente", "90029003905", "CRM x0005", year="R9"),
+        staff(17, "diretor", "90029003906", "CRM x0006"),
         staff(18, "preceptor", "90029003907", None, title="Doutor"),
-        patient(21, "10920930455", born=None), staff(22, "preceptor", "90029003909", "CRM/PB 0009", title="M", hired=None),
-        staff(19, "preceptor", "11122233344", "CRM/PB 0007", title="Doutor"),   # refused for its cpf ...
-        staff(20, "preceptor", "90029003908", "CRM/PB 0007", title="Doutor"),   # ... yet its crm stays taken
+        patient(21, "30920930455", born=None), staff(22, "preceptor", "90029003909", "CRM x0009", title="M", hired=None),
+        staff(19, "preceptor", "10000000001", "CRM x0007", title="Doutor"),   # refused for its cpf ...
+        staff(20, "preceptor", "90029003908", "CRM x0007", title="Doutor"),   # ... yet its crm stays taken
     )
     people = ingest.register_people(batch, hospital["person"], hospital["staff"], TODAY)
     assert reasons(people.requests, "request_id") == {
@@ -120,7 +120,7 @@ def test_people(hospital, frame):
     assert rows(quality.audit_hospital(new, TODAY)) == []
 
 
-ITEM = {"procedure_id": uid("d2"), "quantity": 1, "minutes": 9, "started_at": "2020-01-01 09:05:00", "note": "ok"}
+ITEM = {"procedure_id": "procedure-2", "quantity": 1, "minutes": 9, "started_at": "2020-01-01 09:05:00", "note": "ok"}
 
 
 def bundle(i, *items, patient_id=A1, text=None):
@@ -131,11 +131,11 @@ def bundle(i, *items, patient_id=A1, text=None):
 def test_bundles_are_all_or_nothing(hospital, frame):
     schema = "encounter_id string, started_at string, minutes string, patient_id string, resident_id string, " \
              "supervisor_id string, unit_id string, items string"
-    other = {**ITEM, "procedure_id": uid("d3")}
+    other = {**ITEM, "procedure_id": "procedure-3"}
     batch = frame(
         schema,
         bundle(1, ITEM, other),
-        bundle(2, {"procedure_id": uid("d2"), "minutes": 5}),
+        bundle(2, {"procedure_id": "procedure-2", "minutes": 5}),
         bundle(3, other, {**ITEM, "procedure_id": NOBODY}),
         bundle(4, ITEM, ITEM),
         bundle(5, other, {**ITEM, "quantity": 0}),
@@ -156,14 +156,14 @@ def test_bundles_are_all_or_nothing(hospital, frame):
         "12": "patient_not_found", "13": "invalid_item", "14": "invalid_item"}
     assert {r["encounter_id"] for r in result.encounters.collect()} == {"1", "2", "9", "10"}
     performed = {(r["encounter_id"], r["procedure_id"]): r for r in result.performed.collect()}
-    assert set(performed) == {("1", uid("d2")), ("1", uid("d3")), ("2", uid("d2"))}
-    defaulted = performed["2", uid("d2")]
+    assert set(performed) == {("1", "procedure-2"), ("1", "procedure-3"), ("2", "procedure-2")}
+    defaulted = performed["2", "procedure-2"]
     assert (defaulted["quantity"], defaulted["started_at"]) == (1, dt.datetime(2020, 1, 1, 9))
-    assert performed["1", uid("d2")]["started_at"] == dt.datetime(2020, 1, 1, 9, 5)
+    assert performed["1", "procedure-2"]["started_at"] == dt.datetime(2020, 1, 1, 9, 5)
 
 
 def test_flat_items_are_judged_like_nested_ones(hospital, frame):
-    other, third = {**ITEM, "procedure_id": uid("d3")}, {**ITEM, "procedure_id": uid("d4")}
+    other, third = {**ITEM, "procedure_id": "procedure-3"}, {**ITEM, "procedure_id": "procedure-4"}
     bundles = {
         "1": [ITEM, other], "2": [ITEM, ITEM], "3": [other, {**ITEM, "procedure_id": NOBODY}], "4": [],
         "5": [other, {**ITEM, "minutes": 0}], "6": [{**ITEM, "quantity": "two"}], "7": [{**ITEM, "quantity": None}],
@@ -190,8 +190,8 @@ def test_bundles_take_arrays_too(hospital, frame):
         "encounter_id string, started_at timestamp_ntz, minutes int, patient_id string, resident_id string, "
         "supervisor_id string, unit_id string, "
         "items array<struct<procedure_id:string,quantity:int,minutes:int,started_at:timestamp_ntz,note:string>>",
-        ("1", dt.datetime(2020, 1, 1), 20, A1, C1, B1, F1, [(uid("d2"), None, 5, None, None)]),
-        ("2", dt.datetime(2020, 1, 1), 20, A1, C1, B1, F1, [(uid("d2"), 0, 5, None, None)]),
+        ("1", dt.datetime(2020, 1, 1), 20, A1, C1, B1, F1, [("procedure-2", None, 5, None, None)]),
+        ("2", dt.datetime(2020, 1, 1), 20, A1, C1, B1, F1, [("procedure-2", 0, 5, None, None)]),
         ("3", dt.datetime(2020, 1, 1), 20, A1, C1, B1, F1, None),
     )
     result = ingest.register_encounter_bundle(batch, hospital)
@@ -200,7 +200,8 @@ def test_bundles_take_arrays_too(hospital, frame):
 
 def test_performed(hospital, frame):
     at = "2025-06-10 08:30:00"
-    e1, e3, d2, d6, d7 = (uid(x) for x in ("e1", "e3", "d2", "d6", "d7"))
+    e1, e3, d2, d6, d7 = (
+        "encounter-1", "encounter-3", "procedure-2", "procedure-6", "procedure-7")
     batch = frame(
         "request_id int, encounter_id string, procedure_id string, quantity string, minutes string, started_at string, "
         "note string",
@@ -218,7 +219,8 @@ def test_performed(hospital, frame):
 
 
 def test_bills(hospital, frame):
-    e1, e2, d1, d2, d3 = (uid(x) for x in ("e1", "e2", "d1", "d2", "d3"))
+    e1, e2, d1, d2, d3 = (
+        "encounter-1", "encounter-2", "procedure-1", "procedure-2", "procedure-3")
     requests = frame(
         "request_id int, encounter_id string, procedure_id string, amount string, issued_on date",
         (1, e1, d1, "80.00", None), (2, e1, d1, "80.00", None), (3, e2, d2, "80.00", None),
@@ -241,16 +243,16 @@ SLOT_REQUEST = "request_id int, unit_id string, weekday string, turn string, res
 def test_roster_requests(hospital, frame):
     batch = frame(
         SLOT_REQUEST,
-        (1, F1, "segunda", "manha", C1, uid("b2")),     # slot of the standing roster, other supervisor
-        (2, F2, "segunda", "manha", C1, B1),            # standing slot, other unit
+        (1, F1, "terca", "tarde", C1, "supervisor-2"),       # slot of the standing roster, other supervisor
+        (2, F2, "terca", "tarde", C1, B1),              # standing slot, other unit
         (3, F1, "domingo", "manha", C5, B1),
-        (4, F1, "domingo", "manha", C5, uid("b2")),     # rival for the same slot and unit
+        (4, F1, "domingo", "manha", C5, "supervisor-2"),     # rival for the same slot and unit
         (5, F2, "domingo", "manha", C5, B1),
-        (6, F1, "domingo", "tarde", NOBODY, B1),
+        (6, F1, "sexta", "tarde", NOBODY, B1),
         (7, F1, "sunday", "tarde", C5, B1),
-        (8, NOBODY, "domingo", "tarde", C5, B1),        # invalid, must not keep the next one out
-        (9, F2, "domingo", "tarde", C5, B1),
-        (10, F2, "domingo", "tarde", uid("c4"), B1),    # same supervisor, another resident
+        (8, NOBODY, "sexta", "tarde", C5, B1),        # invalid, must not keep the next one out
+        (9, F2, "sexta", "tarde", C5, B1),
+        (10, F2, "sexta", "tarde", "resident-4", B1),    # same supervisor, another resident
         (11, F2, "domingo", "madrugada", C5, B1),
         (12, F2, "domingo", "noite", C5, None),
     )

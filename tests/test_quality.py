@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import as_set, rows
-from tests.seed import uid
 from wardbook.model import HOSPITAL
 from wardbook.operators import quality
 
@@ -87,9 +86,9 @@ def test_foreign_key_single_composite_and_null(frame):
 
 def test_orphans_duplicates_and_roles_of_the_hospital(hospital):
     t = dict(hospital)
-    t["patient"] = hospital["patient"].where(f"patient_id <> '{uid('a1')}'")
+    t["patient"] = hospital["patient"].where(f"patient_id <> 'patient-1'")
     t["person"] = hospital["person"].withColumn(
-        "cpf", F.when(F.col("name").startswith("Gabigol"), "11122233344").otherwise(F.col("cpf")))
+        "cpf", F.when(F.col("name").startswith("Wanda"), "10000000001").otherwise(F.col("cpf")))
     t["resident"] = hospital["resident"].unionByName(
         hospital["supervisor"].limit(1).select(
             F.col("supervisor_id").alias("resident_id"), F.lit("residente").alias("role"), F.lit("R1").alias("year")))
@@ -97,21 +96,21 @@ def test_orphans_duplicates_and_roles_of_the_hospital(hospital):
     by_rule = {}
     for table, rule, record in found:
         by_rule.setdefault((table, rule), []).append(record)
-    assert len(by_rule["encounter", "patient_id_in_patient"]) == 3
+    assert len(by_rule["encounter", "patient_id_in_patient"]) == 4
     assert len(by_rule["stay", "patient_id_in_patient"]) == 1
-    assert by_rule["person", "cpf_unique"] == ["11122233344"]
-    assert by_rule["resident", "resident_id_role_in_staff"] == [uid("b1")]
+    assert by_rule["person", "cpf_unique"] == ["10000000001"]
+    assert by_rule["resident", "resident_id_role_in_staff"] == ["supervisor-1"]
     assert len(by_rule) == 4
 
 
 def test_exclusive_roles(hospital, frame):
     residents = hospital["resident"].select("resident_id")
     supervisors = hospital["supervisor"].select("supervisor_id")
-    both = residents.union(frame("id string", (uid("b1"),), ("ghost",)))
+    both = residents.union(frame("id string", ("supervisor-1",), ("ghost",)))
     found = as_set(quality.audit_exclusive_roles(hospital["staff"], {"residente": both, "preceptor": supervisors}))
     assert found == {
-        (uid("b1"), "residente", "role_mismatch"), (uid("b1"), "residente", "several_subtypes"),
-        (uid("b1"), "preceptor", "several_subtypes"), ("ghost", "residente", "role_mismatch")}
+        ("supervisor-1", "residente", "role_mismatch"), ("supervisor-1", "residente", "several_subtypes"),
+        ("supervisor-1", "preceptor", "several_subtypes"), ("ghost", "residente", "role_mismatch")}
     clean = {"residente": residents, "preceptor": supervisors}
     assert rows(quality.audit_exclusive_roles(hospital["staff"], clean)) == []
 

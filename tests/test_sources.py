@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from tests import seed
 from tests.conftest import as_set, rows
 from wardbook import session
 from wardbook.model import HOSPITAL
@@ -39,18 +40,18 @@ def test_text_formats_load_typed(spark, hospital, tmp_path, fmt):
 
 
 def test_row_counts(hospital):
-    assert dict(rows(load.row_counts(hospital)))["performed"] == 18
+    assert dict(rows(load.row_counts(hospital)))["performed"] == len(seed.plain()["performed"])
 
 
 def test_export_json_has_plain_numbers_and_nulls(hospital, tmp_path):
     report = analytics.mean_duration_by_resident({**hospital, "encounter": hospital["encounter"].limit(0)})
     export.export_result(report, str(tmp_path / "out"), "json")
     lines = [json.loads(line) for f in Path(tmp_path / "out").glob("*.json") for line in f.read_text().splitlines()]
-    assert len(lines) == 5 and {line["mean_minutes"] for line in lines} == {None}
+    assert len(lines) == 6 and {line["mean_minutes"] for line in lines} == {None}
     kpis = analytics.dashboard_kpis(hospital, JUNE)
     export.export_result(kpis, str(tmp_path / "kpis"), "json")
     (line,) = [json.loads(f.read_text()) for f in Path(tmp_path / "kpis").glob("*.json")]
-    assert line["billed_in_month"] == 1170.0
+    assert line["billed_in_month"] == 735.75
 
 
 def test_export_csv_and_parquet(spark, hospital, tmp_path):
@@ -59,7 +60,7 @@ def test_export_csv_and_parquet(spark, hospital, tmp_path):
     assert sorted(rows(spark.read.parquet(str(tmp_path / "p")))) == sorted(rows(report))
     export.export_result(report, str(tmp_path / "c"), "csv")
     back = spark.read.option("header", "true").csv(str(tmp_path / "c"))
-    assert back.count() == 5 and '["Nebulização"]' in {r["procedures"] for r in back.collect()}
+    assert back.count() == 5 and '["Biopsy","Ultrasound"]' in {r["procedures"] for r in back.collect()}
     with pytest.raises(ValueError):
         export.export_result(report, str(tmp_path / "x"), "xml")
 
@@ -70,7 +71,8 @@ def test_views_function_and_named_queries(spark, hospital):
         assert rows(spark.sql(f"SELECT * FROM {name}")) == rows(surface.VIEWS[name](hospital))
     (function,) = surface.register_functions(spark)
     assert rows(spark.sql(f"SELECT * FROM {function}()")) == rows(analytics.mean_wait_by_unit(hospital))
-    assert rows(surface.run_named(spark, "busy_supervisors", year=2025, month=6)) == [("Dr. Jorge Jesus", 8)]
+    assert rows(surface.run_named(spark, "busy_supervisors", year=2025, month=6)) == rows(
+        analytics.busy_supervisors(hospital, 2025, 6, 5)) != []
     assert rows(surface.run_named(spark, "busy_supervisors", year=2025, month=6, min_count=0)) == rows(
         analytics.busy_supervisors(hospital, 2025, 6, 0))
     found = surface.run_named(spark, "patients", search="x' OR 1=1 --")
@@ -95,11 +97,13 @@ def test_sql_written_for_the_hospital_database(spark, hospital):
     """Stored table and column names work in Spark SQL, joins and grouping included."""
     surface.register_stored_tables(hospital)
     found = spark.sql("""
-        SELECT p.nome AS residente, COUNT(a.id_atendimento) AS total
-        FROM RESIDENTE res JOIN PESSOA p ON p.id_pessoa = res.id_pessoa
-        LEFT JOIN ATENDIMENTO a ON a.id_residente = res.id_pessoa
-        GROUP BY res.id_pessoa, p.nome ORDER BY total DESC, p.nome""")
-    assert rows(found) == rows(analytics.resident_ranking(hospital).select("resident", "encounters"))
+        WITH custo AS (SELECT id_procedimento, avg(valor) AS medio FROM FATURAMENTO GROUP BY id_procedimento)
+        SELECT u.nome, count(DISTINCT x.id_procedimento), max(c.medio) FROM UNIDADE u
+        JOIN ATENDIMENTO y USING (id_unidade) JOIN PROCEDIMENTO_REALIZADO x USING (id_atendimento)
+        LEFT JOIN custo c USING (id_procedimento)
+        GROUP BY u.nome HAVING count(*) > 1""")
+    assert {name for name, *_ in rows(found)} == {name for name, *_ in seed.UNITS}
+    assert max(float(cost) for *_, cost in rows(found) if cost is not None) == 640.25
 
 
 def test_shared_dir_is_the_one_the_session_names(spark):

@@ -25,7 +25,8 @@ def ratio(total: Column | str, count: Column | str, decimals: int = 2) -> Column
 
 def in_order_of(column: str | Column, labels: Sequence[str]) -> Column:
     """Position of an enumeration label, for sorting; NULL when it is not one of them."""
-    return F.nullif(F.array_position(F.array(*map(F.lit, labels)), column), F.lit(0))
+    label = F.col(column) if isinstance(column, str) else column  # a string would be taken as a label
+    return F.nullif(F.array_position(F.array(*map(F.lit, labels)), label), F.lit(0).cast("long"))
 
 
 def weekday_label(day: str | Column) -> Column:

@@ -23,7 +23,7 @@ from wardbook.functions import (
     ratio,
     weekday_label,
 )
-from wardbook.functions.frames import Tables
+from wardbook.functions.frames import Tables, splittable
 from wardbook.model import DOCTOR_TITLES, HIGH_RISK, TURNS, WEEKDAYS
 
 
@@ -202,7 +202,7 @@ def monthly_stats(t: Tables) -> DataFrame:
     stats = placed.groupBy("month", "unit_id").agg(n_rows().alias("n"), F.sum("minutes").alias("total"))
     by_id = (
         t["performed"].select("encounter_id", "procedure_id")
-        .join(placed.drop("minutes"), "encounter_id")
+        .join(splittable(placed.drop("minutes")), "encounter_id")
         .groupBy("month", "unit_id", "procedure_id").agg(n_rows().alias("n"))
     )
     by_name = (
