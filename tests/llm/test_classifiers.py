@@ -84,13 +84,14 @@ def test_viterbi_finds_the_best_reading(spark):
                                  "doc_id long, text string")
     model = toxicity.letter_model(docs)
     assert np.exp(model).sum(axis=-1) == pytest.approx(1)
-    for token in ("1d10t", "id1ooot", "m0r0n", "5tup1d", "tr@sh", "i.d.i.o.t", "w0rth1e55", "$cum"):
+    for token in ("1d10t", "id1ooot", "m0r0n", "5tup1d", "tr@sh", "i.d.i.o.t", "w0rth1e55", "$cum", "id*ot", "mo-ron"):
         readings = all_readings(token, model)
         assert readings[toxicity.decode(token, model)] == pytest.approx(max(readings.values()))
     restorer = toxicity.Restorer(model)
-    text = "An !!1d10t!! said: i d i o t, IDIOT### tr4sh. m-o-r-o-n well-known a b 2024"
+    text = "An !!1d10t!! said: i d i o t, IDIOT### tr4sh. m-o-r-o-n well-known a b 2024 scu*m st*pid"
     words = restorer.words(text)
     assert words["idiot"] == 3 and words["trash"] == 1 and words["moron"] == 1 and words["well"] == words["known"] == 1
+    assert words["scum"] == words["stupid"] == 1
 
 
 def test_obfuscated_words_count(spark):

@@ -38,6 +38,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 # Letters a-z are 1 to 26, other letters 27, all else the border 0.
 CODES = 28
 
+VOWELS = "aeiou"  # what an asterisk may hide
+LOG_MASKED = math.log(0.1)
 LOG_SUBSTITUTED, LOG_KEPT = math.log(0.5), math.log(0.6)
 # A letter may well stand twice; from the third on, a repetition is a stretched word.
 LOG_DROPPED, LOG_DROPPED_SECOND = math.log(0.3), math.log(0.02)
@@ -98,7 +100,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c in LOOK_ALIKES:
             options = [(x, LOG_SUBSTITUTED) for x in LOOK_ALIKES[c]]
         elif c in SEPARATORS:
-            options = [("", LOG_DROPPED)]
+            options = [("", LOG_DROPPED)] + [(v, LOG_MASKED) for v in VOWELS if c == "*"]
         else:
             options = [(c, LOG_KEPT)]
         if i and token[i - 1] == c:
@@ -160,7 +162,8 @@ class Restorer(dict):
         # What a separator joins are words of their own, unless they are single letters.
         parts = re.split(f"[{re.escape(SEPARATORS)}]+", core)
         if len(parts) > 1 and max(map(len, parts)) > 1:
-            return tuple(w for p in parts if p for w in self.read(p))
+            # Or else letters of one word, with something put in between.
+            return (*(w for p in parts if p for w in self.read(p)), *_PLAIN.findall(decode(core, self.model)))
         return tuple(_PLAIN.findall(decode(core, self.model))) or (core,)
 
     def words(self, text: str) -> Counter:
