@@ -275,9 +275,10 @@ def judge_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of
     is_staff = kind.isin(*ROLES)
     person_rules = PERSON.checks(as_of)
     judged = typed(requests, PERSON_TYPES)
+    # Key by key, so that the batch is shuffled once for each.
     judged = _mark_known(judged, ["cpf"], distinct_keys(person, "cpf"), "_cpf_taken")
-    judged = _mark_known(judged, ["crm"], distinct_keys(staff, "crm"), "_crm_taken")
     judged = _mark_first(judged, ["cpf"], ["request_id"], "_cpf_first")
+    judged = _mark_known(judged, ["crm"], distinct_keys(staff, "crm"), "_crm_taken")
     judged = _mark_first(judged, ["crm"], ["request_id"], "_crm_first")
     reasons = [
         (~F.coalesce(kind.isin(PATIENT_KIND, *ROLES), F.lit(False)), "invalid_kind"),
