@@ -3,7 +3,9 @@
 Every task first merges the texts it reads in a trie of its own, so that a text is
 shuffled once per task, however many copies it has. The partitions' owners are kept
 at the terminal nodes. A trie that outgrows its memory gives its heaviest subtree to
-a scratch file of the task, which is worked off when the rest is done.
+an unnamed scratch file, which is worked off when the rest is done. Like Spark's own
+spills it belongs to the running task alone: nobody else reads it, and a task that is run
+again starts without it.
 """
 
 from __future__ import annotations
