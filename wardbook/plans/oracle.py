@@ -461,6 +461,18 @@ _BOUND = {
         ) m ON m.procedure_id = c.procedure_id""",
     "C6_delete_with_actions": """
         SELECT encounter_id, outcome, CASE WHEN outcome = 'blocked' THEN 'billing' END AS blocked_by FROM fate""",
+    "C6_delete_procedures": """
+        SELECT p_partkey AS procedure_id, CASE WHEN x.used THEN 'blocked' ELSE 'deleted' END AS outcome,
+               CASE WHEN x.used THEN 'performed' END AS blocked_by
+        FROM part LEFT JOIN (SELECT DISTINCT procedure_id, TRUE AS used FROM performed) x ON x.procedure_id = p_partkey""",
+    "C6_delete_people": """
+        SELECT person_id, CASE WHEN used THEN 'blocked' ELSE 'deleted' END AS outcome,
+               CASE WHEN used THEN 'encounter' END AS blocked_by
+        FROM (
+            SELECT 'c' || c_custkey AS person_id, c_custkey IN (SELECT patient_id FROM encounter) AS used FROM customer
+            UNION ALL
+            SELECT 's' || s_suppkey, s_suppkey IN (SELECT resident_id FROM encounter)
+                   OR s_suppkey IN (SELECT supervisor_id FROM encounter) FROM supplier)""",
     "C6_delete_with_actions_performed": """
         SELECT encounter_id, procedure_id FROM performed
         WHERE encounter_id NOT IN (SELECT encounter_id FROM fate WHERE outcome = 'deleted')""",

@@ -518,6 +518,36 @@ def c6_performed(spark: SparkSession, d: str) -> DataFrame:
     return cascade(spark, d).tables["performed"].select("encounter_id", "procedure_id")
 
 
+@query("C6_delete_procedures")
+def c6_procedures(spark: SparkSession, d: str) -> DataFrame:
+    """The whole catalogue is to be deleted; a procedure that was performed stays."""
+    t = orders_clinic(spark, d)
+    tables = {name: t[name] for name in ("procedure", "performed", "billing")}
+    return changes.delete_with_actions(tables, "procedure", t["procedure"]).outcome
+
+
+@query("C6_delete_people")
+def c6_people(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers are to be deleted as persons, with their roles; those in an encounter stay."""
+    t = orders_clinic(spark, d)
+    text = {"patient": "c", "staff": "s", "resident": "s", "supervisor": "s"}
+
+    def own(name: str, frame: DataFrame) -> DataFrame:
+        """One id of a person for both kinds of people."""
+        return frame.withColumn(f"{name}_id", F.concat(F.lit(text[name]), F.col(f"{name}_id").cast("string")))
+
+    tables = {name: own(name, t[name]) for name in ("patient", "staff")}
+    staff = tables["staff"]
+    for name, role in (("resident", RESIDENT), ("supervisor", SUPERVISOR)):
+        tables[name] = staff.where(F.col("role") == role).select(F.col("staff_id").alias(f"{name}_id"), "role")
+    person = tables["patient"].select(F.col("patient_id").alias("person_id")).unionByName(
+        staff.select(F.col("staff_id").alias("person_id")))
+    encounter = t["encounter"]
+    for name in ("patient", "resident", "supervisor"):
+        encounter = own(name, encounter)
+    return changes.delete_with_actions({**tables, "person": person, "encounter": encounter}, "person", person).outcome
+
+
 def role_changes(spark: SparkSession, d: str) -> changes.RoleChanges:
     """Every supplier asks to be a supervisor; those in debt have no subtype row left."""
     (supplier,) = read_raw(spark, d, "supplier")
