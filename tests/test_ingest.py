@@ -185,6 +185,20 @@ def test_flat_items_are_judged_like_nested_ones(hospital, frame):
     assert as_set(two.settled().performed) == as_set(two.performed)
 
 
+def test_every_item_is_accounted_for(hospital, frame):
+    requests = frame("encounter_id string, started_at string, minutes string, patient_id string, resident_id string, "
+                     "supervisor_id string, unit_id string",
+                     ("1", "2020-01-01 09:00:00", "20", A1, C1, B1, F1), ("2", "2020-01-01 09:00:00", "0", A1, C1, B1, F1),
+                     (None, "2020-01-01 09:00:00", "20", A1, C1, B1, F1))
+    items = frame("encounter_id string, procedure_id string, minutes string", ("1", "procedure-2", "5"),
+                  ("2", "procedure-2", "5"), ("gone", "procedure-2", "5"), (None, "procedure-2", "5"))
+    result = ingest.register_encounter_bundle(requests, hospital, items)
+    found = {r["encounter_id"]: r["reason"] for r in result.labelled_items.collect()}
+    assert found == {"1": None, "2": "invalid_minutes", "gone": "unknown_encounter", None: "unknown_encounter"}
+    assert result.performed.count() + result.rejected_items.count() == items.count()
+    assert reasons(result.requests, "encounter_id")[None] == "missing_encounter_id"
+
+
 def test_bundles_take_arrays_too(hospital, frame):
     batch = frame(
         "encounter_id string, started_at timestamp_ntz, minutes int, patient_id string, resident_id string, "

@@ -381,35 +381,37 @@ def _item(field: Callable[[str], Column], procedure_id_type: T.DataType) -> Colu
 def _nested_verdicts(batch: DataFrame, refs: Tables) -> tuple[DataFrame, dict[str, Column]]:
     """Item rules for nested items, as JSON text or an array of structs.
 
-    All but one are tested inside the row. Only (encounter, procedure) pairs are
-    shuffled, read by a narrow parse of their own, to find the encounters that
-    name an unknown procedure.
+    The items are read once, in a narrow branch of the plan: all rules but one are
+    tested inside the row, and what is shuffled are (encounter, procedure) pairs with the verdicts of
+    the row. Only verdicts come back to the batch. ``_items`` is read again, for the accepted
+    requests, where performed rows are asked for.
     """
     kind = refs["procedure"].schema["procedure_id"].dataType
     whole_items = "array<struct<" + ",".join(f"{c}:string" for c in ITEM_FIELDS) + ">>"
     if isinstance(batch.schema["items"].dataType, T.StringType):
         given = F.when(F.trim("items") != "", F.col("items"))
-        named = F.from_json(given, "array<struct<procedure_id:string>>")["procedure_id"]
-        read = batch.withColumn("_raw", F.from_json(given, whole_items))
-        malformed = given.isNotNull() & F.col("_raw").isNull()
+        raw = F.from_json(given, whole_items)
     else:
-        named = F.col("items.procedure_id")
-        read = batch.withColumn("_raw", F.col("items").cast(whole_items))
-        malformed = F.lit(False)
-    raw = F.coalesce("_raw", F.array().cast(whole_items))
-    read = read.withColumn("_malformed", malformed).withColumn(
-        "_items", F.transform(raw, lambda x: _item(lambda c: x[c], kind)))
+        given = F.col("items")
+        raw = given.cast(whole_items)
+
+    def items(raw: Column) -> Column:
+        return F.transform(F.coalesce(raw, F.array().cast(whole_items)), lambda x: _item(lambda c: x[c], kind))
+
+    read = batch.where(given.isNotNull()).select("encounter_id", raw.alias("_raw"))
+    read = read.select("encounter_id", F.col("_raw").isNull().alias("_malformed"), items(F.col("_raw")).alias("_items"))
     ids = F.col("_items.procedure_id")
-    read = read.withColumn("_bad", F.exists("_items", lambda x: x["bad"])).withColumn(
-        "_repeated", F.size(F.array_distinct(ids)) != F.size(ids))
-
-    # explode_outer: explode would filter on the array first and so parse it twice
-    asked = batch.select("encounter_id", F.explode_outer(named).alias("id"))
-    asked = asked.select("encounter_id", F.col("id").try_cast(kind).alias("procedure_id")).dropna()
-    unknown = asked.join(distinct_keys(refs["procedure"], "procedure_id"), "procedure_id", "left_anti")
-    return _mark_known(read, ["encounter_id"], distinct_keys(unknown, "encounter_id"), "_unknown"), {
+    # explode_outer: explode would filter on the array first and so read it twice
+    asked = read.select(
+        "encounter_id", "_malformed", F.exists("_items", lambda x: x["bad"]).alias("_bad"),
+        (F.size(F.array_distinct(ids)) != F.size(ids)).alias("_repeated"), F.explode_outer(ids).alias("procedure_id"))
+    asked = _mark_known(asked, ["procedure_id"], distinct_keys(refs["procedure"], "procedure_id"), "_known")
+    unknown = F.col("procedure_id").isNotNull() & F.col("_known").isNull()
+    verdicts = asked.groupBy("encounter_id").agg(
+        *[F.bool_or(c).alias(c) for c in ("_malformed", "_bad", "_repeated")], F.bool_or(unknown).alias("_unknown"))
+    return batch.withColumn("_items", items(raw)).join(splittable(verdicts), "encounter_id", "left"), {
         "malformed_items": ~F.col("_malformed"),
-        "procedure_not_found": F.col("_unknown").isNull(),
+        "procedure_not_found": ~F.col("_unknown"),
         "invalid_item": ~F.col("_bad"),
         "repeated_procedure": ~F.col("_repeated"),
     }
@@ -452,8 +454,9 @@ def register_encounter_bundle(batch: DataFrame, refs: Tables, items: DataFrame |
         absent = {c: F.lit(None).cast("string") for c in ITEM_FIELDS if c not in given}
         items = items.withColumns(absent).select("encounter_id", _item(F.col, kind).alias("_item"))
         read, rules = _flat_verdicts(typed_batch, items, refs)
-    judged = judge_typed(
-        read, encounter_parents(refs), {**encounter_rules(), **rules}, ENCOUNTER_FIELDS, ENCOUNTER_TYPES)
+    # Verdicts on items come by the id, so that there must be one.
+    rules = {"missing_encounter_id": F.col("encounter_id").isNotNull(), **encounter_rules(), **rules}
+    judged = judge_typed(read, encounter_parents(refs), rules, ENCOUNTER_FIELDS, ENCOUNTER_TYPES)
     return Bundles(Outcome(judged, batch.columns, ENCOUNTER_TYPES), items)
 
 
