@@ -27,6 +27,7 @@ SEED = 42
 BLOCK = 1 << 17  # fingerprints of one block: 1 MB, or more beyond MOST_BLOCKS of them
 MOST_BLOCKS = 512
 TILE = 1 << 11  # fingerprints of one side of a tile
+STRIPE = 128  # of the other side at once
 HASHES_AT_ONCE = 1 << 15
 
 
@@ -68,6 +69,8 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def _close_pairs(left: np.ndarray, right: np.ndarray, radius: int,
                  same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of fingerprints within the radius, tile by tile; of one block with itself, i < j."""
+    # Written over for each stripe of a tile, so that they stay in the cache.
+    xored, counted = np.empty((STRIPE, TILE), np.uint64), np.empty((STRIPE, TILE), np.uint8)
     counts_l, counts_r = (np.bitwise_count(x).astype(np.int16) for x in (left, right))
     for i in range(0, len(left), TILE):
         a, ca = left[i:i + TILE, None], counts_l[i:i + TILE]
@@ -75,8 +78,14 @@ def _close_pairs(left: np.ndarray, right: np.ndarray, radius: int,
             cb = counts_r[j:j + TILE]
             if int(ca.min()) - int(cb.max()) > radius or int(cb.min()) - int(ca.max()) > radius:
                 continue
-            for s in range(0, len(a), 128):  # stripes that stay in the cache
-                x, y = np.nonzero(np.bitwise_count(a[s:s + 128] ^ right[j:j + TILE]) <= radius)
+            for s in range(0, len(a), STRIPE):
+                stripe = a[s:s + STRIPE]
+                bits, distance = xored[:len(stripe), :len(cb)], counted[:len(stripe), :len(cb)]
+                np.bitwise_xor(stripe, right[j:j + TILE], out=bits)
+                np.bitwise_count(bits, out=distance)
+                if distance.min() > radius:
+                    continue
+                x, y = np.nonzero(distance <= radius)
                 x, y = x + i + s, y + j
                 if same:
                     keep = x < y
