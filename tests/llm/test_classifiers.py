@@ -95,7 +95,8 @@ def test_viterbi_finds_the_best_reading(spark):
 
 
 def test_obfuscated_words_count(spark):
-    texts = [(i, f"some plain words number {'x' * (i % 9)} here and there" + (" you idiot" if i % 2 else " you know")) for i in range(400)]
+    ends = (" you know", " you idiot")
+    texts = [(i, f"some plain words number {'x' * (i % 9)} here and there" + ends[i % 2]) for i in range(400)]
     docs = spark.createDataFrame(texts + [(1000, "you 1d1ot"), (1001, "you i d i o t go"), (1002, "you there")],
                                  "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], LABELS)

@@ -84,7 +84,8 @@ def test_contexts_discover_what_the_patterns_miss(spark):
 
 
 def test_copies_teach_nothing(spark):
-    docs = [(i, "please write to one@mail.example.com today") for i in range(50)] + [(100, "please write to clerk@intranet today")]
+    docs = [(i, "please write to one@mail.example.com today") for i in range(50)]
+    docs.append((100, "please write to clerk@intranet today"))
     found = pii.find_identifiers(spark.createDataFrame(docs, "doc_id long, text string"))
     assert found.where("n_added > 0").count() == 0
 
