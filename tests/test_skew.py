@@ -90,9 +90,11 @@ CASES = {
         t["requests"], t["requests"].select(*PAIR), t["requests"].where("request_id % 5 = 0").select(*PAIR),
         dt.date(2025, 6, 1)).labelled,
     "B14": lambda t: ingest.assign_roster(
-        t["requests"], t["requests"].where("request_id % 2 = 0").select("resident_id", "weekday", "turn", "unit_id")).labelled,
+        t["requests"],
+        t["requests"].where("request_id % 2 = 0").select("resident_id", "weekday", "turn", "unit_id")).labelled,
     "C2": lambda t: changes.delete_performed(
-        t["requests"].select(*PAIR, "minutes"), t["requests"], t["requests"].where("request_id % 5 = 0").select(*PAIR)).outcome,
+        t["requests"].select(*PAIR, "minutes"), t["requests"],
+        t["requests"].where("request_id % 5 = 0").select(*PAIR)).outcome,
     "C3": lambda t: changes.move_roster(
         t["requests"].select("resident_id", "weekday", "turn", "unit_id").distinct(),
         t["requests"].select("request_id", "resident_id", F.col("weekday").alias("from_weekday"),

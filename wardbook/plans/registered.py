@@ -447,7 +447,8 @@ def moves(spark: SparkSession, d: str) -> changes.Moved:
 
     later = F.col("ts") + F.make_dt_interval(days=(1 + F.col("event_id") % 3).cast("int"))
     requests = roster_requests(events, to_weekday=weekday_label(later)).select(
-        "request_id", resident(F.col("unit_id") == "purchase"), F.col("weekday").alias("from_weekday"), F.col("turn").alias("from_turn"),
+        "request_id", resident(F.col("unit_id") == "purchase"), F.col("weekday").alias("from_weekday"),
+        F.col("turn").alias("from_turn"),
         "to_weekday", F.col("turn").alias("to_turn"))
     roster = duty_clinic(spark, d)["roster"]
     standing = roster.withColumn("resident_id", resident(F.col("unit_id").isin("signup", "click")))
