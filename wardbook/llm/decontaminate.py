@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardbook.llm.common import by_batch, row_key, settle, text_hash, texts_of
-from wardbook.llm.words import ALNUM, Words, grams, groups, split_words
+from wardbook.llm.words import ALNUM, Words, grams, groups, mix, split_words
 
 WINDOW = 10
 GRAM = 5
-BITMAP_BITS = 24  # a filter of 2 MB before the join, whatever the size of the benchmark
+BITMAP_BITS = 24  # a filter of 2 MB before the join, whatever the size of the benchmark; 32 at most
 
 _HIT = pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.string())])
 
@@ -36,7 +36,7 @@ def winnow(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nda
         np.minimum(least, found[i:i + size], out=least)
     text = words.text_of()
     inside = np.flatnonzero(text[:size] == text[window - 1:window - 1 + size])
-    return inside, least[inside]
+    return inside, mix(least[inside])  # small numbers are as likely as others again
 
 
 def whole(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +73,12 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 
 def _bitmaps(windows: DataFrame, bits: int) -> dict[int, np.ndarray]:
-    """By length of window, which leading bits of fingerprints occur."""
-    place = F.shiftrightunsigned("fp", 64 - bits)
-    rows = windows.groupBy("length", F.shiftright(place, 6).alias("slot")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, int(pmod(shiftrightunsigned(fp, {64 - bits}), 64)))")).alias("bits"))
+    """By length of window, which numbers of ``bits`` bits occur at either of two places of fingerprints."""
+    mask = F.lit((1 << bits) - 1)
+    places = windows.select("length", F.explode(F.array(
+        F.shiftrightunsigned("fp", 64 - bits), F.shiftrightunsigned("fp", 64 - 2 * bits).bitwiseAND(mask))).alias("place"))
+    rows = places.groupBy("length", F.shiftright("place", 6).alias("slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
     found: dict[int, np.ndarray] = {}
     table = rows.toArrow()  # at most 2 ** (bits - 6) rows for each length
     for length, slot, word in zip(*(table[c].to_numpy() for c in ("length", "slot", "bits"))):
@@ -85,8 +87,12 @@ def _bitmaps(windows: DataFrame, bits: int) -> dict[int, np.ndarray]:
 
 
 def _occurs(bitmap: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
-    place = fps >> np.uint64(64 - bits)
-    return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    def has(place: np.ndarray) -> np.ndarray:
+        return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+    found = has(fps >> np.uint64(64 - bits))
+    found[found] = has((fps[found] >> np.uint64(64 - 2 * bits)) & np.uint64((1 << bits) - 1))
+    return found
 
 
 def _candidates(docs: DataFrame, bitmaps: dict[int, np.ndarray], window: int, gram: int, bits: int) -> DataFrame:
@@ -115,16 +121,20 @@ def _candidates(docs: DataFrame, bitmaps: dict[int, np.ndarray], window: int, gr
         "hits array<struct<fp: long, start: int, length: int, words: string>>")
 
 
-def _matches(docs: DataFrame, items: DataFrame, window: int, gram: int, bits: int):
-    """Rows with their numbers of words; their windows that occur in items; the items' windows."""
+def _known_windows(items: DataFrame, window: int, gram: int, bits: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """The items' windows, and the filters of their fingerprints."""
     windows = settle(item_windows(items, window, gram).distinct(), "item_windows")
-    bitmaps = _bitmaps(windows, bits)
+    return windows, _bitmaps(windows, bits)
+
+
+def _matches(docs: DataFrame, windows: DataFrame, bitmaps: dict[int, np.ndarray], window: int, gram: int, bits: int):
+    """Rows with their numbers of words, the columns of their key, and their windows that occur in items."""
     rows = settle(_candidates(docs, bitmaps, window, gram, bits), "window_candidates")
     rows = rows.withColumns(row_key(rows, F.col("text_hash")))
     keys = rows.columns[-3:]
     hits = rows.select(*keys, F.explode("hits").alias("h")).select(*keys, "h.*")
     known = settle(windows.select("fp", "words").distinct(), "known_windows")
-    return rows, keys, settle(hits.join(known, ["fp", "words"], "left_semi"), "window_hits"), windows
+    return rows, keys, settle(hits.join(known, ["fp", "words"], "left_semi"), "window_hits")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM,
@@ -136,7 +146,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     window. An item without an id makes hits but is not counted or listed; ids that repeat
     count once. Repeated rows have equal results; other columns are not looked at.
     """
-    rows, keys, hits, windows = _matches(docs, items, window, gram, bits)
+    windows, bitmaps = _known_windows(items, window, gram, bits)
+    rows, keys, hits = _matches(docs, windows, bitmaps, window, gram, bits)
     end = F.col("start") + F.col("length")
     before = F.max(end).over(Window.partitionBy(*keys).orderBy("start", "length").rowsBetween(
         Window.unboundedPreceding, -1))
@@ -158,9 +169,33 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def _with_candidates(docs: DataFrame, bitmaps: dict[int, np.ndarray], window: int, gram: int, bits: int,
+                     wanted: bool) -> DataFrame:
+    """The rows, with all their columns, that have a window which the filter lets through, or those without."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = np.zeros(batch.num_rows, bool)
+            for begin, texts in groups([t.encode() for t in texts_of(batch)]):
+                words = split_words(texts, ALNUM, lower=True)
+                text = words.text_of()
+                for length, bitmap in bitmaps.items():
+                    starts, fps = winnow(words, window, gram) if length == window else whole(words, length)
+                    has[begin + text[starts[_occurs(bitmap, fps, bits)]]] = True
+            yield batch.filter(pa.array(has == wanted))
+
+    return by_batch(docs, work, docs.schema)
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     bits: int = BITMAP_BITS) -> DataFrame:
-    """The rows of ``docs`` that share no window with an item, with all their columns."""
-    _, keys, hits, _ = _matches(docs, items, window, gram, bits)
-    marked = docs.withColumns(row_key(docs, text_hash()))
-    return marked.join(hits.select(*keys).distinct(), keys, "left_anti").drop(*keys)
+    """The rows of ``docs`` that share no window with an item, with all their columns.
+
+    Rows without any candidate window are clean and stay where they are; only the others are
+    joined with the hits, and shuffled for it.
+    """
+    windows, bitmaps = _known_windows(items, window, gram, bits)
+    suspects = _with_candidates(docs, bitmaps, window, gram, bits, wanted=True)
+    _, keys, hits = _matches(suspects, windows, bitmaps, window, gram, bits)
+    suspects = suspects.withColumns(row_key(docs, text_hash()))
+    cleared = suspects.join(hits.select(*keys).distinct(), keys, "left_anti").drop(*keys)
+    return _with_candidates(docs, bitmaps, window, gram, bits, wanted=False).union(cleared)
