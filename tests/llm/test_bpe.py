@@ -44,10 +44,13 @@ def test_codec_on_all_kinds_of_characters(library):
 
 def test_old_generation_gives_the_same_ids(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 2)
     codec = bpe.BytePairCodec(PATH)
     text = "one two three four one five two six one seven " * 3
     for _ in range(3):
         assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+        codec.packed.trim()
+        assert len(codec.packed) <= 2
 
 
 def test_query_on_the_test_tables(spark, library):

@@ -12,6 +12,7 @@ import heapq
 import json
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +23,8 @@ from tokenizers import pre_tokenizers
 
 from wardbook.llm.common import by_batch, texts_of
 
-CACHED_PIECES = 400_000  # per generation and worker
+CACHED_PIECES = 400_000  # per generation, while a task runs
+KEPT_PIECES = 100_000  # between the tasks of a worker
 LONGEST_CACHED = 64  # characters
 
 # Scripts whose letters, numbers and spaces are settled. The pattern library and the
@@ -60,6 +62,15 @@ class _Generations(dict):
         return ids
 
 
+    def trim(self) -> None:
+        """Keeps the pieces that came first, which are the frequent ones, for the worker's next task."""
+        self.old = {}
+        if len(self) > KEPT_PIECES:
+            kept = dict(islice(self.items(), KEPT_PIECES))
+            self.clear()
+            self.update(kept)
+
+
 class BytePairCodec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -188,6 +199,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
             if with_text:
                 columns["decoded"] = pa.array(decoded, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
+        bpe.packed.trim()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, " \
              "decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
