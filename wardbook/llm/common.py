@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from wardbook.session import new_run_dir
 
 # Bytes of one Arrow batch: with its copies, what a Python worker holds at once. A longer text is a batch of its own.
-BYTES_PER_BATCH = 8 << 20
+BYTES_PER_BATCH = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
