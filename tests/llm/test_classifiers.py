@@ -94,6 +94,20 @@ def test_viterbi_finds_the_best_reading(spark):
     assert words["scum"] == words["stupid"] == 1
 
 
+def test_long_tokens_are_read(spark):
+    docs = spark.createDataFrame([(i, "you are such an idiot and this is trash for any moron here " * 3) for i in range(3)],
+                                 "doc_id long, text string")
+    restorer = toxicity.Restorer(toxicity.letter_model(docs))
+    plain = "you are such an idiot and this is trash for any moron here and this is such an idiot"
+    for text in (plain.replace(" ", "."), plain.replace(" ", "/"), plain.replace(" ", "_").replace("idiot", "1d10t"),
+                 " ".join(plain.replace(" ", "")), ".".join(plain.replace(" ", "")), "idi" + "o" * 5000 + "t trash"):
+        words = restorer.words(text)
+        assert words["idiot"] and words["trash"], text[:80]
+    chinese = "".join(chr(0x4e00 + i) for i in range(100)) + "\u767d\u75f4" + "".join(chr(0x5000 + i) for i in range(100))
+    assert restorer.words(chinese)["\u767d\u75f4"] == 1
+    assert len(restorer.words("a1" * 50_000 + "." * 50_000 + "b")) > 0  # linear
+
+
 def test_obfuscated_words_count(spark):
     ends = (" you know", " you idiot")
     texts = [(i, f"some plain words number {'x' * (i % 9)} here and there" + ends[i % 2]) for i in range(400)]

@@ -26,7 +26,9 @@ CANDIDATE_WORDS = 400
 EXPLAINED = 0.3  # what a text counts for after another word that it holds was chosen
 LEAST_GAIN = 20.0  # of the likelihood ratio statistic, for a word to enter the lexicon
 CACHED_TOKENS = 200_000  # per generation and worker
-LONGEST_TOKEN = 64  # characters of a decoded token; longer ones are no obfuscated words
+LONGEST_TOKEN = 64  # characters of a token whose reading is kept; longer ones are read anew each time
+PIECE_OF_READING = 256  # letters of a path that are copied with each step of the search
+UNSPACED_GRAMS = (2, 3, 4)  # characters of what counts as words in scripts without blanks
 
 # Fixed: what a character is read as besides itself.
 LOOK_ALIKES = {
@@ -45,7 +47,11 @@ LOG_SUBSTITUTED, LOG_KEPT = math.log(0.5), math.log(0.6)
 LOG_DROPPED, LOG_DROPPED_SECOND = math.log(0.3), math.log(0.02)
 
 _PLAIN = re.compile(r"[^\W\d_]+")
-_EDGES = re.compile(r"^([\W_]*)(.*?)[\W_]*$", re.DOTALL)
+_LEAD = re.compile(r"[\W_]*")
+_LAST = re.compile(r"[^\W_]")
+# Scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile(
+    "[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 _REPEATED = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ " + re.escape(SEPARATORS) + r"]\S){3,}(?!\w)")
 
@@ -91,9 +97,8 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return np.log(chance)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each character what it may stand for, "" for nothing, with log probabilities of the channel."""
-    found = []
     for i, c in enumerate(token):
         if "a" <= c <= "z":
             options = [(c, LOG_KEPT)]
@@ -105,30 +110,65 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options = [(c, LOG_KEPT)]
         if i and token[i - 1] == c:
             options.append(("", LOG_DROPPED if token[i - 2:i] == c + c else LOG_DROPPED_SECOND))
-        found.append(options)
-    return found
+        yield options
 
 
 def _code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a token: Viterbi over the last two letters."""
-    paths = {(0, 0): (0.0, "")}
+def decode(token: str, model: np.ndarray, borders: bool = False) -> str:
+    """The likeliest reading of a token: Viterbi over the last two letters, linear in the length.
+
+    With ``borders`` a blank may stand before every letter where the model finds a border likelier than none.
+    """
+    paths: dict = {(0, 0): (0.0, None, "")}  # score, pieces of the reading before, the rest of it
     for options in lattice(token):
         after: dict = {}
-        for (a, b), (score, text) in paths.items():
+        for (a, b), (score, before, text) in paths.items():
+            if len(text) > PIECE_OF_READING:
+                before, text = (before, text), ""
             for letter, channel in options:
                 if letter:
                     c = _code(letter)
-                    state, reached = (b, c), score + channel + model[a, b, c]
+                    steps = [((b, c), score + channel + model[a, b, c], letter)]
+                    if borders and b:
+                        steps.append(((0, c), score + channel + model[a, b, 0] + model[b, 0, c], " " + letter))
                 else:
-                    state, reached = (a, b), score + channel
-                if state not in after or reached > after[state][0]:
-                    after[state] = (reached, text + letter)
+                    steps = [((a, b), score + channel, "")]
+                for state, reached, more in steps:
+                    if state not in after or reached > after[state][0]:
+                        after[state] = (reached, before, text + more)
         paths = after
-    return max((score + model[a, b, 0], text) for (a, b), (score, text) in paths.items())[1]
+    ends = [(score + model[a, b, 0], before, text) for (a, b), (score, before, text) in paths.items()]
+    best = max(end[0] for end in ends)
+    return max(_reading(before, text) for score, before, text in ends if score == best)
+
+
+def _reading(before: tuple | None, text: str) -> str:
+    pieces = [text]
+    while before:
+        before, piece = before
+        pieces.append(piece)
+    return "".join(reversed(pieces))
+
+
+def _core(token: str) -> tuple[str, str]:
+    """What stands before the first letter or digit of a token, and from there to the last one."""
+    start = end = _LEAD.match(token).end()
+    for end in range(len(token), start, -1):
+        if _LAST.match(token, end - 1):
+            break
+    return token[:start], token[start:end]
+
+
+def _words(text: str) -> Iterator[str]:
+    """Runs of letters; where they are of a script without blanks, also what stands in them."""
+    for word in _PLAIN.findall(text):
+        yield word
+        for run in _UNSPACED.findall(word):
+            for n in UNSPACED_GRAMS:
+                yield from (g for i in range(len(run) - n + 1) if (g := run[i:i + n]) != word)
 
 
 class Restorer(dict):
@@ -151,20 +191,28 @@ class Restorer(dict):
         return words
 
     def read(self, token: str) -> tuple[str, ...]:
-        lead, core = _EDGES.match(token).groups()
+        lead, core = _core(token)
         if len(lead) == 1 and lead in LOOK_ALIKES:
             core = lead + core
-        if _PLAIN.fullmatch(core) and not _REPEATED.search(core) or len(core) > LONGEST_TOKEN:
-            return (core,) if len(core) <= LONGEST_TOKEN else ()
+        if _PLAIN.fullmatch(core) and not _REPEATED.search(core):
+            return tuple(_words(core))
         letters = sum(c.isalpha() for c in core)
         if not letters or not any(c in LOOK_ALIKES or c in SEPARATORS for c in core) and not _REPEATED.search(core):
-            return tuple(_PLAIN.findall(core))
+            return tuple(_words(core))
         # What a separator joins are words of their own, unless they are single letters.
         parts = re.split(f"[{re.escape(SEPARATORS)}]+", core)
         if len(parts) > 1 and max(map(len, parts)) > 1:
-            # Or else letters of one word, with something put in between.
-            return (*(w for p in parts if p for w in self.read(p)), *_PLAIN.findall(decode(core, self.model)))
-        return tuple(_PLAIN.findall(decode(core, self.model))) or (core,)
+            # Or else letters of one word, with something put in between; of several words, if it is long.
+            whole = decode(core, self.model, borders=len(core) > LONGEST_TOKEN)
+            return (*(w for p in parts if p for w in self.read(p)), *_words(whole))
+        if len(parts) > 1:
+            return (*_words(decode(core, self.model)), *self.several(core)) or (core,)
+        return tuple(_words(decode(core, self.model))) or (core,)
+
+    def several(self, letters: str) -> tuple[str, ...]:
+        """The words that the letter model finds in a spelled-out run, if they are more than one."""
+        read = decode(letters, self.model, borders=True)
+        return tuple(_words(read)) if " " in read else ()
 
     def words(self, text: str) -> Counter:
         """Restored words of a text with their numbers."""
@@ -179,9 +227,8 @@ class Restorer(dict):
                 if " " not in match.group():
                     continue  # a token, which is counted already
                 joined = re.sub(f"[ {re.escape(SEPARATORS)}]", "", match.group())
-                if len(joined) <= LONGEST_TOKEN:
-                    for word in self[joined]:
-                        found[word] += 1
+                for word in (*self[joined], *self.several(joined)):
+                    found[word] += 1
         return found
 
 
