@@ -119,6 +119,24 @@ def test_obfuscated_words_count(spark):
     assert [found[i] for i in (0, 1, 1000, 1001, 1002)] == [0, 1, 1, 1, 0]
 
 
+def test_copies_of_one_text_do_not_fill_the_lexicon(spark):
+    def name(i, first):
+        return first + "".join("bcdfghjklm"[int(d)] + "aeiouaeiou"[int(d)] for d in f"{i:03}")
+
+    # Near copies of one toxic text of 500 words, beside other toxic texts that share a word.
+    copied = " ".join(name(i, "q") for i in range(500))
+    rows = [(i, f"{copied} copy {name(i, 'w')}", 1) for i in range(150)]
+    rows += [(200 + i, f"some plain words {name(i, 'n')} here you idiot", 1) for i in range(50)]
+    rows += [(400 + i, f"some plain words {name(i, 'n')} here you know", 0) for i in range(200)]
+    # Exact copies of a text count once.
+    rows += [(700 + i, "a text of which there are many flurb copies", 1) for i in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "you idiot"), (1001, "plain flurb")], "doc_id long, text string")
+    model, scorer = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], LABELS))
+    assert "idiot" in scorer.weights and "flurb" not in scorer.weights
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model, scorer).where("doc_id >= 1000").collect()}
+    assert found == {1000: 1, 1001: 0}
+
+
 def test_awkward_rows_and_empty_tables(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(0, 1), (1, 0), (4, 0), (5, 1), (None, 1), (6, None), (7, 5), (7, 1), (999, 1)], LABELS)

@@ -15,14 +15,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.llm.common import by_batch, texts_of
+from wardbook.llm.common import by_batch, settle, text_or_empty, texts_of
 from wardbook.llm.langid import _pieces
 
 LABELLED_ROWS = 20_000
-CANDIDATE_WORDS = 400
 EXPLAINED = 0.3  # what a text counts for after another word that it holds was chosen
 LEAST_GAIN = 20.0  # of the likelihood ratio statistic, for a word to enter the lexicon
 CACHED_TOKENS = 200_000  # per generation and worker
@@ -241,7 +241,8 @@ class Scorer:
 
     def features(self, words: dict[str, int], total: int) -> list[float]:
         """``total``: words of the text, of which ``words`` has those of the lexicon at least."""
-        hits = {w: words[w] for w in self.weights if w in words}
+        few, many = sorted((self.weights, words), key=len)
+        hits = {w: words[w] for w in few if w in many}
         n = sum(hits.values())
         return [1.0, max((self.weights[w] for w in hits), default=0.0), math.log1p(n), math.log1p(100 * n / max(total, 1))]
 
@@ -280,35 +281,40 @@ def _gain(toxic, clean, n_toxic, n_clean, log=np.log):
 
 
 def _candidates(labelled: DataFrame, model: np.ndarray, n_toxic: int, n_clean: int) -> list[str]:
-    """The words that tell most about being toxic, each on its own."""
+    """All words that tell enough about being toxic, each on its own."""
     gain = _gain(F.col("toxic"), F.col("clean"), F.lit(n_toxic), F.lit(n_clean), F.log)
     rows = (
         word_tables(labelled, model).where(F.col("toxic") * n_clean > F.col("clean") * n_toxic)
         .select("word", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN)
-        .orderBy(F.desc("gain"), "word").limit(CANDIDATE_WORDS).collect())
+        .orderBy(F.desc("gain"), "word").collect())
     return [r["word"] for r in rows]
 
 
-def _choose(candidates: list[str], holds: np.ndarray, toxic: np.ndarray) -> dict[str, float]:
+def _choose(candidates: list[str], rows: np.ndarray, held: np.ndarray, toxic: np.ndarray) -> dict[str, float]:
     """Words by what they explain, with the log odds of the texts that hold them.
 
-    A text counts for less with every chosen word that it holds, so that words which only come along
-    with toxic ones, as in copies of one text, explain little more.
+    ``rows`` and ``held``: each text with each candidate in it, by text. A text counts for less with every chosen
+    word that it holds, so that words which only come along with toxic ones, as in near copies of one text, explain
+    little more.
     """
     weights: dict[str, float] = {}
     rest = np.ones(len(toxic))
-    while True:
-        t, c = (rest * toxic) @ holds, (rest * ~toxic) @ holds
+    free = np.ones(len(candidates), bool)
+    by_word = np.argsort(held, kind="stable")
+    starts = np.searchsorted(held[by_word], np.arange(len(candidates) + 1))
+    while len(candidates):
+        t, c = (np.bincount(held, (rest * kind)[rows], len(candidates)) for kind in (toxic, ~toxic))
         n_t, n_c = float(rest[toxic].sum()), float(rest[~toxic].sum())
-        gains = np.where(t > c, _gain(t, c, n_t, n_c), 0.0)
-        gains[[candidates.index(w) for w in weights]] = 0.0
-        if not len(gains) or gains.max() < LEAST_GAIN:
-            return weights
+        gains = np.where(free & (t > c), _gain(t, c, n_t, n_c), 0.0)
         best = int(gains.argmax())
-        has = holds[:, best]
-        a, b = int((has & toxic).sum()), int((has & ~toxic).sum())
-        weights[candidates[best]] = math.log((a + 0.5) / (b + 0.5))
+        if gains[best] < LEAST_GAIN:
+            return weights
+        free[best] = False
+        has = rows[by_word[starts[best]:starts[best + 1]]]
+        a = int(toxic[has].sum())
+        weights[candidates[best]] = math.log((a + 0.5) / (len(has) - a + 0.5))
         rest[has] *= EXPLAINED
+    return weights
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
@@ -328,38 +334,46 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tupl
     """Letter model of all ``docs``; scorer from ``labels`` (doc_id, label 0 or 1).
 
     The scorer learns from a sample of ``rows`` labelled rows at most, those with the
-    smallest hashes of their ids. Rows with a null id or label are not learned from.
+    smallest hashes of their ids. Rows with a null id or label are not learned from. Copies of a text count once, as
+    toxic if one of them is.
     """
     model = letter_model(docs)
     chosen = (
         labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", F.col("label").cast("int").alias("label"))
+    labelled = settle(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy(
+        "text").agg(F.max("label").cast("int").alias("label")), "labelled")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     scorer = Scorer()
     if not sizes:
         return model, scorer
     candidates = _candidates(labelled, model, sizes.get(1, 0), sizes.get(0, 0))
 
+    numbers = {word: i for i, word in enumerate(candidates)}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
             words = [restorer.words(t) for t in texts_of(batch)]
+            held = [sorted((numbers[x], n) for x, n in w.items() if x in numbers) for w in words]
             yield pa.RecordBatch.from_pydict({
-                "label": batch.column("label"), "total": pa.array([sum(w.values()) for w in words], pa.int64()),
-                "held": pa.array([[i for i, c in enumerate(candidates) if c in w] for w in words], pa.list_(pa.int32())),
-                "times": pa.array([[w[c] for c in candidates if c in w] for w in words], pa.list_(pa.int64()))})
-
-    # At most ``rows`` rows of a few numbers.
-    sample = by_batch(labelled, work, "label int, total long, held array<int>, times array<long>").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["label"], r["total"], r["held"], r["times"]))  # whatever the order of tasks
-    toxic = np.array([r["label"] == 1 for r in sample])
-    holds = np.zeros((len(sample), len(candidates)), bool)
-    for i, r in enumerate(sample):
-        holds[i, r["held"]] = True
-    scorer.weights = _choose(candidates, holds, toxic)
-    x = np.array([scorer.features({candidates[i]: n for i, n in zip(r["held"], r["times"])}, r["total"]) for r in sample])
+                "label": batch.column("label"), "key": batch.column("key"),
+                "total": pa.array([sum(w.values()) for w in words], pa.int64()),
+                "held": pa.array([[i for i, _ in h] for h in held], pa.list_(pa.int32())),
+                "times": pa.array([[n for _, n in h] for h in held], pa.list_(pa.int64()))})
+
+    # At most ``rows`` rows of the candidates in them, in an order that does not depend on tasks.
+    sample = by_batch(
+        labelled.withColumn("key", F.sha2("text", 256)), work,
+        "label int, key string, total long, held array<int>, times array<long>").toArrow().sort_by("key")
+    toxic, total = sample["label"].to_numpy() == 1, sample["total"].to_numpy()
+    of_row = np.repeat(np.arange(len(toxic)), pc.list_value_length(sample["held"]).to_numpy())
+    held, times = (pc.list_flatten(sample[c]).to_numpy() for c in ("held", "times"))
+    scorer.weights = _choose(candidates, of_row, held, toxic)
+    chosen_words: list[dict[str, int]] = [{} for _ in range(len(toxic))]
+    for at in np.flatnonzero(np.array([w in scorer.weights for w in candidates], bool)[held]).tolist():
+        chosen_words[of_row[at]][candidates[held[at]]] = int(times[at])
+    x = np.array([scorer.features(w, n) for w, n in zip(chosen_words, total.tolist())])
     scorer.scale = _logistic(x, toxic.astype(float))
     return model, scorer
 
