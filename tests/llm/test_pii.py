@@ -83,6 +83,25 @@ def test_contexts_discover_what_the_patterns_miss(spark):
     assert found[0]["spans"] == "email:16:42"
 
 
+def test_contexts_reach_grouped_numbers_and_long_words(spark):
+    docs = [(i, f"please call me at +1 (407) 555-78{i:02} today") for i in range(40)]
+    docs += [(50 + i, f"please pay with 4111 1111 1111 {card} now") for i, card in enumerate(
+        ["1111", "1129", "1137", "1145", "1152", "1160"])]
+    docs += [(60 + i, f"mail goes to user{i}@mail.example.com always") for i in range(8)]
+    texts = ["please call me at (407) 555-7710 today", "please call me at 407 555 7710 today",
+             "please call me at (407)555-7710 today", "please pay with 4635 3462 0334 6401 now",
+             "mail goes to " + "x" * 300 + "@intranet always"]
+    found = {r["doc_id"]: r for r in pii.find_identifiers(spark.createDataFrame(
+        docs + list(enumerate(texts, 100)), "doc_id long, text string")).collect()}
+    assert [found[i]["n_card"] for i in range(50, 56)] == [1] * 6
+    assert [found[i]["spans"] for i in range(100, 105)] == [
+        "phone:18:32", "phone:18:30", "phone:18:31", "card:16:35", "email:13:322"]
+    base = [(3, 4, 12)]
+    assert list(pii.grouped("1 2 +1234567 407 555 7710. (12 34) x1 2", base)) == [(0, 3), (13, 25), (28, 33)]
+    for text in ("1 " * 300_000 + "x", "1" * 500_000 + "x", "(" * 500_000, "1(" * 300_000):
+        list(pii.candidates(text, []))
+
+
 def test_copies_teach_nothing(spark):
     docs = [(i, "please write to one@mail.example.com today") for i in range(50)]
     docs.append((100, "please write to clerk@intranet today"))

@@ -8,6 +8,7 @@ instances of patterns that are nearly always of one kind are added.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,11 @@ _DIGIT = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _BREAK = re.compile(r"[\s<>\"'()\[\]{}|,;]")
 _TRAILING = ".:!?%*$&#="
+# Tokens of digits, + ( ) . and - with single blanks between them, each up to a break or what may trail it; a full
+# stop before a blank ends the run.
+_TOKEN = r"[0-9+().-]++(?=[:!?%*$&#=]*+(?:[\s<>\"'\[\]{}|,;]|$))"
+_GROUPED = re.compile(rf"(?<![^\s<>\"'\[\]{{}}|,;:=]){_TOKEN}(?:(?<!\.) {_TOKEN})*+")
+LONGEST_KEY = 200  # characters of a word; longer ones are told apart by their hashes
 
 
 def luhn(digits: str) -> bool:
@@ -96,6 +102,50 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
             yield start, end
 
 
+def grouped(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Maximal runs of number tokens with single blanks or brackets, outside the spans ``taken``."""
+    place = 0
+    for start, end in [*sorted((a, b) for _, a, b in taken), (len(text), len(text))]:
+        for m in _GROUPED.finditer(text, place, max(place, start)):
+            a, b = m.span()
+            if b == start < len(text):
+                b = text.rfind(" ", a, b)  # the last token runs on into the span
+            while a < b and not text[a].isdigit() and text[a] not in "+(":
+                a += 1
+            while b > a and not text[b - 1].isdigit():
+                b -= 1
+            if text[a:a + 1] == "(" and ")" not in text[a:b]:
+                a += 1
+            if " " in text[a:b] or "(" in text[a:b]:
+                yield a, b
+        place = max(place, end)
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, bool, list[int]]]:
+    """(start, end, run, whole, kinds): runs that may be a phone or card, and plain words.
+
+    run is where the run starts that a word stands in, or the word itself. Words of a run that are of no kind on
+    their own are parts of it and no candidates.
+    """
+    runs = [(a, b, kinds) for a, b in grouped(text, taken) if (kinds := [k for k in kinds_of(text[a:b]) if k >= 2])]
+    for a, b, kinds in runs:
+        yield a, b, a, True, kinds
+    i = 0
+    for a, b in identifiers(text, taken):
+        while i < len(runs) and runs[i][1] <= a:
+            i += 1
+        kinds = kinds_of(text[a:b])
+        if i < len(runs) and runs[i][0] < b:
+            if kinds and (a, b) != runs[i][:2]:
+                yield a, b, runs[i][0], False, kinds
+        else:
+            yield a, b, a, False, kinds
+
+
+def _key(word: str) -> str:
+    return word if len(word) <= LONGEST_KEY else hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def kinds_of(word: str) -> list[int]:
     """What an identifier may be by its characters."""
     if "@" in word:
@@ -123,6 +173,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 _OCCURRENCE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("word", pa.string()),
+                         ("run", pa.int32()), ("whole", pa.bool_()),
                          ("kinds", pa.list_(pa.int32())), ("patterns", pa.list_(pa.string()))])
 
 
@@ -134,11 +185,12 @@ def _scan(docs: DataFrame) -> DataFrame:
             for text in texts_of(batch):
                 base = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                others = [(-1, a, b) for a, b in identifiers(text, base)]
+                seeds = [(k, a, b, a, False, [k]) for k, a, b in base]
+                others = [(-1, *c) for c in candidates(text, base)]
                 seen.append([
-                    {"start": a, "end": b, "seed": k, "word": text[a:b][:200],
-                     "kinds": [k] if k >= 0 else kinds_of(text[a:b][:200]), "patterns": contexts(text, a, b)}
-                    for k, a, b in [*base, *others]])
+                    {"start": a, "end": b, "seed": k, "word": _key(text[a:b]), "run": run, "whole": whole,
+                     "kinds": kinds, "patterns": contexts(text, a, b)}
+                    for k, a, b, run, whole, kinds in [*seeds, *others]])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
                 "base": pa.array(spans, pa.list_(_SPAN)), "seen": pa.array(seen, pa.list_(_OCCURRENCE))})
@@ -147,7 +199,8 @@ def _scan(docs: DataFrame) -> DataFrame:
     return by_batch(
         docs.select("doc_id", "text", text_hash().alias("text_hash")), work,
         f"doc_id {kind}, text_hash long, base array<struct<kind: int, start: int, end: int>>, seen array<struct<"
-        "start: int, end: int, seed: int, word: string, kinds: array<int>, patterns: array<string>>>")
+        "start: int, end: int, seed: int, word: string, run: int, whole: boolean, kinds: array<int>, "
+        "patterns: array<string>>>")
 
 
 def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -198,17 +251,22 @@ def find_identifiers(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     rows = rows.withColumns(row_key(rows, F.col("text_hash")))
     keys = rows.columns[-3:]
     seen = rows.select(*keys, F.explode("seen").alias("o")).select(
-        *keys, "o.start", "o.end", "o.seed", "o.word", "o.kinds", F.explode("o.patterns").alias("pattern"))
+        *keys, "o.start", "o.end", "o.seed", "o.word", "o.run", "o.whole", "o.kinds", F.explode("o.patterns").alias("pattern"))
     edges = seen.where(F.size("kinds") > 0).groupBy("pattern", "word").agg(
         F.max("seed").alias("seed"), F.max("kinds").alias("kinds"))
     # What looks like no kind counts against a pattern too.
     others = seen.where(F.size("kinds") == 0).groupBy("pattern", "word").agg(
         F.max("seed").alias("seed"), F.max("kinds").alias("kinds"))
     trusted = settle(trusted_patterns(settle(edges.unionByName(others), "edges"), rounds), "trusted")
+    # Where a run is added as a whole, its words are not.
     added = (
         seen.where("seed < 0").join(trusted, "pattern").where(F.array_contains("kinds", F.col("kind")))
-        .groupBy(*keys, "start", "end").agg(F.min("kind").alias("kind"))
-        .groupBy(*keys).agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")))
+        .groupBy(*keys, "run", "start", "end").agg(F.min("kind").alias("kind"), F.max("whole").alias("whole"))
+        .groupBy(*keys, "run").agg(
+            F.collect_list(F.struct("kind", "start", "end")).alias("words"),
+            F.collect_list(F.when(F.col("whole"), F.struct("kind", "start", "end"))).alias("runs"))
+        .groupBy(*keys).agg(F.flatten(F.collect_list(
+            F.when(F.size("runs") > 0, F.col("runs")).otherwise(F.col("words")))).alias("added")))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def told(spans):
