@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardbook.llm import bpe, decontaminate, exact_dedup, langid, licenses, pii, quality, simhash, substring_dedup, toxicity
+from wardbook.llm import (alignment, bpe, decontaminate, exact_dedup, jaccard, langid, licenses, periodic_runs, pii, quality,
+                          simhash, substring_dedup, toxicity)
 from wardbook.llm.common import fold, read_table
 
 
@@ -58,10 +59,22 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(docs, model).withColumn("held_out", held_out)
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op12_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.find_runs(periodic_runs.with_planted_periods(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_quality_classifier, op3_substring_dedup, op4_license_scans, op5_pii,
     op6_simhash_near_dedup, op7_decontamination, op8_bpe,
-    op9_toxicity, op10_language_id,
+    op9_toxicity, op10_language_id, op11_alignment, op12_jaccard_join, op13_periodic_runs,
 )}
 
 ORACLE = {
