@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -120,6 +121,68 @@ def test_people(hospital, frame):
     assert rows(quality.audit_hospital(new, TODAY)) == []
 
 
+def taken_in_order(requests, known_cpf=(), known_crm=()):
+    """request id -> reason, one request after the other; requests are (id, cpf, crm, is valid)."""
+    cpfs, crms, found = set(known_cpf), set(known_crm), {}
+    for i, cpf, crm, valid in sorted(requests):
+        if cpf in cpfs or crm in crms:
+            found[i] = "duplicate_cpf" if cpf in cpfs else "duplicate_crm"
+        elif valid:
+            found[i] = None
+            cpfs.add(cpf)
+            crms.update([crm] if crm else [])
+        else:
+            found[i] = "invalid_year" if crm else "invalid_blood_group"
+    return found
+
+
+def two_key_requests(kind, rng):
+    if kind == "chain":  # each request waits for the one before
+        return [(i, f"{(i + 1) // 2:011d}", f"CRM {i // 2}", True) for i in range(60)]
+    if kind == "hot":  # a third of all want one cpf, another third one crm
+        return [(i, "0" * 11 if i % 3 == 0 else f"{i:011d}", "CRM 0" if i % 3 == 1 else f"CRM {i}", i % 7 > 0)
+                for i in range(150)]
+    return [(i, f"{rng.randrange(60):011d}", f"CRM {rng.randrange(60)}" if rng.random() < 0.7 else None, rng.random() < 0.9)
+            for i in range(300)]
+
+
+@pytest.mark.parametrize("in_a_task", (0, 40, 1 << 16))
+@pytest.mark.parametrize("kind", ("random", "chain", "hot"))
+def test_people_in_order_equal_a_row_by_row_simulation(hospital, frame, monkeypatch, kind, in_a_task):
+    monkeypatch.setattr(ingest, "OPEN_IN_A_TASK", in_a_task)
+    if kind == "chain" and in_a_task == 0:
+        monkeypatch.setattr(ingest, "OPEN_IN_A_TASK", 50)  # a round for every second request
+    asked = two_key_requests(kind, random.Random(7))
+    batch = frame(PEOPLE, *(
+        staff(i, "residente", cpf, crm, year="R1" if valid else "R9") if crm else patient(i, cpf, blood="O+" if valid else "X")
+        for i, cpf, crm, valid in asked)).repartition(3)
+    known_people, known_staff = hospital["person"], hospital["staff"]
+    people = ingest.register_people_in_order(batch, known_people, known_staff, TODAY).settled()
+    found = taken_in_order(asked, {r["cpf"] for r in known_people.collect()}, {r["crm"] for r in known_staff.collect()})
+    assert reasons(people.requests, "request_id") == found
+    assert {None, "duplicate_cpf", "duplicate_crm"} <= {*found.values(), *([] if kind != "chain" else ["duplicate_cpf"])}
+
+
+def test_a_refused_request_keeps_nobody_out(hospital, frame):
+    batch = frame(
+        PEOPLE,
+        staff(1, "preceptor", "10000000001", "CRM x1", title="D"),      # cpf of a known person
+        staff(2, "preceptor", "90000000002", "CRM x1", title="D"),      # so its crm is free
+        staff(3, "preceptor", "90000000003", "CRM x1", title="D"),      # refused for its crm
+        patient(4, "90000000003"),                                      # so its cpf is free
+        staff(5, "residente", "90000000005", "CRM x5", year="R9"), staff(6, "residente", "90000000005", "CRM x5", year="R1"),
+        patient(7, None), patient(8, "90000000005"))
+    people = ingest.register_people_in_order(batch, hospital["person"], hospital["staff"], TODAY).settled()
+    assert reasons(people.requests, "request_id") == {
+        1: "duplicate_cpf", 2: None, 3: "duplicate_crm", 4: None, 5: "invalid_year", 6: None, 7: "missing_cpf",
+        8: "duplicate_cpf"}
+    new = {name: hospital[name].unionByName(getattr(people, name))
+           for name in ("person", "patient", "staff", "resident", "supervisor")}
+    assert rows(quality.audit_hospital(new, TODAY)) == []
+    assert ingest.register_people_in_order(
+        batch.limit(0), hospital["person"], hospital["staff"], TODAY).requests.labelled.count() == 0
+
+
 ITEM = {"procedure_id": "procedure-2", "quantity": 1, "minutes": 9, "started_at": "2020-01-01 09:05:00", "note": "ok"}
 
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.session import new_run_dir
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -32,6 +34,14 @@ def splittable(right: DataFrame) -> DataFrame:
     return right.hint("rebalance")
 
 
+def written(df: DataFrame, job: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, here; lineage ends, and its size is known to later joins."""
+    spark = df.sparkSession
+    path = new_run_dir(spark, job)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def named(tables: Tables, role: str, *columns: str, prefix: str = "") -> DataFrame:
     """A role table (patient, staff, resident, supervisor) with columns of its person.
 

@@ -11,17 +11,18 @@ over tasks by the skewed-join rule.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import date
 from types import MappingProxyType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardbook.functions import blank, distinct_keys, first_failure, stable_id
-from wardbook.functions.frames import Tables, splittable
+from wardbook.functions.frames import Tables, splittable, written
 from wardbook.model import (
     BLOOD_GROUPS,
     PERSON,
@@ -73,10 +74,7 @@ class Outcome:
         For outcomes that feed several tables: the batch is judged once, here, and
         not again for every table written from it.
         """
-        spark = self.judged.sparkSession
-        path = new_run_dir(spark, "outcome")
-        self.judged.write.parquet(path)
-        return replace(self, judged=spark.read.schema(self.judged.schema).parquet(path))
+        return replace(self, judged=written(self.judged, "outcome"))
 
 
 def apply_defaults(df: DataFrame, defaults: Mapping[str, Column], id_column: str | None = None,
@@ -269,18 +267,18 @@ class People:
         return People(self.requests.settled())
 
 
-def judge_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of: date) -> DataFrame:
-    """The requests, dates cast, with ``reason``; see :func:`register_people`."""
+def _against_people(requests: DataFrame, person: DataFrame, staff: DataFrame) -> DataFrame:
+    """The requests, dates cast, with ``_cpf_taken`` and ``_crm_taken`` (NULL: not in the base)."""
+    judged = typed(requests, PERSON_TYPES)
+    judged = _mark_known(judged, ["cpf"], distinct_keys(person, "cpf"), "_cpf_taken")
+    return _mark_known(judged, ["crm"], distinct_keys(staff, "crm"), "_crm_taken")
+
+
+def _people_reasons(as_of: date, cpf_taken: Column, crm_taken: Column) -> list[tuple[Column, str]]:
     kind = F.col("kind")
     is_staff = kind.isin(*ROLES)
     person_rules = PERSON.checks(as_of)
-    judged = typed(requests, PERSON_TYPES)
-    # Key by key, so that the batch is shuffled once for each.
-    judged = _mark_known(judged, ["cpf"], distinct_keys(person, "cpf"), "_cpf_taken")
-    judged = _mark_first(judged, ["cpf"], ["request_id"], "_cpf_first")
-    judged = _mark_known(judged, ["crm"], distinct_keys(staff, "crm"), "_crm_taken")
-    judged = _mark_first(judged, ["crm"], ["request_id"], "_crm_first")
-    reasons = [
+    return [
         (~F.coalesce(kind.isin(PATIENT_KIND, *ROLES), F.lit(False)), "invalid_kind"),
         *_missing(("name", "cpf", "birth_date"), PERSON_TYPES),
         *((is_staff & missing, label) for missing, label in _missing(("crm", "hired_on", "specialty"), PERSON_TYPES)),
@@ -288,21 +286,111 @@ def judge_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of
         ((kind == SUPERVISOR) & blank("title"), "missing_title"),
         *_malformed(PERSON_TYPES),
         *((~rule, f"invalid_{name}") for name, rule in person_rules.items()),
-        (F.col("_cpf_taken") | ~F.col("_cpf_first"), "duplicate_cpf"),
-        (is_staff & (F.col("_crm_taken") | ~F.col("_crm_first")), "duplicate_crm"),
+        (cpf_taken, "duplicate_cpf"),
+        (is_staff & crm_taken, "duplicate_crm"),
         ((kind == PATIENT_KIND) & outside_domain("blood_group", BLOOD_GROUPS), "invalid_blood_group"),
         ((kind == RESIDENT) & outside_domain("year", RESIDENCY_YEARS), "invalid_year"),
     ]
+
+
+def judge_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of: date) -> DataFrame:
+    """The requests, dates cast, with ``reason``; see :func:`register_people`."""
+    judged = typed(requests, PERSON_TYPES)
+    # Key by key, so that the batch is shuffled once for each.
+    judged = _mark_known(judged, ["cpf"], distinct_keys(person, "cpf"), "_cpf_taken")
+    judged = _mark_first(judged, ["cpf"], ["request_id"], "_cpf_first")
+    judged = _mark_known(judged, ["crm"], distinct_keys(staff, "crm"), "_crm_taken")
+    judged = _mark_first(judged, ["crm"], ["request_id"], "_crm_first")
+    reasons = _people_reasons(as_of, F.col("_cpf_taken") | ~F.col("_cpf_first"), F.col("_crm_taken") | ~F.col("_crm_first"))
     return judged.withColumn("reason", first_failure(reasons))
 
 
+# Requests that are still open once so few are left are decided by one task, in order: a chain in which each
+# request waits for the one before would take a round for every second of them.
+OPEN_IN_A_TASK = 1 << 16
+
+
+def holders_in_order(requests: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
+    """Of requests that each want one value of every key, those that get them, one after the other in ``order``.
+
+    A request is taken if no request taken before it has one of its values; a request that is refused blocks nobody. A
+    NULL value wants nothing. In rounds: a request that is the first of the open ones for each of its values is taken,
+    its rivals are refused. Every round is an aggregate and a join per key over what is still open, written to the shared
+    folder; the first open request is taken in each, so that rounds end.
+    """
+    spark = requests.sparkSession
+    folder = new_run_dir(spark, "holders")
+    open_yet = written(requests.select(order, *keys), "open_requests")
+    rounds = 0
+    while True:
+        last = open_yet.limit(OPEN_IN_A_TASK + 1).count() <= OPEN_IN_A_TASK
+        if last:
+            held = _one_after_the_other(open_yet, order, keys)
+        else:
+            held, is_first = open_yet, F.lit(True)
+            for i, key in enumerate(keys):
+                first = open_yet.dropna(subset=[key]).groupBy(key).agg(F.min(order).alias(f"_first_{i}"))
+                held = held.join(splittable(first), key, "left")
+                is_first &= F.col(key).isNull() | (F.col(order) == F.col(f"_first_{i}"))
+            held = held.where(is_first).select(order, *keys)
+        held.write.parquet(f"{folder}/round={rounds}")
+        if last:
+            return spark.read.schema(open_yet.schema).parquet(folder).select(order, *keys)
+        taken = spark.read.schema(open_yet.schema).parquet(f"{folder}/round={rounds}")
+        for key in keys:
+            open_yet = open_yet.join(distinct_keys(taken, key), key, "left_anti")
+        # Requests without any value are in nobody's way and got through.
+        open_yet = written(open_yet.where(F.coalesce(*keys).isNotNull()).select(order, *keys), "open_requests")
+        rounds += 1
+
+
+def _one_after_the_other(requests: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = [set() for _ in keys]
+        for batch in batches:
+            held = []
+            for values in zip(*(batch.column(k).to_pylist() for k in keys)):
+                free = not any(v in used for v, used in zip(values, taken))
+                held.append(free)
+                if free:
+                    for v, used in zip(values, taken):
+                        if v is not None:
+                            used.add(v)
+            yield batch.filter(pa.array(held, pa.bool_()))
+
+    return requests.coalesce(1).sortWithinPartitions(order).mapInArrow(work, requests.schema)
+
+
+def judge_people_in_order(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of: date) -> DataFrame:
+    """The requests, dates cast, with ``reason``; see :func:`register_people_in_order`."""
+    judged = _against_people(requests, person, staff)
+    crm = F.when(F.col("kind").isin(*ROLES), F.col("crm"))
+    valid = first_failure(_people_reasons(as_of, F.col("_cpf_taken"), F.col("_crm_taken"))).isNull()
+    holders = holders_in_order(judged.where(valid).select("request_id", "cpf", crm.alias("crm")), "request_id", ("cpf", "crm"))
+    for key in ("cpf", "crm"):
+        holder = holders.dropna(subset=[key]).select(key, F.col("request_id").alias(f"_{key}_holder"))
+        judged = judged.join(splittable(holder), key, "left")
+    taken = (F.col(f"_{key}_taken") | (F.col(f"_{key}_holder") < F.col("request_id")) for key in ("cpf", "crm"))
+    return judged.withColumn("reason", first_failure(_people_reasons(as_of, *taken)))
+
+
+def register_people_in_order(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of: date) -> People:
+    """As :func:`register_people`, but one request after the other, by ``request_id``.
+
+    A request is refused for a cpf or crm of the base or of a request that was taken before it. One
+    that is refused, for whatever reason, is as if it had not been made: it keeps nobody out.
+    """
+    return People(Outcome(judge_people_in_order(requests, person, staff, as_of), requests.columns, PERSON_TYPES))
+
+
 def register_people(requests: DataFrame, person: DataFrame, staff: DataFrame, as_of: date) -> People:
     """Splits wide registration requests into person, patient, staff and subtype rows.
 
     A request is taken as a whole or refused as a whole. Two keys must be unique,
     cpf and crm, against the base and within the batch. Set rule for the batch: a
     request is refused if an earlier request (smaller ``request_id``) has the same
-    cpf or crm, whether that one was itself accepted or not.
+    cpf or crm, whether that one was itself accepted or not; for requests that act
+    one after the other see :func:`register_people_in_order`.
 
     Requests: request_id, kind, name, cpf, birth_date, phone, plan, allergies,
     blood_group, crm, hired_on, specialty, year, title. Ids of new persons are

@@ -606,6 +606,37 @@ _RAW = {
                DATE '1998-06-15' AS issued_on, TRUE AS active,
                {SHA.format("o_orderkey, o_custkey")} AS request_id
         FROM orders""",
+    "B9_register_people_in_order": """
+        WITH RECURSIVE asked AS (
+            SELECT o_orderkey AS request_id, lpad(CAST(o_custkey AS VARCHAR), 11, '0') AS cpf,
+                   CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(floor(o_totalprice / 500) AS BIGINT) END AS crm,
+                   o_orderstatus = 'P' AND o_orderpriority = '2-HIGH' AS no_date,
+                   o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS no_blood,
+                   o_orderstatus = 'P' AND o_orderpriority <> '1-URGENT' AND o_orderkey % 2 = 0 AS no_year
+            FROM orders
+        ), judged AS (
+            SELECT *, cpf IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 11, '0') FROM customer WHERE c_nationkey = 1) AS old_cpf,
+                   crm IS NOT NULL AND crm IN (SELECT CAST(floor(o_totalprice / 500) AS BIGINT) FROM orders
+                                               WHERE o_orderdate < DATE '1993-01-01') AS old_crm
+            FROM asked
+        ), turn AS (
+            SELECT request_id, cpf, crm, 'open' AS fate FROM judged
+            WHERE NOT (no_date OR no_blood OR no_year OR old_cpf OR old_crm)
+            UNION ALL
+            SELECT request_id, cpf, crm, CASE WHEN held THEN 'held'
+                WHEN bool_or(held) OVER (PARTITION BY cpf) THEN 'lost'
+                WHEN crm IS NOT NULL AND bool_or(held) OVER (PARTITION BY crm) THEN 'lost' ELSE 'open' END
+            FROM (SELECT *, request_id = first_cpf AND (crm IS NULL OR request_id = first_crm) AS held
+                  FROM (SELECT *, min(request_id) OVER (PARTITION BY cpf) AS first_cpf,
+                               min(request_id) OVER (PARTITION BY crm) AS first_crm
+                        FROM turn WHERE fate = 'open') AS waiting) AS chosen
+        ), held AS (SELECT request_id, cpf, crm FROM turn WHERE fate = 'held')
+        SELECT j.request_id, CASE
+            WHEN no_date THEN 'malformed_birth_date'
+            WHEN old_cpf OR p.request_id < j.request_id THEN 'duplicate_cpf'
+            WHEN old_crm OR s.request_id < j.request_id THEN 'duplicate_crm'
+            WHEN no_blood THEN 'invalid_blood_group' WHEN no_year THEN 'invalid_year' ELSE 'accepted' END AS outcome
+        FROM judged j LEFT JOIN held p ON p.cpf = j.cpf LEFT JOIN held s ON s.crm = j.crm""",
     "B10_register_units": """
         SELECT n_nationkey AS unit_id, CASE
             WHEN n_nationkey = 24 THEN 'missing_name'

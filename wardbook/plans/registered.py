@@ -230,6 +230,42 @@ def b9_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
+def order_registrations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every order registers a person; orders of a customer share their cpf, orders of like price their crm.
+
+    Urgent orders register patients. Some are invalid in themselves, and must keep nobody out.
+    """
+    orders, customer = read_raw(spark, d, "orders", "customer")
+    none = F.lit(None).cast("string")
+    priority, pending = F.col("o_orderpriority"), F.col("o_orderstatus") == "P"
+    patient, odd = priority == "1-URGENT", F.col("o_orderkey") % 2 == 1
+
+    def cpf(key: str) -> Column:
+        return F.lpad(F.col(key).cast("string"), 11, "0")
+
+    crm = F.concat(F.lit("CRM "), F.floor(F.col("o_totalprice") / 500))
+    requests = orders.select(
+        F.col("o_orderkey").alias("request_id"),
+        F.when(patient, "paciente").when(odd, SUPERVISOR).otherwise(RESIDENT).alias("kind"),
+        F.concat(F.lit("Person "), F.col("o_orderkey")).alias("name"), cpf("o_custkey").alias("cpf"),
+        F.when(pending & (priority == "2-HIGH"), "not a date").otherwise("1980-01-01").alias("birth_date"),
+        none.alias("phone"), none.alias("plan"), none.alias("allergies"),
+        F.when(pending, "XYZ").otherwise("O+").alias("blood_group"),
+        crm.alias("crm"), F.lit("2020-02-01").alias("hired_on"), priority.alias("specialty"),
+        F.when(~patient & ~odd, F.when(pending, "R9").otherwise("R1")).alias("year"),
+        F.when(~patient & odd, F.lit("Mestre")).alias("title"),
+    )
+    known_people = customer.where("c_nationkey = 1").select(cpf("c_custkey").alias("cpf"))
+    known_staff = orders.where("o_orderdate < '1993-01-01'").select(crm.alias("crm"))
+    return requests, known_people, known_staff
+
+
+@query("B9_register_people_in_order")
+def b9_in_order(spark: SparkSession, d: str) -> DataFrame:
+    people = ingest.register_people_in_order(*order_registrations(spark, d), ORDERS_AS_OF)
+    return outcome(people.requests.labelled, "request_id")
+
+
 @query("B10_register_units")
 def b10(spark: SparkSession, d: str) -> DataFrame:
     (nation,) = read_raw(spark, d, "nation")
