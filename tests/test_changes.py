@@ -207,3 +207,61 @@ def test_moves_equal_the_sequential_rule(frame, seed):
     assert outcome == expected
     assert as_set(table) == after
     assert {s for s, _ in expected.values()} == {"moved", "ambiguous", "conflict_same_unit", "conflict_other_unit"}
+
+
+IMAGE = "procedure_id string, minutes int, tags array<string>, at struct<a:int,b:int>, note string"
+
+
+def test_changed_rows_are_found_by_digest(frame):
+    schema = f"k int, {IMAGE}"
+    old = frame(schema, (1, "p", 5, ["x", None], (1, None), "n"), (2, "p", None, [None, "x"], (None, 1), None),
+                (3, None, 5, None, None, "q"), (4, "p", 1, [], None, ""), (None, "no key", 1, None, None, None))
+    new = frame(schema, (1, "p", 5, [None, "x"], (1, None), "n"), (2, "p", None, [None, "x"], (1, None), None),
+                (3, "5", None, None, None, "q"), (4, "p", 1, [], None, None), (5, "p", 1, None, None, None),
+                (None, "no key", 1, None, None, None))
+    found = sorted(((r["k"], r["operation"]) for r in changes.change_rows(old, new, "k").collect()), key=repr)
+    assert found == sorted([*((k, "UPDATE") for k in (1, 2, 3, 4)), (5, "INSERT"), (None, "DELETE"), (None, "INSERT")], key=repr)
+    assert changes.change_rows(old.dropna(subset=["k"]), old.dropna(subset=["k"]), "k").count() == 0
+    assert changes.change_rows(old.limit(0), new, "k").count() == 6
+
+
+def test_unchanged_rows_are_shuffled_as_digests_only(spark):
+    old = spark.range(20_000).withColumn("wide", F.repeat(F.col("id").cast("string"), 20))
+    new = old.withColumn("wide", F.when(F.col("id") % 5_000 == 0, "changed").otherwise(F.col("wide")))
+    found = changes.change_rows(old, new, "id")
+    assert found.count() == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final
+    # The images are narrowed to the differing keys before they are shuffled.
+    assert all("LeftSemi" in part for part in final.split("Exchange hashpartitioning(id")[1:])
+
+
+def test_means_follow_deltas(frame):
+    procedures = frame("procedure_id string, mean_minutes decimal(10,2)", *((f"d{i}", None) for i in range(5)))
+    schema = "k int, procedure_id string, minutes int"
+    rows_before = [(i, f"d{i % 4}", 5 + i % 11) for i in range(90)]
+    rows_after = [(i, "d4" if i % 10 == 0 else p, m + (i % 3 == 0)) for i, p, m in rows_before if p != "d1" and i % 7]
+    rows_after += [(100 + i, "d2", 60) for i in range(9)]
+    before, after = frame(schema, *rows_before), frame(schema, *rows_after)
+    kept = changes.procedure_totals(before)
+    shifted = changes.shifted_totals(kept, changes.change_rows(before, after, "k"))
+    found = dict(rows(changes.means_from_totals(procedures, shifted)))
+    assert found == dict(rows(changes.refresh_procedure_means(procedures, after)))
+    assert found["d1"] is None and found["d4"] is not None
+    untouched = changes.shifted_totals(kept, changes.change_rows(before, before, "k"))
+    assert as_set(untouched) == as_set(kept)
+
+
+def test_a_cascade_reads_each_table_twice_at_most(spark, hospital, tmp_path):
+    tables = {}
+    for name in ("person", "patient", "staff", "resident", "supervisor", "roster", "encounter", "performed", "billing", "stay"):
+        if name in hospital:
+            hospital[name].write.parquet(f"{tmp_path}/{name}")
+            tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    result = changes.delete_with_actions(tables, "person", tables["person"].select("person_id"))
+    for name in result.tables:
+        plan = result.tables[name]._jdf.queryExecution().optimizedPlan().toString()
+        reads = [line for line in plan.splitlines() if "Relation [" in line]
+        assert 1 <= len(reads) <= 6  # the table itself and what the levels wrote
+    assert {r["outcome"] for r in result.outcome.collect()} <= {"deleted", "blocked"}

@@ -147,3 +147,60 @@ def test_a_stream_without_files_is_an_error(spark, frame, tmp_path):
         jobs.read_stream(spark, f"{tmp_path}/none.parquet", frame("k int").schema)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         jobs.read_stream(spark, f"{tmp_path}/absent.parquet", frame("k int").schema)
+
+
+def test_folders_of_micro_batches_are_merged(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "FAN", 3)
+    path, job = str(tmp_path / "log"), str(tmp_path / "job")
+    at = dt.datetime(2025, 6, 1)
+    log = [(i // 2, "UPDATE", "e", (i,), (i + 1,), at + dt.timedelta(days=i % 3)) for i in range(40)]
+    changes_df = frame(CHANGE, *log)
+    for i in range(20):  # a file for each pair of changes with one id, on two days or three
+        frame(CHANGE, *log[2 * i:2 * i + 2]).coalesce(1).write.mode("append").parquet(path)
+    found = jobs.audit_to_table(stream(changes_df, path), "encounter_id", directory=job)
+    expected = {(i // 2, (at + dt.timedelta(days=i % 3)).isoformat()) for i in range(40)}
+    assert found.count() == len(expected) == 40
+    table = jobs._Batches(spark, f"{job}/rows", found.schema)
+    assert table.folders() == [(0, 8), (9, 17), (18, 18), (19, 19)]
+    assert {f.name for f in (tmp_path / "job" / "rows").iterdir() if f.is_dir()} == {
+        f"folder={a:010d}-{b:010d}" for a, b in table.folders()}
+    # A merge that broke off is not seen.
+    (tmp_path / "job" / "rows" / f"folder={18:010d}-{20:010d}").mkdir()
+    assert table.folders() == [(0, 8), (9, 17), (18, 18), (19, 19)]
+    # Replays of long ago, after a restart.
+    frame(CHANGE, *log[:6]).coalesce(1).write.mode("append").parquet(path)
+    again = jobs.audit_to_table(stream(changes_df, path), "encounter_id", directory=job)
+    assert again.count() == 40
+    assert table.folders() == [(0, 8), (9, 17), (18, 20)]
+
+
+def test_a_micro_batch_that_comes_again_is_written_once(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "FAN", 2)
+    rows_of = frame("k int", (1,), (2,))
+    table = jobs._Batches(spark, str(tmp_path / "t"), rows_of.schema)
+    for number in (0, 1, 1, 2, 3, 3, 4):
+        written = table.write(rows_of, number)
+        assert as_set(written) == {(1, number), (2, number)}
+    assert as_set(table.read()) == {(k, n) for k in (1, 2) for n in range(5)}
+    assert table.folders() == [(0, 3), (4, 4)]
+
+
+def test_holders_of_merged_micro_batches_are_one_row_a_slot(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "FAN", 2)
+    requests = crowd(160, 5)
+    batch = frame(SLOT_REQUEST, *requests)
+    path, job = str(tmp_path / "requests"), str(tmp_path / "job")
+    arrive(batch.withColumn("at", -F.col("request_id")), path, "at", 8)
+    source = jobs.read_stream(spark, path, batch.schema, files_per_batch=1)
+    labelled = jobs.roster_to_table(source, directory=job)
+    assert {r["request_id"]: r["reason"] for r in labelled.collect()} == one_after_the_other(requests, [])
+    holders = spark.read.parquet(f"{job}/holders/folder={0:010d}-{7:010d}")
+    assert holders.count() == holders.select("weekday", "turn", "resident_id").distinct().count()
+
+
+def test_audit_stream_logs_all_changes_without_an_id(frame, tmp_path):
+    change = (None, "UPDATE", "e", (1,), (2,), dt.datetime(2025, 6, 1))
+    path = str(tmp_path / "log")
+    log = frame(CHANGE, change, change, (1, *change[1:]), (1, *change[1:]))
+    log.coalesce(1).write.parquet(path)
+    assert jobs.audit_to_table(stream(log, path), "encounter_id").count() == 3

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardbook.functions import distinct_keys, ratio, stable_id
-from wardbook.functions.frames import Tables, splittable
+from wardbook.functions.frames import Tables, splittable, written
 from wardbook.model import CASCADE, HOSPITAL, RESTRICT, ROLES, Table
 from wardbook.operators.ingest import PAIR, order_key
 
@@ -132,16 +134,45 @@ def move_roster(base: DataFrame, moves: DataFrame, order: str = "request_id") ->
     return Moved(table, outcome)
 
 
+def _digest(columns: list[T.StructField]) -> list[Column]:
+    """128 bits of a row's values: two hashes of other beginnings. Which values are NULL is hashed too, since Spark's hash
+    passes over a NULL; nested values are hashed as JSON for the same reason."""
+    nested = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
+    values = []
+    for field in columns:
+        value = F.col(field.name)
+        if isinstance(field.dataType, nested):
+            value = F.to_json(value, {"ignoreNullFields": "false"})
+        values += [value.isNull(), value]
+    return [F.xxhash64(F.lit(i), *values).alias(f"_digest_{i}") for i in (0, 1)]
+
+
 def change_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Inserted, deleted and changed rows: (key, operation, before, after) with structs."""
+    """Inserted, deleted and changed rows: (key, operation, before, after) with structs.
+
+    Keys and digests of both tables are joined first, which is all of an unchanged row that is shuffled. The keys that
+    differ are written, so that the joins that fetch their images know their number: few are broadcast, by Spark's
+    own check of the size.
+    """
     columns = [c for c in new.columns if c != key]
-    before = old.select(key, F.struct(key, *columns).alias("before"))
-    after = new.select(key, F.struct(key, *columns).alias("after"))
+    fields = [new.schema[c] for c in columns]
+    pairs = old.select(key, *_digest([old.schema[c] for c in columns])).join(
+        new.select(F.col(key).alias("_key"), *(d.alias(f"_new_{i}") for i, d in enumerate(_digest(fields)))),
+        F.col(key) == F.col("_key"), "full_outer")
+    same = F.col("_digest_0").eqNullSafe(F.col("_new_0")) & F.col("_digest_1").eqNullSafe(F.col("_new_1"))
+    keys = written(pairs.where(~same).select(F.coalesce(key, "_key").alias(key)).dropna().distinct(), "differing_keys")
+    no_key = F.col(key).isNull()
+
+    def images(table: DataFrame, name: str) -> DataFrame:
+        # A row without a key has no other side.
+        image = table.select(key, F.struct(key, *columns).alias(name))
+        return image.join(keys, key, "left_semi").unionByName(image.where(no_key))
+
     operation = (
         F.when(F.col("before").isNull(), "INSERT").when(F.col("after").isNull(), "DELETE").otherwise("UPDATE")
     )
     return (
-        before.join(after, key, "full_outer")
+        images(old, "before").join(images(new, "after"), key, "full_outer")
         .where(~F.col("before").eqNullSafe(F.col("after")))
         .select(key, operation.alias("operation"), "before", "after")
     )
@@ -188,6 +219,39 @@ def refresh_procedure_means(procedure: DataFrame, performed: DataFrame, affected
     )
 
 
+def procedure_totals(performed: DataFrame) -> DataFrame:
+    """procedure_id, total, n: what the means are made of, to be kept and moved on by :func:`shifted_totals`.
+
+    ``n`` counts executions, ``total`` adds up their minutes.
+    """
+    return performed.groupBy("procedure_id").agg(
+        F.sum(F.col("minutes").cast("long")).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def shifted_totals(totals: DataFrame, changes: DataFrame) -> DataFrame:
+    """``totals`` after ``changes`` (before, after: images with procedure_id and minutes, as of :func:`change_rows`).
+
+    An image before is taken away, one after is added; a change of procedure is one of each. Work follows
+    the changes and the number of procedures: performed rows are not read. Procedures without executions are left out.
+    """
+    sides = [
+        changes.where(F.col(side).isNotNull()).select(
+            F.col(f"{side}.procedure_id").alias("procedure_id"), (F.col(f"{side}.minutes").cast("long") * sign).alias("total"),
+            F.lit(sign).cast("long").alias("n"))
+        for side, sign in (("before", -1), ("after", 1))
+    ]
+    return (
+        totals.select("procedure_id", "total", "n").unionByName(sides[0]).unionByName(sides[1])
+        .groupBy("procedure_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n <> 0")
+    )
+
+
+def means_from_totals(procedure: DataFrame, totals: DataFrame) -> DataFrame:
+    """Procedures with the mean real minutes of their executions; NULL without any."""
+    mean = totals.select("procedure_id", ratio("total", "n").cast("decimal(10,2)").alias("mean_minutes"))
+    return procedure.drop("mean_minutes").join(mean, "procedure_id", "left")
+
+
 @dataclass(frozen=True)
 class Cascade:
     """The tables after the delete and, per requested id, what happened."""
@@ -208,35 +272,44 @@ def delete_with_actions(tables: Tables, table: str, ids: DataFrame,
 
     CASCADE follows references downwards, RESTRICT anywhere along the way blocks
     the requested id (outcome ``blocked``, with the blocking tables); ``ids`` has
-    the key columns of ``table``. The chain of joins has the fixed depth of the
-    model; what travels along it are (requested id, key) pairs.
+    the key columns of ``table``. Level by level: the (requested id, key) pairs that a level adds are
+    written to the shared folder, and the tables below are joined with what was written. So each table is
+    read once for its references and once for what is left of it.
     """
     key = model[table].key
     asked = distinct_keys(ids, *key)
     root = [f"_root_{c}" for c in key]
-    present = asked.join(distinct_keys(tables[table], *key), list(key), "left_semi")
-    doomed = {table: present.select(*key, *(F.col(c).alias(r) for c, r in zip(key, root)))}
-    blocked: DataFrame | None = None
-    frontier = [table]
-    while frontier:
-        parent = frontier.pop(0)
-        for child, ref in _children(parent, tables, model):
-            # The parent columns a reference uses may be others than its key.
-            rows = tables[parent].select(*dict.fromkeys((*model[parent].key, *ref.parent_columns)))
-            links = doomed[parent].join(rows, list(model[parent].key)) if set(ref.parent_columns) - set(
-                model[parent].key) else doomed[parent]
-            links = links.select(*root, *(F.col(p).alias(c) for p, c in zip(ref.parent_columns, ref.columns)))
-            if ref.on_delete == RESTRICT:
-                held = distinct_keys(tables[child.name], *ref.columns)
-                hits = links.join(held, list(ref.columns), "left_semi").select(*root).distinct()
-                hits = hits.withColumn("blocked_by", F.lit(child.name))
-                blocked = hits if blocked is None else blocked.unionByName(hits)
-            elif ref.on_delete == CASCADE:
-                below = tables[child.name].select(*dict.fromkeys((*child.key, *ref.columns)))
-                pairs = below.join(links, list(ref.columns)).select(*child.key, *root)
-                known = doomed.get(child.name)
-                doomed[child.name] = pairs if known is None else known.unionByName(pairs).distinct()
-                frontier.append(child.name)
+    present = written(asked.join(distinct_keys(tables[table], *key), list(key), "left_semi"), "cascade")
+    level = {table: present.select(*key, *(F.col(c).alias(r) for c, r in zip(key, root)))}
+    doomed, hits = dict(level), []
+    while level:
+        below: dict[str, DataFrame] = {}
+        for parent, pairs in level.items():
+            for child, ref in _children(parent, tables, model):
+                links = pairs
+                # The parent columns a reference uses may be others than its key.
+                if set(ref.parent_columns) - set(model[parent].key):
+                    rows = tables[parent].select(*dict.fromkeys((*model[parent].key, *ref.parent_columns)))
+                    links = pairs.join(rows, list(model[parent].key))
+                links = links.select(*root, *(F.col(p).alias(c) for p, c in zip(ref.parent_columns, ref.columns)))
+                if ref.on_delete == RESTRICT:
+                    held = distinct_keys(tables[child.name], *ref.columns)
+                    hits.append(links.join(held, list(ref.columns), "left_semi").select(*root).distinct()
+                                .withColumn("blocked_by", F.lit(child.name)))
+                elif ref.on_delete == CASCADE:
+                    rows = tables[child.name].select(*dict.fromkeys((*child.key, *ref.columns)))
+                    found = rows.join(links, list(ref.columns)).select(*child.key, *root)
+                    below[child.name] = below[child.name].unionByName(found) if child.name in below else found
+        level = {}
+        for name, found in below.items():
+            found = found.distinct()
+            if name in doomed:
+                found = found.join(doomed[name], [*model[name].key, *root], "left_anti")
+            found = written(found, "cascade")
+            if not found.isEmpty():
+                level[name] = found
+                doomed[name] = doomed[name].unionByName(found) if name in doomed else found
+    blocked = written(reduce(DataFrame.unionByName, hits), "cascade_blocked") if hits else None
     if blocked is None:
         reasons = present.limit(0).select(*key).withColumn("blocked_by", F.lit(""))
     else:

@@ -459,6 +459,13 @@ _BOUND = {
                                    WHERE started_at >= DATE '1998-06-01' AND started_at < DATE '1998-07-01')
             GROUP BY procedure_id
         ) m ON m.procedure_id = c.procedure_id""",
+    "C5_means_from_deltas": f"""
+        SELECT c.procedure_id, m.mean_minutes FROM proc c LEFT JOIN (
+            SELECT procedure_id, {mean('sum(minutes + CASE WHEN year(started_at) = 1996 THEN 5 ELSE 0 END)', 'count(*)')}
+                   AS mean_minutes
+            FROM performed WHERE year(started_at) <= 1997 AND NOT (year(started_at) = 1992 AND minutes % 3 = 0)
+            GROUP BY procedure_id
+        ) m ON m.procedure_id = c.procedure_id""",
     "C6_delete_with_actions": """
         SELECT encounter_id, outcome, CASE WHEN outcome = 'blocked' THEN 'billing' END AS blocked_by FROM fate""",
     "C6_delete_procedures": """

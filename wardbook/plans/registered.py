@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.functions import weekday_label
+from wardbook.functions.frames import written
 from wardbook.model import HOSPITAL, RESIDENT, SUPERVISOR, UNIT_KINDS
 from wardbook.operators import analytics, changes, ingest, listings, quality
 from wardbook.plans import surface
@@ -537,6 +538,23 @@ def c5_affected(spark: SparkSession, d: str) -> DataFrame:
     return changes.refresh_procedure_means(before, t["performed"], affected).select("procedure_id", "mean_minutes")
 
 
+@query("C5_means_from_deltas")
+def c5_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The totals of executions before 1997 are kept; those of 1997 are added, a third of 1992's are removed, and the
+    minutes of 1996 grow by five."""
+    t = orders_clinic(spark, d)
+    performed = t["performed"].select("encounter_id", "procedure_id", "minutes", F.year("started_at").alias("y"))
+    kept = written(changes.procedure_totals(performed.where("y < 1997")), "procedure_totals")
+    image = F.struct("procedure_id", "minutes")
+    longer = F.struct("procedure_id", (F.col("minutes") + 5).alias("minutes"))
+    gone = (F.col("y") == 1992) & (F.col("minutes") % 3 == 0)
+    deltas = performed.where((F.col("y") == 1996) | (F.col("y") == 1997) | gone).select(
+        F.when(F.col("y") != 1997, image).alias("before"),
+        F.when(F.col("y") == 1997, image).when(F.col("y") == 1996, longer).alias("after"))
+    return changes.means_from_totals(t["procedure"], changes.shifted_totals(kept, deltas)).select(
+        "procedure_id", "mean_minutes")
+
+
 def cascade(spark: SparkSession, d: str) -> changes.Cascade:
     """All orders are to be deleted as encounters; a billed line blocks its encounter."""
     t = orders_clinic(spark, d)

@@ -20,11 +20,12 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# Streaming state on local disk instead of in executor memory. A stream keeps the
-# provider that its checkpoint was begun with.
+# Streaming state on local disk instead of in executor memory; a micro-batch adds what it changed to the
+# checkpoint, not the whole state. A stream keeps the provider that its checkpoint was begun with.
 STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 SHARED_DIR_SETTING = "spark.checkpoint.dir"
