@@ -73,10 +73,14 @@ def test_query_on_the_test_tables(spark):
     assert len({r[2] for r in rows}) < len(rows)
 
 
-@pytest.mark.parametrize("block, most", ((1 << 16, 1 << 22), (11, 500)))
-def test_near_copies_in_blocks_of_any_size(spark, near_copies, block, most):
+@pytest.mark.parametrize("block, most, in_a_task", ((1 << 16, 1 << 22, 1 << 19), (11, 500, 0)))
+def test_near_copies_in_blocks_of_any_size(spark, near_copies, monkeypatch, block, most, in_a_task):
+    monkeypatch.setattr(jaccard, "LINKS_IN_A_TASK", in_a_task)
+    decided_again, exact = [], jaccard._exact_links
+    monkeypatch.setattr(jaccard, "_exact_links", lambda m, p, k: decided_again.append(m.count()) or exact(m, p, k))
     rows = brute(near_copies)
     assert as_rows(jaccard.jaccard_components(frame(spark, near_copies), block=block, most=most)) == rows
+    assert decided_again[0] > 5  # sets of components whose first links did not all hold
     assert len(near_copies) // 4 < len({r[2] for r in rows}) < len(near_copies)
 
 

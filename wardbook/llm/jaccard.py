@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from wardbook.llm.common import by_batch, row_key, settle, text_hash, text_or_empty
 from wardbook.llm.components import smallest_reachable
-from wardbook.llm.simhash import _forest
 from wardbook.llm.words import SPACED, grams, groups, mix, split_words
 
 SHINGLE_WORDS = 4
@@ -33,6 +32,7 @@ BLOCK = 1 << 16  # sets of one block, or more beyond MOST_BLOCKS of them
 MOST_BLOCKS = 512
 STRIPE, TILE = 64, 1 << 11  # sets of the sides of a tile that are compared at once
 HASHES_PER_BLOCK = 1 << 22  # of a block that holds the sorted hashes: 32 MB
+LINKS_IN_A_TASK = 1 << 19  # that one task joins to components; more are joined by rounds over all tasks
 
 
 def shingle_sets(texts: list[bytes], words: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -114,8 +114,35 @@ def _distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
-def _passing(left: _Side, right: _Side, percent: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs that the bit counts allow to be linked; of one block with itself, i < j."""
+class _Joined:
+    """Which places are connected; ``label`` of a place is its root as of the last refresh. Those of one class are from the start."""
+
+    def __init__(self, classes: np.ndarray):
+        _, first, of = np.unique(classes, return_index=True, return_inverse=True)
+        self.parent = first[of]
+        self.label = self.parent.copy()
+
+    def top(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return int(i)
+
+    def join(self, u: int, v: int) -> None:
+        """Of two different roots."""
+        self.parent[max(u, v)] = min(u, v)
+
+    def refresh(self) -> None:
+        while (self.parent != (up := self.parent[self.parent])).any():
+            self.parent = up
+        self.label = self.parent.copy()
+
+
+def _passing(left: _Side, right: _Side, percent: int, joined: _Joined,
+             shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs, not joined yet, that the bit counts allow to be linked. Places on the right count on from
+    ``shift``; without a shift a block meets itself, and i < j."""
+    same = not shift
     words = min(left.words, right.words)
     whole_l, whole_r = _folded(left.signatures, words), _folded(right.signatures, words)
     rough = max(2, words // 2)
@@ -131,14 +158,16 @@ def _passing(left: _Side, right: _Side, percent: int, same: bool) -> Iterator[tu
             total = n[:, None] + right.n[None, [k - 1]]
             x, y = np.nonzero(_distance(rough_l[:, i:i + STRIPE], rough_r[:, j:k]) <= _most_apart(total, percent))
             x, y = x + i, y + j
-            if same:
-                x, y = x[x < y], y[x < y]
             for c in range(0, len(x), 1 << 14):
                 u, v = x[c:c + (1 << 14)], y[c:c + (1 << 14)]
+                open_yet = joined.label[u] != joined.label[v + shift]
+                if same:
+                    open_yet &= u < v
+                u, v = u[open_yet], v[open_yet]
                 apart = np.bitwise_count(whole_l[u] ^ whole_r[v]).sum(axis=1)
                 keep = apart <= _most_apart(left.n[u] + right.n[v], percent)
                 if keep.any():
-                    yield u[keep], v[keep]
+                    yield u[keep], v[keep] + shift
 
 
 def _blocked(sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -164,28 +193,44 @@ def _blocked(sets: DataFrame, percent: int, block: int) -> DataFrame:
     ).select("pair", "side", "node", "n", "signature")
 
 
+def _connect(group: pa.Table, percent: int, exact: bool) -> pa.Table:
+    """(a, b): pairs of the sets of a tile that connect all that pass, or with ``exact`` all that are linked."""
+    side = group["side"].to_numpy()
+    left, right = _Side(group.filter(side == 0)), _Side(group.filter(side == 1))
+    shift = len(left) if len(right) else 0
+    nodes = np.concatenate([left.node, right.node])
+    classes, hashes = nodes, {}
+    if exact:
+        of_node = group["node"].to_pylist()
+        hashes = dict(zip(of_node, group["hashes"].to_pylist()))
+        of_class = dict(zip(of_node, group["class"].to_pylist()))
+        classes = np.array([of_class[v] for v in nodes.tolist()])
+    joined, kept = _Joined(classes), []
+    for x, y in _passing(left, right if shift else left, percent, joined, shift):
+        for i, j in zip(x.tolist(), y.tolist()):
+            u, v = joined.top(i), joined.top(j)
+            if u != v and (not exact or _linked(hashes[nodes[i]], hashes[nodes[j]], percent)):
+                joined.join(u, v)
+                kept.append((nodes[i], nodes[j]))
+        joined.refresh()
+    ends = np.array(kept, np.int64).reshape(-1, 2)
+    return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+
 def passing_links(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of sets that bit counts allow to be linked, as many as connect all such pairs.
 
     ``sets`` has node (long), n, band and signature.
     """
-    def compare(group: pa.Table) -> pa.Table:
-        side = group["side"].to_numpy()
-        left, right = _Side(group.filter(side == 0)), _Side(group.filter(side == 1))
-        same = not len(right)
-        shift = 0 if same else len(left)
-        nodes = left.node if same else np.concatenate([left.node, right.node])
-        kept = _forest(len(nodes), ((x, y + shift) for x, y in _passing(left, left if same else right, percent, same)))
-        ends = np.array(kept, np.int64).reshape(-1, 2)
-        return pa.table({"a": nodes[ends[:, 0]], "b": nodes[ends[:, 1]]})
-
     if sets.isEmpty():
         return sets.sparkSession.createDataFrame([], "a long, b long")
-    return _blocked(sets, percent, block).groupBy("pair").applyInArrow(compare, "a long, b long")
+    return _blocked(sets, percent, block).groupBy("pair").applyInArrow(
+        lambda group: _connect(group, percent, exact=False), "a long, b long")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+def _linked(of_a: bytes, of_b: bytes, percent: int) -> bool:
     """Whether two sorted arrays of distinct hashes have enough in common."""
+    a, b = np.frombuffer(of_a, "<u8"), np.frombuffer(of_b, "<u8")
     if len(a) > len(b):
         a, b = b, a
     places = np.searchsorted(b, a)
@@ -202,7 +247,7 @@ def _decided(edges: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
                 "a": batch.column("a"), "b": batch.column("b"), "linked": pa.array([
-                    _linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent)
+                    _linked(x, y, percent)
                     for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist())], pa.bool_())})
 
     return by_batch(ends.select("a", "b", "of_a", "of_b"), work, "a long, b long, linked boolean")
@@ -236,41 +281,35 @@ def _unsettled_tiles(members: DataFrame, most: int) -> DataFrame:
     return placed.join(sides, ["component", "alone", "part"])
 
 
-def _top(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        i = parent[i]
-    return int(i)
-
-
 def _exact_links(members: DataFrame, percent: int, most: int) -> DataFrame:
     """(a, b): links between sets of different classes of one component that, with the classes, connect all of them."""
-    def compare(group: pa.Table) -> pa.Table:
-        side = group["side"].to_numpy()
-        left, right = _Side(group.filter(side == 0)), _Side(group.filter(side == 1))
-        same = not len(right)
-        shift = 0 if same else len(left)
-        nodes = left.node if same else np.concatenate([left.node, right.node])
-        hashes = dict(zip(group["node"].to_pylist(), group["hashes"].to_pylist()))
-        of_class = dict(zip(group["node"].to_pylist(), group["class"].to_pylist()))
-        classes, label = np.unique([of_class[v] for v in nodes.tolist()], return_inverse=True)
-        parent = np.arange(len(classes))  # of a class one it is joined with, a smaller one
-        kept = []
-        for x, y in _passing(left, left if same else right, percent, same):
-            apart = label[x] != label[y + shift]
-            for i, j in zip(x[apart].tolist(), (y[apart] + shift).tolist()):
-                u, v = sorted((_top(parent, label[i]), _top(parent, label[j])))
-                a, b = int(nodes[i]), int(nodes[j])
-                if u != v and _linked(np.frombuffer(hashes[a], "<u8"), np.frombuffer(hashes[b], "<u8"), percent):
-                    parent[v] = u
-                    kept.append((a, b))
-            while (label != (up := parent[label])).any():
-                label = up
-        ends = np.array(kept, np.int64).reshape(-1, 2)
-        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
-
     tiles = _unsettled_tiles(members, most)
-    return tiles.select("component", "pair", "side", "node", "class", "n", "signature", "hashes") \
-        .groupBy("component", "pair").applyInArrow(compare, "a long, b long")
+    return tiles.select("component", "pair", "side", "node", "class", "n", "signature", "hashes").groupBy(
+        "component", "pair").applyInArrow(lambda group: _connect(group, percent, exact=True), "a long, b long")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, root) of the written table ``links`` (a, b): the smallest node reachable, for every node.
+
+    At most LINKS_IN_A_TASK links, a few megabytes, are joined by one task; more of them by rounds over all tasks.
+    """
+    if links.limit(LINKS_IN_A_TASK + 1).count() > LINKS_IN_A_TASK:
+        return smallest_reachable(links)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()], axis=1) for b in batches]
+        if not ends:
+            return
+        nodes, places = np.unique(np.concatenate(ends), return_inverse=True)
+        joined = _Joined(nodes)
+        for i, j in places.reshape(-1, 2).tolist():
+            u, v = joined.top(i), joined.top(j)
+            if u != v:
+                joined.join(u, v)
+        joined.refresh()
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes), "root": pa.array(nodes[joined.label])})
+
+    return by_batch(links.coalesce(1), work, "node long, root long")
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -320,16 +359,16 @@ def _roots(sets: DataFrame, docs: DataFrame, words: int, percent: int, block: in
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     hashes = settle(_hashes_of(docs, sets.join(ends, "node"), words), "jaccard_hashes")
     decided = settle(_decided(edges, hashes, percent), "jaccard_decided")
-    classes = settle(smallest_reachable(decided.where("linked").select("a", "b")), "jaccard_classes")
+    links = decided.where("linked").select("a", "b")
+    classes = settle(_components(links), "jaccard_classes")
     if decided.where("not linked").isEmpty():
         return classes
-    components = settle(smallest_reachable(edges), "jaccard_components").withColumnRenamed("root", "component")
+    components = settle(_components(edges), "jaccard_components").withColumnRenamed("root", "component")
     members = components.join(classes, "node", "left").select("component", F.coalesce("root", "node").alias("class"), "node")
     several = members.groupBy("component").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y")
     members = settle(members.join(several.select("component"), "component").join(hashes, "node"), "jaccard_members")
-    more = settle(_exact_links(members, percent, most), "jaccard_links")
-    links = decided.where("linked").select("a", "b").union(more)
-    return settle(smallest_reachable(links), "jaccard_roots")
+    more = settle(_exact_links(members, percent, most).union(links), "jaccard_links")
+    return settle(_components(more), "jaccard_roots")
 
 
 def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, block: int = BLOCK,
