@@ -1,5 +1,6 @@
 """Alignment against loops over all pairs of tokens, with the two libraries' own encoders."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -109,6 +110,19 @@ def test_blocks_of_one_text_count_over_all(spark, encode, monkeypatch):
     compare(as_rows(alignment.align_documents(docs)), brute(encode, pairs))
 
 
+def test_both_encoders_of_a_give_the_same_ids():
+    both, rng = alignment.aligner(*PATHS), random.Random(8)
+    slow = alignment.Aligner(*PATHS)
+    slow.by_rank = None
+    assert both.by_rank is not None
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [*documents().text.fillna(""), "a" * 5000, "<|endoftext|>", "ab" * 3000 + "é" * 999, " \n\n a\t\x1c\x85 b  "]
+    texts += ["".join(rng.choice(every) for _ in range(20)) for _ in range(500)]
+    texts += ["".join(rng.choice(" \n\tabcABC'sredöé12.,!<|>") for _ in range(60)) for _ in range(500)]
+    for text in texts:
+        assert both._encode_a(" " + text) == slow._encode_a(" " + text)
+
+
 @pytest.mark.parametrize("kind", ("ends", "overlaps", "groups"))
 def test_links_themselves(spark, encode, kind):
     pairs = [(1, "unbelievable tokenization, é漢字"), (2, None), (3, "short"), (None, "no id")]

@@ -21,6 +21,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,19 @@ def _with_strings(many: int, ends: str) -> list[str]:
     return [f"{i}{end}" for end in ends for i in range(many)]
 
 
+def _by_rank(codec: bpe.BytePairCodec) -> tiktoken.Encoding | None:
+    """A faster encoder with the same ids, which merges whatever pair makes the entry with the lowest id; None if there is none.
+
+    It is the same where ids ascend in the order of the merges and each entry, encoded alone, is itself. Then the last
+    merge that makes an entry is always its own one: in a longer text nothing else happens between its ends before.
+    """
+    entries = sorted(codec.vocab.values())
+    if codec.merged != sorted(codec.merged) or any(codec.merge(codec.strings[i]) != [i] for i in entries):
+        return None
+    return tiktoken.Encoding("by_rank", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                             mergeable_ranks={codec.strings[i]: i for i in entries})
+
+
 class Aligner:
     """Both tokenizers, and what is derived from their vocabularies."""
 
@@ -114,24 +128,31 @@ class Aligner:
         self.length_b = np.array([len(b) for b in self.bytes_b])
         # The text of a token of A within and at the end of a group, then those of B.
         self.texts = _with_strings(len(self.bytes_a), ",|") + _with_strings(len(self.bytes_b), ",;")
+        self.by_rank = _by_rank(self.codec)
 
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _encode_a(self, text: str) -> list[int]:
+        if self.by_rank is not None and (text.isascii() or not bpe.RARE.search(text)):
+            return self.by_rank.encode_ordinary(text)
+        return np.frombuffer(b"".join(map(self.codec.packed.__getitem__, self.codec.pieces(text))), "<u4").tolist()
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids by A and by B of each text; none for the empty text and where either does not give the text back.
 
         Both see a space before the text; literal strings of special tokens are ordinary text.
         """
-        of_a, of_b, none = [], [], np.zeros(0, np.int64)
+        of_a, of_b = [], []
         for text, b in zip(texts, self.pieces.encode(texts, num_threads=1)):
             whole = (" " + text).encode()
-            a = np.frombuffer(b"".join(map(self.codec.packed.__getitem__, self.codec.pieces(" " + text))), "<u4")
-            same = text and b"".join(map(self.bytes_b.__getitem__, b)) == whole and \
-                b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole
-            of_a.append(a.astype(np.int64) if same else none)
-            of_b.append(np.array(b, np.int64) if same else none)
+            a = self._encode_a(" " + text)
+            if not text or b"".join(map(self.bytes_b.__getitem__, b)) != whole \
+                    or b"".join(map(self.bytes_a.__getitem__, a)) != whole:
+                a, b = [], []
+            of_a.append(np.array(a, np.int64))
+            of_b.append(np.array(b, np.int64))
         return of_a, of_b
 
     def align(self, texts: list[str]) -> Alignment:
