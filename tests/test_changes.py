@@ -265,3 +265,14 @@ def test_a_cascade_reads_each_table_twice_at_most(spark, hospital, tmp_path):
         reads = [line for line in plan.splitlines() if "Relation [" in line]
         assert 1 <= len(reads) <= 6  # the table itself and what the levels wrote
     assert {r["outcome"] for r in result.outcome.collect()} <= {"deleted", "blocked"}
+
+
+def test_fields_of_audit_images(frame):
+    at = dt.datetime(2025, 6, 1)
+    log = frame("audit_id string, k int, operation string, before string, after string, changed_at timestamp_ntz",
+                ("a", 1, "UPDATE", '{"m": 5, "n": "x", "z": null}', '{"m": 7, "n": "x", "z": null}', at),
+                ("b", 2, "INSERT", None, '{"m": 5, "n": null}', at), ("c", 3, "DELETE", '{"m": "no", "n": ""}', None, at),
+                ("d", 4, "UPDATE", "not json", '{"n": "5"}', at))
+    found = as_set(changes.audited_fields(log, "k", {"m": "int", "n": "string", "z": "string"}).drop("changed_at"))
+    assert found == {("a", 1, "UPDATE", "m", "5", "7"), ("b", 2, "INSERT", "m", None, "5"), ("c", 3, "DELETE", "n", "", None),
+                     ("d", 4, "UPDATE", "n", None, "5")}

@@ -280,6 +280,19 @@ def test_recent_encounters(hospital):
         newest[i]["encounter_id"] for i in (0, 2, 3)]
 
 
+@pytest.mark.parametrize("at_once", (1 << 14, 20))
+def test_recent_encounters_are_widened_past_many_that_name_nobody(hospital, monkeypatch, at_once):
+    monkeypatch.setattr(listings, "NEWEST_AT_ONCE", at_once)
+    newest = sorted(ENCOUNTERS, key=lambda e: e["started_at"], reverse=True)
+    lost = [e["encounter_id"] for e in newest[:-3]]
+    dangling = F.when(F.col("encounter_id").isin(lost), "nobody").otherwise(F.col("resident_id"))
+    t = {**hospital, "encounter": hospital["encounter"].withColumn("resident_id", dangling)}
+    found = [r["encounter_id"] for r in listings.recent_encounters(t, limit=2).collect()]
+    assert found == [e["encounter_id"] for e in newest[-3:-1]]
+    assert listings.recent_encounters(t, limit=5).count() == 3
+    assert listings.recent_encounters({**t, "encounter": t["encounter"].limit(0)}).count() == 0
+
+
 def test_patient_encounters(hospital):
     found = [r["encounter_id"] for r in listings.patient_encounters(hospital, "patient-2").collect()]
     own = sorted((e for e in ENCOUNTERS if e["patient_id"] == "patient-2"), key=lambda e: e["started_at"], reverse=True)

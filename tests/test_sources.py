@@ -5,6 +5,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import seed
 from tests.conftest import as_set, rows
@@ -124,3 +125,19 @@ def test_ratio_rounds_half_away_from_zero(frame):
     df = frame("t long, n long", (100496, 100000), (201, 200), (-201, 200), (1, 0), (2, 3))
     assert [None if v is None else str(v) for (v,) in rows(df.select(ratio("t", "n")))] == [
         "1.00", "1.01", "-1.01", None, "0.67"]
+
+
+def test_a_month_opens_the_files_of_that_month(spark, hospital, tmp_path):
+    export.write_hospital(hospital, str(tmp_path))
+    months = sorted({str(r["started_at"])[:7] for r in hospital["encounter"].collect()})
+    assert len(months) > 1
+    loaded = load.load_hospital(spark, str(tmp_path), register=False, months=(months[0], months[0]))
+    every = load.load_hospital(spark, str(tmp_path), register=False)
+    own = every["encounter"].where(F.date_format("started_at", "yyyy-MM") == months[0])
+    assert sorted(loaded["encounter"].collect()) == sorted(own.collect())
+    assert loaded["encounter"].count() < every["encounter"].count() and loaded["patient"].count() == every["patient"].count()
+    plan = loaded["encounter"]._jdf.queryExecution().executedPlan().toString()
+    assert "month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    report = analytics.busy_supervisors({**loaded, "supervisor": every["supervisor"]}, *map(int, months[0].split("-")), 0)
+    assert sorted(report.collect()) == sorted(
+        analytics.busy_supervisors(every, *map(int, months[0].split("-")), 0).collect())

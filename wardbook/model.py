@@ -308,3 +308,7 @@ HOSPITAL: dict[str, Table] = {
         ENCOUNTER, PERFORMED, ROSTER, BILLING, ENCOUNTER_AUDIT, STAY,
     )
 }
+
+# Facts that reports read by month: kept in monthly folders, by this column, so that a month's report opens only
+# that month's files.
+MONTHLY = {"encounter": "started_at", "billing": "issued_on"}

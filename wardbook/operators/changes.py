@@ -198,6 +198,24 @@ def diff_audit(old: DataFrame, new: DataFrame, key: str, changed_at: Column, use
     return audit_entries(change_rows(old, new, key), key, changed_at, user)
 
 
+def audited_fields(log: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
+    """What audit entries say of single fields: (audit_id, key, changed_at, operation, field, before, after), as text.
+
+    ``fields`` has the SQL type of each field asked for. Images are parsed once per entry, as VARIANT; a field that an
+    image lacks or that is no such value is NULL, and a field that is the same before and after is left out.
+    """
+    images = {side: F.try_parse_json(side) for side in ("before", "after")}
+    entries = log.select("audit_id", key, "changed_at", "operation", *(v.alias(f"_{s}") for s, v in images.items()))
+    values = [F.struct(F.lit(f).alias("field"), *(
+        F.try_variant_get(f"_{side}", f"$.{f}", kind).cast("string").alias(side) for side in images))
+        for f, kind in fields.items()]
+    return (
+        entries.select("audit_id", key, "changed_at", "operation", F.explode(F.array(*values)).alias("f"))
+        .where(~F.col("f.before").eqNullSafe(F.col("f.after")))
+        .select("audit_id", key, "changed_at", "operation", "f.*")
+    )
+
+
 def refresh_procedure_means(procedure: DataFrame, performed: DataFrame, affected: DataFrame | None = None) -> DataFrame:
     """Procedures with the mean real minutes of their executions; NULL without any.
 

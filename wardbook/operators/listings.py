@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions import distinct_keys, in_order_of, named
-from wardbook.functions.frames import Tables
+from wardbook.functions.frames import Tables, written
 from wardbook.model import RESIDENT, SUPERVISOR, TURNS, WEEKDAYS
 
 
@@ -63,20 +63,36 @@ def list_procedures(t: Tables) -> DataFrame:
     return t["procedure"].orderBy("name", "procedure_id")
 
 
+NEWEST_AT_ONCE = 1 << 14  # candidates of the newest encounters that are taken before all are joined instead
+
+
 def recent_encounters(t: Tables, limit: int = 50) -> DataFrame:
     """The newest encounters with names; equal instants by descending id.
 
-    The top rows are taken after the joins: nothing enforces the references of Parquet tables, and an
-    encounter that names nobody must not take the place of one that is listed.
+    In two phases: candidates are the newest by time alone, twice as many as wanted, a bounded top of each task that is
+    written once. Nothing enforces the references of Parquet tables, and an encounter that names nobody must
+    not take the place of one that is listed, so the candidates are widened until enough of them have their names. Only they
+    are joined; beyond NEWEST_AT_ONCE candidates it is all encounters.
     """
     order = (F.desc("started_at"), F.desc("encounter_id"))
-    return (
-        t["encounter"].join(named(t, "patient", prefix="patient"), "patient_id")
-        .join(named(t, "resident", prefix="resident"), "resident_id")
-        .join(named(t, "supervisor", prefix="supervisor"), "supervisor_id")
-        .select("encounter_id", "started_at", "minutes", "patient", "resident", "supervisor")
-        .orderBy(*order).limit(limit)
-    )
+    columns = ("encounter_id", "started_at", "minutes", "patient_id", "resident_id", "supervisor_id")
+    width = 2 * limit
+    while True:
+        encounters, all_taken = t["encounter"].select(*columns), width > NEWEST_AT_ONCE
+        if not all_taken:
+            encounters = written(encounters.orderBy(*order).limit(width), "newest")
+        listed = (
+            encounters.join(named(t, "patient", prefix="patient"), "patient_id")
+            .join(named(t, "resident", prefix="resident"), "resident_id")
+            .join(named(t, "supervisor", prefix="supervisor"), "supervisor_id")
+            .select("encounter_id", "started_at", "minutes", "patient", "resident", "supervisor")
+        )
+        if all_taken:
+            return listed.orderBy(*order).limit(limit)
+        listed = written(listed, "newest")
+        if listed.count() >= limit or encounters.count() < width:
+            return listed.orderBy(*order).limit(limit)
+        width *= 8
 
 
 def patient_encounters(t: Tables, patient_id=None) -> DataFrame:

@@ -302,6 +302,12 @@ _AFTER_IMAGE = _ORDER_IMAGE.format("a", "a.minutes + a.extra")
 
 # Queries over the bindings, and queries over the raw tables alone.
 _BOUND = {
+    "A1_load_hospital_month": "SELECT * FROM busy",
+    "B_audit_hospital": """
+        SELECT 'procedure' AS "table", 'code_unique' AS rule, code AS record FROM proc WHERE expected_minutes <= 48
+        GROUP BY code HAVING count(*) > 1
+        UNION ALL SELECT 'performed', 'procedure_id_in_procedure', concat_ws('/', encounter_id, procedure_id)
+        FROM performed WHERE procedure_id NOT IN (SELECT procedure_id FROM proc WHERE expected_minutes <= 48)""",
     "A2_export_result": f"SELECT {_BY_RESIDENT}, {mean('total', 'encounters')} AS mean_minutes FROM by_resident",
     "A2_export_result_csv": "SELECT * FROM monthly",
     "A2_export_result_parquet": """
@@ -448,6 +454,22 @@ _BOUND = {
         SELECT *, TIMESTAMP '1998-06-15 00:00:00' AS changed_at,
                {SHA.format("encounter_id, operation, '1998-06-15 00:00:00'")} AS audit_id
         FROM entry""",
+    "C4_audited_fields": """
+        , image AS (
+            SELECT coalesce(a.encounter_id, b.encounter_id) AS encounter_id,
+                   CASE WHEN b.encounter_id IS NULL THEN 'INSERT' WHEN a.encounter_id IS NULL THEN 'DELETE'
+                        ELSE 'UPDATE' END AS operation,
+                   CAST(b.minutes AS VARCHAR) AS minutes_before, CAST(a.minutes + a.extra AS VARCHAR) AS minutes_after,
+                   CAST(b.patient_id AS VARCHAR) AS patient_before, CAST(a.patient_id AS VARCHAR) AS patient_after,
+                   b.note AS note_before, a.note AS note_after
+            FROM (SELECT * FROM order_row WHERE status <> 'O' OR priority <> '5-LOW') b
+            FULL JOIN (SELECT * FROM order_row WHERE status <> 'P') a ON a.encounter_id = b.encounter_id)
+        SELECT encounter_id, operation, 'minutes' AS field, minutes_before AS before, minutes_after AS after FROM image
+        WHERE minutes_before IS DISTINCT FROM minutes_after
+        UNION ALL SELECT encounter_id, operation, 'patient_id', patient_before, patient_after FROM image
+        WHERE patient_before IS DISTINCT FROM patient_after
+        UNION ALL SELECT encounter_id, operation, 'note', note_before, note_after FROM image
+        WHERE note_before IS DISTINCT FROM note_after""",
     "C5_refresh_procedure_means": f"""
         SELECT c.procedure_id, c.name, m.mean_minutes FROM proc c LEFT JOIN (
             SELECT procedure_id, {mean('sum(minutes)', 'count(*)')} AS mean_minutes FROM performed GROUP BY procedure_id

@@ -29,8 +29,8 @@ from wardbook.sources.bindings import (
     roster_requests,
     whole,
 )
-from wardbook.sources.export import export_result, plain_numbers
-from wardbook.sources.load import load_tables, register_views, row_counts
+from wardbook.sources.export import export_result, plain_numbers, write_hospital
+from wardbook.sources.load import load_hospital, load_tables, register_views, row_counts
 from wardbook.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,17 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
     return row_counts(load_tables(spark, d, TEST_SCHEMAS, register=False))
 
 
+@query("A1_load_hospital_month")
+def a1_month(spark: SparkSession, d: str) -> DataFrame:
+    """Encounters are written in monthly folders; the report of June 1998 reads that one."""
+    t = orders_clinic(spark, d)
+    path, model = new_run_dir(spark, "hospital"), {"encounter": HOSPITAL["encounter"]}
+    write_hospital({"encounter": t["encounter"]}, path, model=model)
+    june = load_hospital(spark, path, model=model, register=False, months=("1998-06", "1998-06"))
+    supervisor = t["supervisor"].withColumn("supervisor_id", F.col("supervisor_id").cast("string"))
+    return analytics.busy_supervisors({**june, "supervisor": supervisor}, 1998, 6)
+
+
 @query("A2_export_result")
 def a2(spark: SparkSession, d: str) -> DataFrame:
     report = plain_numbers(analytics.mean_duration_by_resident(orders_clinic(spark, d)))
@@ -146,6 +157,15 @@ def b6(spark: SparkSession, d: str) -> DataFrame:
     return quality.audit_exclusive_roles(t["staff"], subtypes)
 
 
+@query("B_audit_hospital")
+def b_hospital(spark: SparkSession, d: str) -> DataFrame:
+    """Every declared rule over four tables; procedures over size 48 are not in the catalogue."""
+    t = orders_clinic(spark, d)
+    tables = {name: t[name] for name in ("encounter", "performed", "billing")}
+    tables["procedure"] = t["procedure"].where("expected_minutes <= 48")
+    return quality.audit_hospital(tables, ORDERS_AS_OF)
+
+
 @query("B7_apply_defaults")
 def b7(spark: SparkSession, d: str) -> DataFrame:
     (orders,) = read_raw(spark, d, "orders")
@@ -522,6 +542,13 @@ def c4(spark: SparkSession, d: str) -> DataFrame:
     return changes.diff_audit(*order_versions(spark, d), "encounter_id", changed_at)
 
 
+@query("C4_audited_fields")
+def c4_fields(spark: SparkSession, d: str) -> DataFrame:
+    log = changes.diff_audit(*order_versions(spark, d), "encounter_id", F.lit(ORDERS_AS_OF).cast("timestamp_ntz"))
+    fields = {"minutes": "int", "patient_id": "bigint", "note": "string"}
+    return changes.audited_fields(log, "encounter_id", fields).drop("audit_id", "changed_at")
+
+
 @query("C5_refresh_procedure_means")
 def c5(spark: SparkSession, d: str) -> DataFrame:
     t = orders_clinic(spark, d)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardbook.model import HOSPITAL, Table
-from wardbook.sources.load import to_stored
+from wardbook.model import HOSPITAL, MONTHLY, Table
+from wardbook.sources.load import MONTH, to_stored
 
 FORMATS = ("json", "csv", "parquet")
 
@@ -42,11 +42,6 @@ def export_result(df: DataFrame, path: str, fmt: str = "json", mode: str = "erro
         df.write.mode(mode).parquet(path)
 
 
-# Facts that reports read by month: written in monthly folders so that a month's
-# report opens only that month's files.
-MONTHLY = {"encounter": "started_at", "billing": "issued_on"}
-
-
 def write_hospital(
     tables: Mapping[str, DataFrame],
     directory: str,
@@ -61,8 +56,8 @@ def write_hospital(
         stored = to_stored(tables[name], table)
         if name in MONTHLY:
             instant = next(c.stored for c in table.columns if c.name == MONTHLY[name])
-            by_month = stored.withColumn("month", F.date_format(instant, "yyyy-MM"))
+            by_month = stored.withColumn(MONTH, F.date_format(instant, "yyyy-MM"))
             # REBALANCE brings a month together in few files and splits a busy one.
-            by_month.hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(target)
+            by_month.hint("rebalance", MONTH).write.mode(mode).partitionBy(MONTH).parquet(target)
         else:
             stored.write.mode(mode).parquet(target)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardbook.model import HOSPITAL, Table
+from wardbook.model import HOSPITAL, MONTHLY, Table
+
+MONTH = "month"  # the column of the monthly folders, as yyyy-MM
 
 
 def load_tables(
@@ -43,11 +45,22 @@ def load_hospital(
     suffix: str = "",
     model: Mapping[str, Table] = HOSPITAL,
     register: bool = True,
+    months: tuple[str, str] | None = None,
     **options: str,
 ) -> dict[str, DataFrame]:
-    """The hospital tables under their English names, from files with the stored names."""
+    """The hospital tables under their English names, from files with the stored names.
+
+    ``months``, first and last as yyyy-MM, limits the facts that are kept in monthly folders, as ``write_hospital`` leaves
+    them: files of other months are not opened.
+    """
     stored = {t.stored: t.stored_schema() for t in model.values()}
+    if months:
+        for name in MONTHLY.keys() & model.keys():
+            stored[model[name].stored] = T.StructType([*model[name].stored_schema(), T.StructField(MONTH, T.StringType())])
     raw = load_tables(spark, directory, stored, fmt, suffix, register=False, **options)
+    if months:
+        raw |= {model[name].stored: raw[model[name].stored].where(F.col(MONTH).between(*months))
+                for name in MONTHLY.keys() & model.keys()}
     tables = {name: from_stored(raw[t.stored], t) for name, t in model.items()}
     if register:
         register_views(tables)
