@@ -154,3 +154,56 @@ def test_awkward_rows_and_empty_tables(spark):
     assert quality.good_documents(docs, quality.train(docs, labels.limit(0))).count() == docs.count()
     model, scorer = toxicity.train(empty(spark), labels)
     assert toxicity.score(docs, model, scorer).where("predicted = 1").count() == 0
+
+
+def test_toxicity_held_out_by_language(spark):
+    """On the largest tables: nine in ten toxic texts are found, and hardly a clean one is taken."""
+    largest = DIRECTORY.replace("sf0.001", "sf0.1")
+    docs, labels = (pd.read_parquet(f"{largest}/{t}.parquet") for t in ("documents", "labels"))
+    rows = queries.op9_toxicity(spark, largest).toPandas().merge(docs[["doc_id", "lang"]], on="doc_id").merge(labels, on="doc_id")
+    held = rows[rows.held_out]
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    assert len(toxic) == 97 and toxic.predicted.sum() >= 88 and clean.predicted.mean() <= 0.005
+    by_lang = toxic.groupby("lang").predicted.mean()
+    assert (by_lang >= 0.8).all()
+
+
+DISGUISES = {
+    "blanks": " ".join, "two blanks": "  ".join, "tabs": "\t".join, "lines": "\n".join, "slashes": "/".join,
+    "tildes": "~".join, "dots": ".".join, "no-break spaces": "\u00a0".join, "invisible": "\u200b".join,
+    "capitals": str.upper, "look-alike signs": lambda w: w.translate(str.maketrans("aeios", "43105")),
+    "one letter stretched": lambda w: w[:2] + w[1] * 3 + w[2:], "all letters stretched": lambda w: "".join(c * 4 for c in w),
+    "full width": lambda w: "".join(chr(ord(c) + 0xFEE0) for c in w),
+    "accents": lambda w: w.translate(str.maketrans("aiou", "\u00e1\u00ef\u00f6\u00fc")),
+    "look-alike letters": lambda w: w.translate(str.maketrans("aeopc", "\u0430\u0435\u043e\u0440\u0441")),
+}
+
+
+@pytest.fixture(scope="module")
+def letters(spark):
+    return toxicity.letter_model(spark.read.parquet(f"{LARGER}/documents.parquet"))
+
+
+@pytest.mark.parametrize("disguise", DISGUISES)
+def test_disguised_words_are_restored(letters, disguise):
+    words = "idiot moron stupid loser trash scum pathetic worthless disgusting".split()
+    restorer = toxicity.Restorer(letters)
+    found = sum(w in restorer.words(f"Thin the onlewh {DISGUISES[disguise](w)} and thre reat.") for w in words)
+    assert found >= 8
+
+
+def test_units_are_words_and_their_beginnings():
+    units = toxicity.Units({"trash": 1, "bomen*": 2, "tra*": 3})
+    assert list(toxicity.stems("bomenteja")) == ["bom*", "bome*", "bomen*", "boment*", "bomente*"]
+    assert list(toxicity.stems("abc")) == []
+    assert units.held({"trash": 2, "bomenteja": 1, "bomenta": 3, "tra": 1}) == {"trash": 2, "tra*": 2, "bomen*": 4}
+    assert toxicity.Units({}).held({"trash": 1}) == {}
+
+
+def test_one_id_in_many_rows_is_learned_from_once(spark):
+    repeated = [(1, f"text number {i} scum") for i in range(500)] + [(i, f"plain words {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(repeated, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], LABELS)
+    model, scorer = toxicity.train(docs, labels)
+    again = toxicity.train(docs.where("doc_id > 1 or text = 'text number 0 scum'"), labels)[1]
+    assert scorer.weights == again.weights and (scorer.scale == again.scale).all()

@@ -2,13 +2,15 @@
 
 Words with look-alike characters, repeated letters or spaced-out letters are
 lattices of what they may stand for. A Viterbi search finds the likeliest letters under a character
-model of the corpus; weights of words and a logistic scale, learned from labelled rows, score the result.
+model of the corpus; weights of words and of beginnings of words, and a logistic scale, learned from labelled rows, score
+the result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,21 +31,28 @@ CACHED_TOKENS = 200_000  # per generation and worker
 LONGEST_TOKEN = 64  # characters of a token whose reading is kept; longer ones are read anew each time
 PIECE_OF_READING = 256  # letters of a path that are copied with each step of the search
 UNSPACED_GRAMS = (2, 3, 4)  # characters of what counts as words in scripts without blanks
+STEM_LETTERS = (3, 7)  # of the beginnings of longer words that are weighed beside whole words
+STEM = "*"  # ends a beginning; no word holds it
 
 # Fixed: what a character is read as besides itself.
 LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-SEPARATORS = ".-_*"
+# Fixed: letters of other scripts that look like Latin ones.
+LOOK_ALIKE_LETTERS = str.maketrans(
+    "\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u043a\u043c\u0442\u0432\u043d"
+    "\u03b1\u03bf\u03bd\u03c1\u03c4\u03b9\u03ba\u03b5\u03c5",
+    "aeopcyxijskmtbh" "aovptikeu")
+SEPARATORS = ".-_*/~"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 # Letters a-z are 1 to 26, other letters 27, all else the border 0.
 CODES = 28
 
-VOWELS = "aeiou"  # what an asterisk may hide
-LOG_MASKED = math.log(0.1)
+VOWELS = "aeiou"  # what an asterisk hides more often than other letters
+LOG_MASKED, LOG_MASKED_CONSONANT = math.log(0.1), math.log(0.02)
 LOG_SUBSTITUTED, LOG_KEPT = math.log(0.5), math.log(0.6)
-# A letter may well stand twice; from the third on, a repetition is a stretched word.
+# A letter may well stand twice; a longer repetition is a stretched word.
 LOG_DROPPED, LOG_DROPPED_SECOND = math.log(0.3), math.log(0.02)
 
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -53,7 +62,10 @@ _LAST = re.compile(r"[^\W_]")
 _UNSPACED = re.compile(
     "[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 _REPEATED = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ " + re.escape(SEPARATORS) + r"]\S){3,}(?!\w)")
+_BETWEEN = r"[\s" + re.escape(SEPARATORS) + "]"
+_SPACED = re.compile(rf"(?<!\S)\w(?:{_BETWEEN}{{1,4}}[^\s{re.escape(SEPARATORS)}]){{2,}}(?![^\W_])")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
+_LATIN = re.compile("[a-z]")
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -105,11 +117,14 @@ def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
         elif c in LOOK_ALIKES:
             options = [(x, LOG_SUBSTITUTED) for x in LOOK_ALIKES[c]]
         elif c in SEPARATORS:
-            options = [("", LOG_DROPPED)] + [(v, LOG_MASKED) for v in VOWELS if c == "*"]
+            options = [("", LOG_DROPPED)]
+            if c == "*":
+                options += [(x, LOG_MASKED if x in VOWELS else LOG_MASKED_CONSONANT) for x in ALPHABET]
         else:
             options = [(c, LOG_KEPT)]
         if i and token[i - 1] == c:
-            options.append(("", LOG_DROPPED if token[i - 2:i] == c + c else LOG_DROPPED_SECOND))
+            stretched = c * 3 in token[max(0, i - 2):i + 2]
+            options.append(("", LOG_DROPPED if stretched else LOG_DROPPED_SECOND))
         yield options
 
 
@@ -162,10 +177,22 @@ def _core(token: str) -> tuple[str, str]:
     return token[:start], token[start:end]
 
 
+def folded(text: str) -> str:
+    """Lower case, with characters of compatibility (full-width, styled) as the plain ones and without invisible ones."""
+    if text.isascii():
+        return text.lower()
+    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
+
+
 def _words(text: str) -> Iterator[str]:
-    """Runs of letters; where they are of a script without blanks, also what stands in them."""
+    """Runs of letters, with accents also without them; where they are of a script without blanks, also what stands in
+    them."""
     for word in _PLAIN.findall(text):
         yield word
+        if not word.isascii() and _LATIN.search(word):
+            plain = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+            if plain != word:
+                yield plain
         for run in _UNSPACED.findall(word):
             for n in UNSPACED_GRAMS:
                 yield from (g for i in range(len(run) - n + 1) if (g := run[i:i + n]) != word)
@@ -191,6 +218,8 @@ class Restorer(dict):
         return words
 
     def read(self, token: str) -> tuple[str, ...]:
+        if not token.isascii() and _LATIN.search(token):
+            token = token.translate(LOOK_ALIKE_LETTERS)
         lead, core = _core(token)
         if len(lead) == 1 and lead in LOOK_ALIKES:
             core = lead + core
@@ -216,49 +245,73 @@ class Restorer(dict):
 
     def words(self, text: str) -> Counter:
         """Restored words of a text with their numbers."""
-        lower = text.lower()
+        lower = folded(text)
         tokens = Counter(lower.split())
         found: Counter = Counter()
         for token, n in tokens.items():
             for word in self[token]:
                 found[word] += n
-        if sum(n for t, n in tokens.items() if len(t) == 1) >= 4 or any(len(t) > 6 and t[1] in SEPARATORS for t in tokens):
+        if sum(n for t, n in tokens.items() if len(t) == 1) >= 3 or any(len(t) > 4 and t[1] in SEPARATORS for t in tokens):
             for match in _SPACED.finditer(lower):
-                if " " not in match.group():
+                if len(match.group().split()) == 1:
                     continue  # a token, which is counted already
-                joined = re.sub(f"[ {re.escape(SEPARATORS)}]", "", match.group())
+                joined = re.sub(_BETWEEN, "", match.group())
                 for word in (*self[joined], *self.several(joined)):
                     found[word] += 1
         return found
 
 
+def stems(word: str) -> Iterator[str]:
+    """Beginnings of a longer word, which its other forms share."""
+    least, most = STEM_LETTERS
+    return (word[:k] + STEM for k in range(least, min(most, len(word) - 1) + 1))
+
+
+class Units(dict):
+    """Words and beginnings of words -> what is kept of them; finds those that a text holds."""
+
+    def __init__(self, kept: dict):
+        super().__init__(kept)
+        self.heads = {u[:STEM_LETTERS[0]] for u in kept if u.endswith(STEM)}
+
+    def held(self, words: dict[str, int]) -> dict[str, int]:
+        few, many = sorted((self, words), key=len)
+        found = {w: words[w] for w in few if w in many}
+        if self.heads:
+            for word, n in words.items():
+                if word[:STEM_LETTERS[0]] in self.heads:
+                    for stem in stems(word):
+                        if stem in self:
+                            found[stem] = found.get(stem, 0) + n
+        return found
+
+
 @dataclass
 class Scorer:
-    """Weights of words and the logistic scale over what a text holds of them."""
+    """Weights of words and beginnings, and the logistic scale over what a text holds of them."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: Units = field(default_factory=lambda: Units({}))
     scale: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
-    def features(self, words: dict[str, int], total: int) -> list[float]:
-        """``total``: words of the text, of which ``words`` has those of the lexicon at least."""
-        few, many = sorted((self.weights, words), key=len)
-        hits = {w: words[w] for w in few if w in many}
+    def features(self, hits: dict[str, int], total: int) -> list[float]:
+        """``hits``: the units that the text holds; ``total``: its words."""
         n = sum(hits.values())
         return [1.0, max((self.weights[w] for w in hits), default=0.0), math.log1p(n), math.log1p(100 * n / max(total, 1))]
 
     def score(self, words: Counter) -> float:
-        x = np.array(self.features(words, sum(words.values())))
+        x = np.array(self.features(self.weights.held(words), sum(words.values())))
         return float(1 / (1 + np.exp(-np.clip(self.scale @ x, -30, 30))))
 
 
 def word_tables(labelled: DataFrame, model: np.ndarray) -> DataFrame:
-    """word, toxic, clean: labelled texts of each kind that hold a restored word."""
+    """word, toxic, clean: labelled texts of each kind that hold a restored word, or one with that beginning."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, label in zip(texts_of(batch), batch.column("label").to_pylist()):
-                for word in restorer.words(text):
+                words = restorer.words(text)
+                for word in {*words, *(s for w in words for s in stems(w))}:
                     counts.setdefault(word, [0, 0])[label] += 1
             clean, toxic = zip(*counts.values()) if counts else ((), ())
             yield pa.RecordBatch.from_pydict({
@@ -281,12 +334,13 @@ def _gain(toxic, clean, n_toxic, n_clean, log=np.log):
 
 
 def _candidates(labelled: DataFrame, model: np.ndarray, n_toxic: int, n_clean: int) -> list[str]:
-    """All words that tell enough about being toxic, each on its own."""
+    """All words and beginnings that tell enough about being toxic, each on its own. Whole words come first, then longer
+    beginnings: where several say the same, the first is chosen."""
     gain = _gain(F.col("toxic"), F.col("clean"), F.lit(n_toxic), F.lit(n_clean), F.log)
     rows = (
         word_tables(labelled, model).where(F.col("toxic") * n_clean > F.col("clean") * n_toxic)
         .select("word", gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN)
-        .orderBy(F.desc("gain"), "word").collect())
+        .orderBy(F.col("word").endswith(STEM), F.desc(F.length("word")), "word").collect())
     return [r["word"] for r in rows]
 
 
@@ -333,29 +387,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[np.ndarray, Scorer]:
     """Letter model of all ``docs``; scorer from ``labels`` (doc_id, label 0 or 1).
 
-    The scorer learns from a sample of ``rows`` labelled rows at most, those with the
-    smallest hashes of their ids. Rows with a null id or label are not learned from. Copies of a text count once, as
-    toxic if one of them is.
+    The scorer learns from a sample of ``rows`` labelled ids at most, those with the
+    smallest hashes, and from one text of each, the smallest if an id is repeated. Rows with a null id or label are
+    not learned from. Copies of a text count once, as toxic if one of them is.
     """
     model = letter_model(docs)
     chosen = (
         labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    labelled = settle(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy(
-        "text").agg(F.max("label").cast("int").alias("label")), "labelled")
+    one_each = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy(
+        "doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    labelled = settle(one_each.groupBy("text").agg(F.max("label").cast("int").alias("label")), "labelled")
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     scorer = Scorer()
     if not sizes:
         return model, scorer
     candidates = _candidates(labelled, model, sizes.get(1, 0), sizes.get(0, 0))
 
-    numbers = {word: i for i, word in enumerate(candidates)}
+    numbers = Units({word: i for i, word in enumerate(candidates)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
             words = [restorer.words(t) for t in texts_of(batch)]
-            held = [sorted((numbers[x], n) for x, n in w.items() if x in numbers) for w in words]
+            held = [sorted((numbers[x], n) for x, n in numbers.held(w).items()) for w in words]
             yield pa.RecordBatch.from_pydict({
                 "label": batch.column("label"), "key": batch.column("key"),
                 "total": pa.array([sum(w.values()) for w in words], pa.int64()),
@@ -369,7 +424,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tupl
     toxic, total = sample["label"].to_numpy() == 1, sample["total"].to_numpy()
     of_row = np.repeat(np.arange(len(toxic)), pc.list_value_length(sample["held"]).to_numpy())
     held, times = (pc.list_flatten(sample[c]).to_numpy() for c in ("held", "times"))
-    scorer.weights = _choose(candidates, of_row, held, toxic)
+    scorer.weights = Units(_choose(candidates, of_row, held, toxic))
     chosen_words: list[dict[str, int]] = [{} for _ in range(len(toxic))]
     for at in np.flatnonzero(np.array([w in scorer.weights for w in candidates], bool)[held]).tolist():
         chosen_words[of_row[at]][candidates[held[at]]] = int(times[at])
@@ -397,7 +452,7 @@ def score(docs: DataFrame, model: np.ndarray, scorer: Scorer, threshold: float =
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "score": scores,
                 "predicted": pa.array((scores >= threshold) & learned).cast(pa.int32()),
-                "n_hits": pa.array([sum(n for x, n in w.items() if x in s.weights) for w in words], pa.int64())})
+                "n_hits": pa.array([sum(s.weights.held(w).values()) for w in words], pa.int64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_batch(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, predicted int, n_hits long")
