@@ -207,3 +207,13 @@ def test_one_id_in_many_rows_is_learned_from_once(spark):
     model, scorer = toxicity.train(docs, labels)
     again = toxicity.train(docs.where("doc_id > 1 or text = 'text number 0 scum'"), labels)[1]
     assert scorer.weights == again.weights and (scorer.scale == again.scale).all()
+
+
+def test_quality_learns_from_one_row_of_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text {i} of many rows") for i in range(50_000)] + [(8, "other"), (9, None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 0), (9, 0), (10, 1)], LABELS)
+    seen, grow = [], quality.grow
+    monkeypatch.setattr(quality, "grow", lambda x, y: seen.append((x.shape, sorted(y))) or grow(x, y))
+    quality.train(docs, labels)
+    assert seen == [((3, len(quality.FEATURES)), [0.0, 0.0, 1.0])]

@@ -137,23 +137,25 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Trees:
     """Trees from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``.
 
-    From a sample of ``rows`` labelled rows at most, those with the smallest hashes of
-    their ids, whose statistics come to the driver. Rows with a null id or label are not
-    learned from; of several labels of an id the larger holds.
+    From a sample of ``rows`` labelled ids at most, those with the smallest hashes, and one text of each: the
+    statistics of that many texts come to the driver. Rows with a null id or label are not
+    learned from; of several labels of an id the larger holds, of several texts the one whose statistics are smallest.
     """
     chosen = (
         labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", F.col("label").cast("int").alias("label"))
+        "doc_id", "text", F.col("label").cast("int").alias("label"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({
-                "label": batch.column("label"),
+                "doc_id": batch.column("doc_id"), "label": batch.column("label"),
                 "x": pa.array([statistics(t) for t in texts_of(batch)], pa.list_(pa.float64()))})
 
-    table = by_batch(labelled, work, "label int, x array<double>").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    described = by_batch(labelled, work, f"doc_id {kind}, label int, x array<double>")
+    table = described.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).toArrow()
     if not table.num_rows:
         return grow(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.array(table["x"].to_pylist()), table["label"].to_numpy().astype(float)
