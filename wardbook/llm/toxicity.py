@@ -218,6 +218,8 @@ class Restorer(dict):
         return words
 
     def read(self, token: str) -> tuple[str, ...]:
+        if token.isascii() and token.isalpha() and not _REPEATED.search(token):
+            return (token,)
         if not token.isascii() and _LATIN.search(token):
             token = token.translate(LOOK_ALIKE_LETTERS)
         lead, core = _core(token)
@@ -246,12 +248,16 @@ class Restorer(dict):
     def words(self, text: str) -> Counter:
         """Restored words of a text with their numbers."""
         lower = folded(text)
-        tokens = Counter(lower.split())
         found: Counter = Counter()
-        for token, n in tokens.items():
+        get, single, parted = found.get, 0, False
+        for token, n in Counter(lower.split()).items():
             for word in self[token]:
-                found[word] += n
-        if sum(n for t, n in tokens.items() if len(t) == 1) >= 3 or any(len(t) > 4 and t[1] in SEPARATORS for t in tokens):
+                found[word] = get(word, 0) + n
+            if len(token) == 1:
+                single += n
+            elif token[1] in SEPARATORS and len(token) > 4:
+                parted = True
+        if single >= 3 or parted:
             for match in _SPACED.finditer(lower):
                 if len(match.group().split()) == 1:
                     continue  # a token, which is counted already
@@ -298,9 +304,9 @@ class Scorer:
         n = sum(hits.values())
         return [1.0, max((self.weights[w] for w in hits), default=0.0), math.log1p(n), math.log1p(100 * n / max(total, 1))]
 
-    def score(self, words: Counter) -> float:
-        x = np.array(self.features(self.weights.held(words), sum(words.values())))
-        return float(1 / (1 + np.exp(-np.clip(self.scale @ x, -30, 30))))
+    def score(self, hits: dict[str, int], total: int) -> float:
+        margin = sum(w * x for w, x in zip(self.scale.tolist(), self.features(hits, total)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, margin))))
 
 
 def word_tables(labelled: DataFrame, model: np.ndarray) -> DataFrame:
@@ -448,11 +454,12 @@ def score(docs: DataFrame, model: np.ndarray, scorer: Scorer, threshold: float =
         restorer = Restorer(letters)
         for batch in batches:
             words = [restorer.words(t) for t in texts_of(batch)]
-            scores = np.array([s.score(w) for w in words], np.float64)
+            hits = [s.weights.held(w) for w in words]
+            scores = np.array([s.score(h, sum(w.values())) for h, w in zip(hits, words)], np.float64)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "score": scores,
                 "predicted": pa.array((scores >= threshold) & learned).cast(pa.int32()),
-                "n_hits": pa.array([sum(s.weights.held(w).values()) for w in words], pa.int64())})
+                "n_hits": pa.array([sum(h.values()) for h in hits], pa.int64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return by_batch(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, predicted int, n_hits long")
