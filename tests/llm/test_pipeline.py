@@ -65,7 +65,7 @@ def test_stages_on_awkward_rows_and_empty_tables(spark):
 
 def test_registration():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(ORACLE) <= set(contract.oracle_sql())
     assert "pipeline" not in contract.oracle_sql()
