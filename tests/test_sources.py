@@ -141,3 +141,30 @@ def test_a_month_opens_the_files_of_that_month(spark, hospital, tmp_path):
     report = analytics.busy_supervisors({**loaded, "supervisor": every["supervisor"]}, *map(int, months[0].split("-")), 0)
     assert sorted(report.collect()) == sorted(
         analytics.busy_supervisors(every, *map(int, months[0].split("-")), 0).collect())
+
+
+def _below_join(df, key: str) -> str:
+    """The part of the plan below the sort-merge join on ``key``."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    at = next(i for i, line in enumerate(lines) if f"SortMergeJoin [{key}#" in line)
+    after = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+    return "\n".join(lines[at + 1:after])
+
+
+def test_bucketed_facts_join_without_an_exchange(spark, hospital):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bucketed = export.write_bucketed({name: hospital[name] for name in ("encounter", "performed")}, buckets=3)
+        for name, table in bucketed.items():
+            assert sorted(table.collect(), key=repr) == sorted(hospital[name].collect(), key=repr)
+        report = analytics.mean_wait_by_unit({**hospital, **bucketed})
+        plain = analytics.mean_wait_by_unit(hospital)
+        assert report.collect() == plain.collect() != []
+        assert "Exchange" in _below_join(plain, "encounter_id")
+        below = _below_join(report, "encounter_id")
+        assert "Exchange" not in below and below.count("FileScan") == 2 and "SelectedBucketsCount: 3 out of 3" in below
+        empty = export.write_bucketed({"performed": hospital["performed"].limit(0)})
+        assert analytics.mean_wait_by_unit({**hospital, **empty}).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -684,5 +684,7 @@ _RAW = {
                {mean('sum(CAST(floor(value) AS BIGINT))', 'count(*)')} AS mean_minutes
         FROM events WHERE floor(value) >= 10 GROUP BY event_type""",
 }
+for _report in ("E6_mean_wait_by_unit", "E12_high_risk_share_by_resident"):
+    _BOUND[f"{_report}_bucketed"] = _BOUND[_report]
 
 ORACLE: dict[str, str] = {**{name: BINDINGS + sql for name, sql in _BOUND.items()}, **_RAW}

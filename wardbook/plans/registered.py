@@ -29,7 +29,7 @@ from wardbook.sources.bindings import (
     roster_requests,
     whole,
 )
-from wardbook.sources.export import export_result, plain_numbers, write_hospital
+from wardbook.sources.export import export_result, plain_numbers, write_bucketed, write_hospital
 from wardbook.sources.load import load_hospital, load_tables, register_views, row_counts
 from wardbook.streaming import jobs
 
@@ -704,6 +704,17 @@ def e11(spark: SparkSession, d: str) -> DataFrame:
 on_orders("E12_high_risk_share_by_resident", analytics.high_risk_share_by_resident)
 
 
+def bucketed_clinic(spark: SparkSession, d: str) -> ChainMap:
+    """Encounters and performed procedures are written in buckets of their encounter."""
+    t = orders_clinic(spark, d)
+    return ChainMap(write_bucketed({name: t[name] for name in ("encounter", "performed")}), t)
+
+
+query("E6_mean_wait_by_unit_bucketed")(lambda spark, d: analytics.mean_wait_by_unit(bucketed_clinic(spark, d)))
+query("E12_high_risk_share_by_resident_bucketed")(
+    lambda spark, d: analytics.high_risk_share_by_resident(bucketed_clinic(spark, d)))
+
+
 @query("E13_dashboard_kpis")
 def e13(spark: SparkSession, d: str) -> DataFrame:
     return analytics.dashboard_kpis(orders_clinic(spark, d), ORDERS_AS_OF, duty_clinic(spark, d))

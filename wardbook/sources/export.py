@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardbook.model import HOSPITAL, MONTHLY, Table
+from wardbook.session import new_run_dir
 from wardbook.sources.load import MONTH, to_stored
 
 FORMATS = ("json", "csv", "parquet")
@@ -61,3 +63,28 @@ def write_hospital(
             by_month.hint("rebalance", MONTH).write.mode(mode).partitionBy(MONTH).parquet(target)
         else:
             stored.write.mode(mode).parquet(target)
+
+
+def write_bucketed(
+    tables: Mapping[str, DataFrame],
+    key: str = "encounter_id",
+    buckets: int | None = None,
+    database: str | None = None,
+) -> dict[str, DataFrame]:
+    """The tables as catalogue tables bucketed and sorted by ``key``, in the shared folder: joins and aggregates on the
+    key need no exchange.
+
+    ``buckets`` is the same for all of them, by default the session's number of shuffle partitions. One task reads a
+    bucket, and a bucket cannot be split, so ``key`` has to be one whose rows are bounded, as those of an encounter are by
+    the catalogue of procedures. Rows are dealt out by the key first, so that a bucket is one file. The tables have new
+    names in ``database`` (the current one if not given) and can be dropped without losing the files.
+    """
+    made = {}
+    for name, df in tables.items():
+        spark = df.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = ".".join(filter(None, (database, f"{name}_{uuid.uuid4().hex}")))
+        (df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+         .option("path", new_run_dir(spark, f"bucketed/{name}")).saveAsTable(table))
+        made[name] = spark.table(table)
+    return made
