@@ -34,8 +34,8 @@ def brute(doc, text):
             dice = 2 * len(a & b) / (len(a) + len(b)) if a else 0
             if dice >= 0.8:
                 found[name] = max(found.get(name, 0), dice)
-    best = min(((-d, n) for n, d in found.items()), default=(0.0, None))
-    return doc, best[1], -best[0] + 0.0, ",".join(sorted(found))
+    best = min(((-d, -len(bigrams(TEMPLATES[n])), n) for n, d in found.items()), default=(0.0, 0, None))
+    return doc, best[2], -best[0] + 0.0, ",".join(sorted(found))
 
 
 def test_query_against_its_twin(spark):
@@ -76,11 +76,20 @@ def test_notices_inside_lines_and_texts_in_comment_blocks(spark):
     found = as_rows(licenses.scan(docs))
     assert found == sorted((brute(i, t) for i, t in enumerate(texts)), key=repr)
     assert all(names[row[0]] in row[3].split(",") for row in found)
-    # A part of a longer licence is reported beside it, the longer one has the higher or an equal coefficient.
+    # Of a licence and a part of it, both found whole, the licence is named.
+    assert {row[1] for row in found if texts[row[0]] in TEMPLATES.values()} == set(TEMPLATES)
     assert all(anchors(t) for t in TEMPLATES.values())
     assert licenses.scan(spark.createDataFrame([(1, filler * 20)], "doc_id long, text string")).first()["license"] is None
 
 
+def test_units_without_needed_words_cannot_match():
+    for template in TEMPLATES.values():
+        needed, grams = licenses.needed_words(template, 0.8), bigrams(template)
+        left = [g for g in grams if needed.isdisjoint(g.split())]
+        # The best set without any of these words has no other bigrams than the template's.
+        assert 2 * len(left) / (len(left) + len(grams)) < 0.8
+
+
 def test_further_templates_come_from_a_folder(spark, tmp_path):
     long_text = " ".join(f"clause {i} says word{i} and word{i * 7 % 100}" for i in range(600))
     (tmp_path / "house-1.0").write_text(long_text)

@@ -162,6 +162,22 @@ def anchors(text: str) -> dict[str, int]:
     return {" ".join(p): i for i, p in reversed(chosen)}
 
 
+def needed_words(text: str, threshold: float) -> set[str]:
+    """Words of a template of which any unit that reaches ``threshold`` against it has at least one.
+
+    Such a unit shares the part threshold / (2 - threshold) of the template's bigrams; words are chosen, ``MARKERS`` and long
+    ones first, until more bigrams than may be missing have one of them.
+    """
+    grams = [set(g.split()) for g in bigrams(text)]
+    may_miss = len(grams) * (1 - threshold / (2 - threshold)) + 1e-9
+    chosen: set[str] = set()
+    for word in sorted(set().union(*grams), key=lambda w: (w not in MARKERS, -len(w), w)):
+        if sum(not chosen.isdisjoint(g) for g in grams) > may_miss:
+            break
+        chosen.add(word)
+    return chosen
+
+
 def _bounds(size: Column | int, threshold: float) -> tuple:
     """Sizes of a set that may reach the threshold against one of ``size``."""
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
@@ -176,7 +192,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     """doc_id, license, dice, licenses of every row.
 
     license is the template with the highest coefficient of any unit (line, paragraph, window, whole text), of equal
-    ones the first by name, and dice that coefficient; licenses has all templates that
+    ones the larger one, then the first by name, and dice that coefficient; licenses has all templates that
     reach ``threshold``, comma-joined by name. Without any, null, 0 and the empty
     string. Null and empty texts, and units of fewer than two words, match
     nothing, nor does a template of fewer than two words. Rows are independent; other columns are not looked at.
@@ -192,6 +208,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
         for gram, at in anchors(text).items():
             placed.setdefault(gram, []).append({"at": at, "n": len(words_in(text))})
     first_words = sorted({gram.split()[0] for gram in placed})
+    marks = _literal(first_words, "array<string>")
+    needed = _literal(sorted(set().union(*(needed_words(templates[name], threshold) for name in sets))), "array<string>")
     places = _literal(placed, "map<string, array<struct<at: int, n: int>>>")
     least = min(_bounds(len(g), threshold)[0] for g in sets.values())
     most = max(_bounds(len(g), threshold)[1] for g in sets.values())
@@ -210,7 +228,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
         near = F.filter(known, lambda t: (F.size(t["grams"]) >= low) & (F.size(t["grams"]) <= high))
         scored = F.transform(near, lambda t: F.struct(
             (-2.0 * F.size(F.array_intersect(t["grams"], grams)) / (F.size(t["grams"]) + n)).alias("minus_dice"),
-            t["name"].alias("name")))
+            (-F.size(t["grams"])).alias("minus_size"), t["name"].alias("name")))
         return F.filter(scored, lambda m: m["minus_dice"] <= -threshold)
 
     def windows(words: Column) -> Column:
@@ -227,16 +245,21 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
         return F.flatten(F.transform(windows(words), lambda w: F.flatten(F.transform(F.transform(F.array(
             F.slice(words, F.shiftright(w, 20).cast("int"), (w % (1 << 20)).cast("int"))), grams_of), matches))))
 
+    def in_units(units: Column) -> Column:
+        # A set of bigrams has one less than the distinct words at least, and one less than the words at most.
+        possible = F.filter(units, lambda w: (F.size(w) > 1) & (F.size(w) - 1 >= least) & F.arrays_overlap(w, needed) & (
+            F.size(F.array_distinct(w)) - 1 <= most))
+        return F.flatten(F.transform(F.transform(possible, grams_of), matches))
+
+    def in_text(units: Column) -> Column:
+        whole = units[0]
+        return F.concat(in_units(units), F.when(F.arrays_overlap(whole, marks), in_windows(whole)).otherwise(
+            F.array().cast("array<struct<minus_dice: double, minus_size: int, name: string>>")))
+
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = text.rlike("(?i)(?<![A-Za-z0-9])(" + "|".join(first_words) + ")[^A-Za-z0-9]")
-    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
-    # A set of bigrams has one less than the distinct words at least, and one less than the words at most.
-    words = F.filter(F.transform(units, words_of), lambda w: (F.size(w) > 1) & (F.size(w) - 1 >= least) & (
-        F.size(F.array_distinct(w)) - 1 <= most))
-    in_units = F.flatten(F.transform(F.transform(words, grams_of), matches))
-    no_words = F.array().cast("array<array<string>>")
-    inside = F.flatten(F.transform(F.when(marked, F.array(words_of(text))).otherwise(no_words), in_windows))
-    found = docs.select("doc_id", F.concat(in_units, inside).alias("m"))
+    units = F.array_distinct(F.concat(F.array(text), F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n")))
+    # Words are the variable of a lambda, so that they are made once.
+    found = docs.select("doc_id", F.flatten(F.transform(F.array(F.transform(units, words_of)), in_text)).alias("m"))
     best = F.array_min("m")
     return found.select(
         "doc_id", best["name"].alias("license"), F.coalesce(-best["minus_dice"], F.lit(0.0)).alias("dice"),
@@ -269,10 +292,10 @@ def oracle_sql(templates: Mapping[str, str] = TEMPLATES, threshold: float = THRE
                           FROM dp JOIN anchor USING (gram))),
         ug AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, w FROM uw UNION ALL SELECT doc_id, w FROM windows)
                WHERE len(w) > 1),
-        m AS (SELECT doc_id, name, 2.0::DOUBLE * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) AS dice
+        m AS (SELECT doc_id, name, len(tg.g) AS size, 2.0::DOUBLE * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) AS dice
               FROM ug, tg),
-        k AS (SELECT doc_id, name, max(dice) AS dice FROM m WHERE dice >= {threshold}::DOUBLE GROUP BY doc_id, name),
-        b AS (SELECT doc_id, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice,
+        k AS (SELECT doc_id, name, max(size) AS size, max(dice) AS dice FROM m WHERE dice >= {threshold}::DOUBLE GROUP BY doc_id, name),
+        b AS (SELECT doc_id, first(name ORDER BY dice DESC, size DESC, name) AS license, max(dice) AS dice,
                      string_agg(name, ',' ORDER BY name) AS licenses FROM k GROUP BY doc_id)
         SELECT d.doc_id, b.license, coalesce(b.dice, 0.0::DOUBLE) AS dice, coalesce(b.licenses, '') AS licenses
         FROM d LEFT JOIN b USING (doc_id)
