@@ -4,6 +4,7 @@ import re
 
 import pandas as pd
 
+from tests.compare import connect, differences
 from tests.llm.helpers import DIRECTORY, as_rows, awkward, documents, empty, sha
 from wardbook.llm import decontaminate, queries
 
@@ -70,3 +71,9 @@ def test_awkward_rows_and_empty_tables(spark):
     assert decontaminate.contamination(empty(spark), items).count() == 0
     none = decontaminate.contamination(docs, items.limit(0))
     assert none.where("contaminated").count() == 0 and none.count() == docs.count()
+
+
+def test_query_against_its_twin(spark):
+    result = queries.op7_decontamination(spark, DIRECTORY)
+    assert differences(result, connect(DIRECTORY), queries.ORACLE["op7_decontamination"]) == []
+    assert 0 < result.where("contaminated").count() < result.count()

@@ -4,6 +4,9 @@ import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from tests.compare import connect, differences
 from tests.llm.helpers import DIRECTORY, as_rows, awkward, documents, empty, sha
 from wardbook.llm import queries, substring_dedup
 from wardbook.llm.substring_dedup import COVER, PERIOD
@@ -40,6 +43,50 @@ def test_query_on_the_test_tables(spark):
     assert any(r[2] for r in expected)
 
 
+def test_query_against_its_twin(spark):
+    result = queries.op3_substring_dedup(spark, DIRECTORY)
+    assert differences(result, connect(DIRECTORY), queries.ORACLE["op3_substring_dedup"]) == []
+
+
+def test_answers_hold_when_the_rows_of_the_join_come_in_another_order(spark, monkeypatch):
+    """A task that runs again after a broadcast join over shuffled rows may read them in another order."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"own{i} {passage} {i} end") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    orders = []
+    whole_join = type(docs).join
+
+    def shuffled(self, other, on=None, how=None):
+        joined = whole_join(self, other, on, how)
+        if how is None and on == ["__llm_id", "__llm_hash"]:
+            orders.append(len(orders))
+            return joined.coalesce(1).sortWithinPartitions(F.xxhash64(F.lit(len(orders)), "__llm_id"))
+        return joined
+
+    monkeypatch.setattr(type(docs), "join", shuffled)
+    expected = brute(rows)
+    seen = []
+    passed = substring_dedup.by_batch
+
+    def spy(df, work, schema):
+        if schema == substring_dedup.CELL and "found" in df.columns:
+            seen.append([r["__llm_id"] for r in df.select("__llm_id").collect()])
+        return passed(df, work, schema)
+
+    monkeypatch.setattr(substring_dedup, "by_batch", spy)
+    for _ in range(2):
+        assert as_rows(substring_dedup.dedup_substrings(docs)) == expected
+    assert len(orders) == 2 and seen[0] == seen[1] == sorted(seen[0])
+
+
+def test_buckets_grow_with_the_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(50)], "doc_id long, text string")
+    assert substring_dedup._buckets(docs) == substring_dedup._buckets(empty(spark)) == 4 * 16
+    monkeypatch.setattr(substring_dedup, "BYTES_PER_BUCKET", 100)
+    assert substring_dedup._buckets(docs) == 250
+    assert as_rows(substring_dedup.dedup_substrings(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 def test_shared_passages_at_all_alignments(spark):
     rng = random.Random(7)
     passage = [f"p{i}" for i in range(60)]

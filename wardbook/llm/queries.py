@@ -87,5 +87,41 @@ ORACLE = {
                sha256(d.text) AS text_sha256
         FROM d JOIN g USING (text)
     """,
+    "op3_substring_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(
+                       string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d),
+        windows AS (SELECT r, doc_id, i, k
+                    FROM (SELECT *, word || ' ' || {following} AS k FROM p WINDOW o AS (PARTITION BY r ORDER BY i))
+                    WHERE i <= n - 12),
+        earliest AS (SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k),
+        starts AS (SELECT r, i FROM windows JOIN earliest USING (k) WHERE first_id < doc_id),
+        judged AS (SELECT p.r, p.i, p.word, count(starts.i) OVER (
+                       PARTITION BY p.r ORDER BY p.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) > 0 AS gone
+                   FROM p LEFT JOIN starts ON starts.r = p.r AND starts.i = p.i),
+        kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text
+                 FROM judged GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """.format(following=" || ' ' || ".join(f"lead(word, {j}) OVER o" for j in range(1, 13))),
     "op4_license_scans": licenses.oracle_sql(),
+    "op7_decontamination": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+        b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark),
+        items AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS k
+                  FROM b, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s(i) WHERE len(w) > 0),
+        windows AS (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+                    FROM d, (SELECT DISTINCT n FROM items), unnest(generate_series(1, len(w) - n + 1)) AS s(i)),
+        found AS (SELECT r, i, n, item_id FROM windows JOIN items USING (n, k)),
+        hits AS (SELECT r, count(DISTINCT j) AS n_hit
+                 FROM (SELECT DISTINCT r, i, n FROM found), unnest(generate_series(i, i + n - 1)) AS s(j) GROUP BY r),
+        named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+                  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+    """.format(words="""list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""),
 }

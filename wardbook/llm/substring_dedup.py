@@ -32,6 +32,7 @@ PERIOD = 7
 COVER = (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 BUCKETS_PER_TASK = 4
+BYTES_PER_BUCKET = 32 << 20  # of text; its anchors and windows take less in a cell
 
 # A cell: of one batch and bucket the hashes, and of those that want an answer the place in the batch and the
 # document. A directory: the documents of a batch by their first words.
@@ -260,18 +261,27 @@ def _found(cells: DataFrame, windows: bool) -> DataFrame:
     return found.groupBy("__llm_id", "__llm_hash").agg(F.flatten(F.collect_set("found")).alias("found"))
 
 
+def _buckets(docs: DataFrame) -> int:
+    """As many as the text needs, so that a bucket does not grow with the data, and some for each task."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(BUCKETS_PER_TASK * tasks, -(-size // BYTES_PER_BUCKET))
+
+
 def removed_windows(docs: DataFrame) -> DataFrame:
     """The texts of ``docs`` by row key, with found: windows that start in a smaller document too.
 
     Both joins take the same columns of the texts, so that they share one shuffle of them. The key of a row
-    without an id may be that of another row; such rows are known by __llm_null.
+    without an id may be that of another row; such rows are known by __llm_null. Answers point at places in
+    batches, so that a task that runs again has to cut the same batches: ``docs`` is a table as it is read (or
+    gives its rows in the same order each time), and what the join gives is put in order by key, whichever kind of join it is.
     """
-    buckets = BUCKETS_PER_TASK * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = _buckets(docs)
     keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumns(row_key(docs, text_hash()))
     keyed = keyed.withColumn("__llm_id", F.col("__llm_id").cast("long"))
     keys = ["__llm_id", "__llm_hash"]
     shared = _found(by_batch(keyed, _ask_anchors(buckets), CELL), False)
-    asked = by_batch(keyed.join(shared, keys), _ask_windows(buckets), CELL)
+    asked = by_batch(keyed.join(shared, keys).sortWithinPartitions(*keys), _ask_windows(buckets), CELL)
     return keyed.join(_found(asked, True), keys, "left")
 
 
