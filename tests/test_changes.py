@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -76,6 +77,72 @@ def test_moves_of_overlapping_history(frame):
     assert as_set(table) == as_set(base)
 
 
+def one_by_one(base, moves):
+    """The same moves on a list of rows, one after the other."""
+    table, outcome = [dict(r) for r in base], {}
+    for number, who, *slots in sorted(moves):
+        if None in (who, *slots):
+            outcome[number] = ("incomplete", 0)
+            continue
+        origin, target = tuple(slots[:2]), tuple(slots[2:])
+        mine = [r for r in table if r["resident_id"] == who]
+        leaving = [r for r in mine if (r["weekday"], r["turn"]) == origin]
+        standing = [r for r in mine if (r["weekday"], r["turn"]) == target]
+        units = {r["unit_id"] for r in leaving}
+        if leaving and units & {r["unit_id"] for r in standing}:
+            outcome[number] = ("conflict_same_unit", 0)
+        elif leaving and (standing or len(units) > 1):
+            outcome[number] = ("conflict_other_unit", 0)
+        else:
+            outcome[number] = ("moved", len(leaving))
+            for r in leaving:
+                r["weekday"], r["turn"] = target
+    return {tuple(r.values()) for r in table}, outcome
+
+
+STANDING = "roster_id int, unit_id string, weekday string, turn string, resident_id string"
+
+
+@pytest.mark.parametrize("seed_number", [1, 2, 3])
+def test_moves_in_order_equal_a_simulation(spark, frame, seed_number):
+    """A third of all moves are one resident's; some lack a value, some slots hold several rows and units."""
+    pick = random.Random(seed_number)
+    days, turns = ["segunda", "terca", "quarta", None], ["manha", "tarde"]
+
+    def slot():
+        return pick.choices(days, [6, 6, 6, 1])[0], pick.choice(turns)
+
+    def resident():
+        return pick.choices(["hot", None, *(f"r{i}" for i in range(8))], [6, 1] + [1] * 8)[0]
+
+    base = [(i, pick.choice(["u1", "u2", None]), *slot(), resident()) for i in range(25)]
+    moves = [(i, resident(), *slot(), *slot()) for i in range(300)]
+    given = frame(STANDING, *base)
+    result = changes.move_roster_in_order(given, frame(MOVE, *moves).withColumn("note", F.lit("x")))
+    table, outcome = one_by_one([r.asDict() for r in given.collect()], moves)
+    assert as_set(result.table) == table
+    assert {r["request_id"]: (r["status"], r["moved"]) for r in result.outcome.collect()} == outcome
+    assert result.outcome.columns[-3:] == ["note", "status", "moved"]
+    assert {s for s, _ in outcome.values()} == {"moved", "incomplete", "conflict_same_unit", "conflict_other_unit"}
+
+
+def test_moves_in_order_follow_each_other(frame):
+    base = frame(STANDING, (1, "u1", "segunda", "manha", "r"), (2, "u2", "terca", "manha", "r"))
+    swap = [("segunda", "sexta"), ("terca", "segunda"), ("sexta", "terca"), ("sexta", "quarta")]
+    moves = frame(MOVE, *((i, "r", a, "manha", b, "manha") for i, (a, b) in enumerate(swap)))
+    result = changes.move_roster_in_order(base, moves)
+    assert {r["request_id"]: r["moved"] for r in result.outcome.collect()} == {0: 1, 1: 1, 2: 1, 3: 0}
+    assert as_set(result.table.select("roster_id", "weekday")) == {(1, "terca"), (2, "segunda")}
+
+
+def test_moves_in_order_of_empty_tables(frame):
+    base, moves = frame(STANDING, (1, "u1", "segunda", "manha", "r")), frame(MOVE, (1, "r", "segunda", "manha", "terca", "tarde"))
+    none = changes.move_roster_in_order(base, moves.limit(0))
+    assert as_set(none.table) == as_set(base) and rows(none.outcome) == []
+    nobody = changes.move_roster_in_order(base.limit(0), moves)
+    assert rows(nobody.table) == [] and rows(nobody.outcome.select("status", "moved")) == [("moved", 0)]
+
+
 def test_diff_audit(hospital):
     old = hospital["encounter"]
     longer = F.when(F.col("encounter_id") == E1, F.col("minutes") + 5).otherwise(F.col("minutes"))

@@ -48,6 +48,7 @@ OUTCOMES = {
     "B14_assign_roster": {"accepted", "unit_not_found", "duplicate_slot", "overlap"},
     "C2_delete_performed": {"deleted", "blocked_billed", "not_found"},
     "C3_move_roster": {"moved", "conflict_same_unit", "conflict_other_unit", "ambiguous"},
+    "C3_move_roster_in_order": {"moved", "conflict_same_unit", "conflict_other_unit"},
     "C6_delete_with_actions": {"deleted", "blocked", "not_found"},
     "C7_change_roles": {"changed", "blocked_subtype", "unchanged"},
     "F3_stream_roster": {"accepted", "duplicate_slot", "overlap"},

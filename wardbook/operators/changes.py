@@ -6,10 +6,11 @@ what became of every request.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,6 +135,92 @@ def move_roster(base: DataFrame, moves: DataFrame, order: str = "request_id") ->
     return Moved(table, outcome)
 
 
+ORIGIN, DESTINATION = ("from_weekday", "from_turn"), ("to_weekday", "to_turn")
+
+
+def move_roster_in_order(base: DataFrame, moves: DataFrame, order: str = "request_id") -> Moved:
+    """As ``move_roster``, but any number of moves a resident: each finds the roster as the moves before it left it.
+
+    Only residents that are moved are looked at, one task each, in the order of their moves: what a move finds depends on
+    all before it. Spark sorts (and spills) the moves; the task holds where the rows of one resident's slots are, a week
+    of turns at most, however many moves there are. All rows of a slot move together or not at all, so a slot of the
+    table as it was has one place at the end, and the table is joined with those alone.
+
+    * ``incomplete``: NULL in the resident, the origin or the destination; moves nothing;
+    * ``moved``, ``conflict_same_unit``, ``conflict_other_unit``: as in ``move_roster``, judged at the move's turn.
+
+    Ids of moves must be unique. Rows of the roster with a NULL resident, weekday or turn stay as they are.
+    """
+    slot = ("weekday", "turn")
+    complete = moves.dropna(subset=["resident_id", *ORIGIN, *DESTINATION])
+    who = splittable(distinct_keys(complete, "resident_id"))
+    nothing = {"unit_id": base.schema["unit_id"].dataType, order: moves.schema[order].dataType}
+    standing = (
+        base.dropna(subset=["resident_id", *slot]).join(who, "resident_id", "left_semi")
+        .groupBy("resident_id", *slot, "unit_id").agg(F.count("*").alias("rows"))
+        .select("resident_id", F.lit(None).cast(nothing[order]).alias(order), F.col("weekday").alias(ORIGIN[0]),
+                F.col("turn").alias(ORIGIN[1]), *(F.lit(None).cast("string").alias(c) for c in DESTINATION),
+                "unit_id", "rows"))
+    asked = complete.select("resident_id", order, *ORIGIN, *DESTINATION,
+                            F.lit(None).cast(nothing["unit_id"]).alias("unit_id"), F.lit(None).cast("long").alias("rows"))
+    walked = T.StructType([
+        T.StructField("resident_id", base.schema["resident_id"].dataType), T.StructField(order, nothing[order]),
+        *(T.StructField(c, T.StringType()) for c in (*ORIGIN, *DESTINATION, "status")), T.StructField("moved", T.LongType())])
+    # Of a resident the standing rows, which have no id, come first.
+    in_order = standing.unionByName(asked).repartition("resident_id").sortWithinPartitions(
+        "resident_id", F.col(order).asc_nulls_first())
+    found = written(in_order.mapInArrow(_walk(order, walked), walked), "walked_moves")
+    judged = found.where("status is not null").select(order, F.col("status").alias("_status"), "moved")
+    outcome = moves.join(judged, order, "left").select(
+        *moves.columns, F.coalesce("_status", F.lit("incomplete")).alias("status"), F.coalesce("moved", F.lit(0)).alias("moved"))
+    places = found.where("status is null").select(
+        "resident_id", F.col(ORIGIN[0]).alias("weekday"), F.col(ORIGIN[1]).alias("turn"), *DESTINATION)
+    table = base.join(splittable(places), ["resident_id", *slot], "left").select(*(
+        F.coalesce(f"to_{c}", c).alias(c) if c in slot else F.col(c) for c in base.columns))
+    return Moved(table, outcome)
+
+
+def _walk(order: str, schema: T.StructType):
+    """Rows of a resident in order -> the verdict of each move, and for each slot that ends elsewhere its place."""
+    names = schema.names
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident, held = None, {}  # slot -> the slot where its rows were at first, their units and number
+
+        def places() -> list[tuple]:
+            return [(resident, None, *was, *now, None, None) for now, (was, _, _) in held.items() if was != now]
+
+        types = None
+        for batch in batches:
+            types = types or [batch.schema.field(c).type for c in names[:-2]] + [pa.string(), pa.int64()]
+            out = []
+            for who, number, day, turn, to_day, to_turn, unit, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                if who != resident:
+                    out += places()
+                    resident, held = who, {}
+                here, there = (day, turn), (to_day, to_turn)
+                if rows is not None:
+                    _, units, n = held.get(here, (here, frozenset(), 0))
+                    held[here] = here, units | {unit}, n + rows
+                    continue
+                leaving, standing = held.get(here), held.get(there)
+                status, moved = "moved", 0
+                if leaving and standing and leaving[1] & standing[1]:
+                    status = "conflict_same_unit"
+                elif leaving and (standing or len(leaving[1]) > 1):
+                    status = "conflict_other_unit"
+                elif leaving:
+                    held[there] = held.pop(here)
+                    moved = leaving[2]
+                out.append((who, number, *here, *there, status, moved))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+        if out := places():
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return work
+
+
 def _digest(columns: list[T.StructField]) -> list[Column]:
     """128 bits of a row's values: two hashes of other beginnings. Which values are NULL is hashed too, since Spark's hash
     passes over a NULL; nested values are hashed as JSON for the same reason."""

@@ -285,6 +285,44 @@ def _roster_outcome(batch: str, standing: str, unknown_unit: str) -> str:
     """
 
 
+def _moves_in_order(select: str) -> str:
+    """Move by move: what a resident holds is a list of slots with their first and their present place."""
+    return f"""
+    SELECT * FROM (
+        WITH RECURSIVE slot AS (
+            SELECT resident_id, weekday, turn, count(*) AS rows, list(DISTINCT unit_id) AS units
+            FROM standing GROUP BY resident_id, weekday, turn
+        ), step AS (
+            SELECT resident_id, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS request_id,
+                   CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS moved,
+                   list({{'was': weekday || '/' || turn, 'now': weekday || '/' || turn, 'rows': rows, 'units': units}})
+                       AS held
+            FROM slot GROUP BY resident_id
+            UNION ALL
+            SELECT resident_id, place, request_id, status, CASE WHEN goes THEN leaving.rows ELSE 0 END,
+                   CASE WHEN goes THEN list_transform(held, lambda x: {{
+                       'was': x.was, 'now': CASE WHEN x.now = origin THEN destination ELSE x.now END,
+                       'rows': x.rows, 'units': x.units}}) ELSE held END
+            FROM (
+                SELECT *, status = 'moved' AND leaving IS NOT NULL AS goes
+                FROM (
+                    SELECT *, CASE
+                        WHEN leaving IS NULL THEN 'moved'
+                        WHEN target IS NOT NULL AND list_has_any(leaving.units, target.units) THEN 'conflict_same_unit'
+                        WHEN target IS NOT NULL OR len(leaving.units) > 1 THEN 'conflict_other_unit'
+                        ELSE 'moved' END AS status
+                    FROM (
+                        SELECT s.resident_id, m.place, m.request_id, s.held,
+                               m.from_weekday || '/' || m.from_turn AS origin,
+                               m.to_weekday || '/' || m.to_turn AS destination,
+                               list_filter(s.held, lambda x: x.now = m.from_weekday || '/' || m.from_turn)[1] AS leaving,
+                               list_filter(s.held, lambda x: x.now = m.to_weekday || '/' || m.to_turn)[1] AS target
+                        FROM step s JOIN move m ON m.resident_id = s.resident_id AND m.place = s.place + 1)))
+        ), ends AS (
+            SELECT resident_id, unnest(arg_max(held, place)) AS slot FROM step GROUP BY resident_id)
+        {select})"""
+
+
 SHA = "sha256(concat_ws(chr(31), {}))"
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -441,6 +479,14 @@ _BOUND = {
                coalesce(m.to_weekday, s.weekday) AS weekday, coalesce(m.to_turn, s.turn) AS turn
         FROM standing s LEFT JOIN move_outcome m ON m.status = 'moved' AND m.resident_id = s.resident_id
          AND m.from_weekday = s.weekday AND m.from_turn = s.turn""",
+    "C3_move_roster_in_order": _moves_in_order("""
+        SELECT m.request_id, m.resident_id, from_weekday, from_turn, to_weekday, to_turn,
+               coalesce(s.status, 'moved') AS status, coalesce(s.moved, 0) AS moved
+        FROM move m LEFT JOIN step s ON s.request_id = m.request_id"""),
+    "C3_move_roster_in_order_table": _moves_in_order("""
+        SELECT s.roster_id, s.unit_id, s.resident_id, s.supervisor_id,
+               split_part(e.slot.now, '/', 1) AS weekday, split_part(e.slot.now, '/', 2) AS turn
+        FROM standing s JOIN ends e ON e.resident_id = s.resident_id AND e.slot.was = s.weekday || '/' || s.turn"""),
     "C4_diff_audit": f"""
         , entry AS (
             SELECT coalesce(a.encounter_id, b.encounter_id) AS encounter_id,

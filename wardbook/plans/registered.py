@@ -490,7 +490,7 @@ def c2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return deletions(spark, d).table.select("encounter_id", "procedure_id", "minutes")
 
 
-def moves(spark: SparkSession, d: str) -> changes.Moved:
+def standing_and_moves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every event asks to move the resident's slot of that time by one to three days.
 
     Each user is two residents: one holds the slots of the units 'signup' and
@@ -509,17 +509,27 @@ def moves(spark: SparkSession, d: str) -> changes.Moved:
         "to_weekday", F.col("turn").alias("to_turn"))
     roster = duty_clinic(spark, d)["roster"]
     standing = roster.withColumn("resident_id", resident(F.col("unit_id").isin("signup", "click")))
-    return changes.move_roster(standing, requests)
+    return standing, requests
 
 
 @query("C3_move_roster")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    return moves(spark, d).outcome
+    return changes.move_roster(*standing_and_moves(spark, d)).outcome
 
 
 @query("C3_move_roster_table")
 def c3_table(spark: SparkSession, d: str) -> DataFrame:
-    return moves(spark, d).table
+    return changes.move_roster(*standing_and_moves(spark, d)).table
+
+
+@query("C3_move_roster_in_order")
+def c3_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return changes.move_roster_in_order(*standing_and_moves(spark, d)).outcome
+
+
+@query("C3_move_roster_in_order_table")
+def c3_in_order_table(spark: SparkSession, d: str) -> DataFrame:
+    return changes.move_roster_in_order(*standing_and_moves(spark, d)).table
 
 
 def order_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
