@@ -165,6 +165,36 @@ def test_rare_grams_are_left_to_the_order_below(spark):
     assert np.isfinite(langid.cross_entropies(nothing, ["the cat"])[1]).all()
 
 
+@pytest.mark.parametrize("most", [60, 1])
+def test_grams_left_out_of_the_tables_score_as_in_the_whole_model(spark, most):
+    counts = langid.gram_counts(spark.createDataFrame(CORPUS, "lang string, text string"))
+    whole, small = (langid.kneser_ney(counts, ["aa", "bb"], most=m) for m in (langid.MOST_VALUES, most))
+    assert whole.cut is None and any(any(pair) for pair in small.cut)
+    texts = [t for _, t in CORPUS] + ["ein Hut, that mat", "zzz qqq", "\u00f6 \u6f22", None, "1 2", "cat hut " * 50, "zzz qqq"]
+    docs = spark.createDataFrame([(i % 9, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+    def found(model):
+        return sorted(map(tuple, langid.identify(docs, model).collect()))
+
+    plain, exact = found(whole), found(small)
+    assert [(r[0], r[1], r[4]) for r in exact] == [(r[0], r[1], r[4]) for r in plain]
+    for a, b in zip(exact, plain):
+        assert a[2:4] == pytest.approx(b[2:4], abs=1e-5)
+
+
+def test_training_and_limits_with_tables_that_are_cut(spark, monkeypatch):
+    rows = [(i, f"{w} {w}{w} cat", lang) for i, (lang, w) in enumerate((x, y) for x in "ab" for y in ("hut", "mat", "tante", "sat"))]
+    docs = spark.createDataFrame(rows * 10, "doc_id long, text string, lang string")
+    results = []
+    for most in (langid.MOST_VALUES, 6):
+        monkeypatch.setattr(langid.kneser_ney, "__defaults__", (most,))
+        results.append((langid.train(docs), sorted(map(tuple, langid.identify(docs, langid.train(docs)).collect()))))
+    (whole, plain), (small, exact) = results
+    assert small.cut and whole.limits == pytest.approx(small.limits, abs=2 * langid.LIMIT_STEP)
+    for a, b in zip(exact, plain):
+        assert a[0] == b[0] and a[2:4] == pytest.approx(b[2:4], abs=1e-5)
+
+
 def test_three_hundred_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "SCORED_AT_ONCE", 3000)  # a text in several parts
     letters = [chr(0x61 + i % 26) + chr(0x4e00 + i) for i in range(300)]

@@ -5,14 +5,15 @@ space between words; a gram is ``ORDER`` characters. For every gram seen in any
 the model has the log probability of its last character in each language, and for
 every context the weight of what lies below; both are looked up in sorted arrays of
 64-bit hashes, one for each gram: a gram is four characters of 16 bits, and its hash mixes them without loss. A table holds
-``MOST_VALUES`` numbers at most, whatever the number of languages; beyond that the rarest grams are left to the order below.
+``MOST_VALUES`` numbers at most, whatever the number of languages. Beyond that the rarest grams stay in the written tables, and
+the characters of a text that need them are looked up there by joins, so that every score is that of the whole model.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -135,13 +136,18 @@ def gram_counts(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """By order: sorted hashes of grams with log probabilities per language, and of contexts with log weights."""
+    """By order: sorted hashes of grams with log probabilities per language, and of contexts with log weights.
+
+    ``cut`` tells by order whether either table is short of keys; if any is, ``written`` has all of them: (lang, key, v).
+    """
 
     languages: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
     unseen: np.ndarray
     limits: np.ndarray | None = None
+    cut: list[tuple[bool, bool]] | None = None
+    written: list[tuple[DataFrame, DataFrame]] | None = None
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
         """For each gram and language the log probability of its last character after the others."""
@@ -163,6 +169,22 @@ class Model:
         return result
 
 
+    def is_exact(self, grams: np.ndarray) -> np.ndarray:
+        """For each gram whether the tables here are enough, that is, whether no key is missed that may be among those left out."""
+        exact = np.ones(len(grams), bool)
+        rest = np.arange(len(grams))
+        for order in range(ORDER, 0, -1):
+            own = suffix(grams[rest], order)
+            missed = ~_look_up(self.grams[order], own)[0]
+            rest, own = rest[missed], own[missed]
+            if self.cut[order][0]:
+                exact[rest] = False
+                break
+            if self.cut[order][1]:
+                exact[rest[~_look_up(self.contexts[order], own >> np.uint64(16))[0]]] = False
+        return exact
+
+
 def suffix(grams: np.ndarray, order: int) -> np.ndarray:
     return grams & np.uint64((1 << 16 * order) - 1)
 
@@ -186,7 +208,7 @@ def kneser_ney(counts: DataFrame, languages: list[str], most: int = MOST_VALUES)
 
     Each order takes off an absolute discount n1 / (n1 + 2 n2) of its own; what that frees goes to the order below, the
     lowest to a uniform distribution. Joins of gram tables in Spark; of each table ``most`` numbers at most come to the driver,
-    those of the most frequent grams.
+    those of the most frequent grams; the model refers to the written tables for the others.
     """
     spark = counts.sparkSession
     langs = F.explode(F.array(*[F.lit(x) for x in languages])).alias("lang")
@@ -200,6 +222,8 @@ def kneser_ney(counts: DataFrame, languages: list[str], most: int = MOST_VALUES)
     unseen = float(np.log(1 / (characters + 1)))
     grams: list = [None]
     contexts: list = [None]
+    cut: list = [(False, False)]
+    written: list = [None]
     below = None
     for order in range(1, ORDER + 1):
         t = tables[order].withColumn("context", F.shiftrightunsigned("gram", 16) if order > 1 else F.lit(0).cast("long"))
@@ -224,15 +248,23 @@ def kneser_ney(counts: DataFrame, languages: list[str], most: int = MOST_VALUES)
             chance = F.coalesce("own", F.lit(0.0)) + weight * F.col("q")
         below = settle(joined.select("lang", "gram", chance.alias("p")), "probabilities")
         often = t.groupBy(F.col("gram").alias("key")).agg(F.sum("n").alias("n"))
-        grams.append(_table(below.select("lang", F.col("gram").alias("key"), F.log("p").alias("v")), often, languages, most))
+        values = below.select("lang", F.col("gram").alias("key"), F.log("p").alias("v"))
+        weights = context.select("lang", F.col("context").alias("key"), F.log("weight").alias("v"))
+        table, less_grams = _table(values, often, languages, most)
+        grams.append(table)
         often = context.groupBy(F.col("context").alias("key")).agg(F.sum("total").alias("n"))
-        contexts.append(_table(context.select("lang", F.col("context").alias("key"), F.log("weight").alias("v")),
-                               often, languages, most))
-    return Model(languages, grams, contexts, np.full(len(languages), unseen, np.float32))
+        table, less_contexts = _table(weights, often, languages, most)
+        contexts.append(table)
+        cut.append((less_grams, less_contexts))
+        written.append((values, weights))
+    some = any(any(pair) for pair in cut)
+    return Model(languages, grams, contexts, np.full(len(languages), unseen, np.float32),
+                 cut=cut if some else None, written=written if some else None)
 
 
-def _table(values: DataFrame, often: DataFrame, languages: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of keys and per language their value, 0 without one, of ``values`` (lang, key, v).
+def _table(values: DataFrame, often: DataFrame, languages: list[str],
+           most: int) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """Sorted hashes of keys and per language their value, 0 without one, of ``values`` (lang, key, v); whether keys are left out.
 
     At most ``most`` values: if there are more keys, only those that are counted (``often``: key, n) above a limit, which
     comes from the numbers of keys in eighths of powers of two.
@@ -253,11 +285,23 @@ def _table(values: DataFrame, often: DataFrame, languages: list[str], most: int)
     matrix = np.zeros((len(found), len(languages)), np.float32)
     number = {x: i for i, x in enumerate(languages)}
     matrix[at, [number[x] for x in rows["lang"].to_pylist()]] = rows["v"].to_numpy()
-    return found, matrix
+    return (found, matrix), keys > kept
 
 
 def cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """For each text its number of scored characters, and per language the mean negative log probability."""
+    """For each text its number of scored characters, and per language the mean negative log probability.
+
+    From the tables of ``model`` alone: grams left out of them are left to the order below. :func:`identify` looks those up.
+    """
+    n, total = _sums(model, texts)
+    return n, total / np.maximum(n, 1)[:, None]
+
+
+def _sums(model: Model, texts: list[str | None], left: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its number of scored characters, and per language the sum of negative log probabilities.
+
+    With ``left``, grams that the tables are not enough for are not summed; (text, gram) of each of them is added to it.
+    """
     total = np.zeros((len(texts), len(model.languages)))
     n = np.zeros(len(texts), np.int64)
     for numbers, group in _pieces(texts):
@@ -267,23 +311,91 @@ def cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray,
         step = max(1, SCORED_AT_ONCE // max(1, len(model.languages)))
         for a in range(0, len(grams), step):
             lp, of = model.log_probabilities(grams[a:a + step]), owner[a:a + step]
+            if left is not None:
+                open_ = ~model.is_exact(grams[a:a + step])
+                lp[open_] = 0
+                left.append((np.array(numbers)[of[open_]], grams[a:a + step][open_]))
             starts = np.flatnonzero(np.diff(of, prepend=-1))
             sums = np.add.reduceat(lp, starts, axis=0, dtype=np.float64)
             places = np.array(numbers)[of[starts]]
             np.subtract.at(total, places, sums)
             np.add.at(n, places, np.diff(np.append(starts, len(of))))
-    return n, total / np.maximum(n, 1)[:, None]
+    return n, total
+
+
+def _values(model: Model, wanted: DataFrame) -> DataFrame:
+    """gram, lang, v: the log probabilities of ``wanted`` (gram, distinct) in each language, from the written tables.
+
+    By order from the longest: a gram that is found has its value, the others add the weight of their context and go on.
+    """
+    wanted = settle(wanted, "open")
+    parts = []
+    for order in range(ORDER, 0, -1):
+        values, weights = model.written[order]
+        own = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < ORDER else F.col("gram")
+        found = settle(wanted.select("gram", own.alias("key")).join(values, "key").select("gram", "lang", "v"), "found")
+        wanted = settle(wanted.join(found.select("gram").distinct(), "gram", "left_anti"), "open")
+        context = F.shiftrightunsigned(own, 16) if order > 1 else F.lit(0).cast("long")
+        parts += [found, wanted.select("gram", context.alias("key")).join(weights, "key").select("gram", "lang", "v")]
+    langs = F.explode(F.array(*[F.lit(x) for x in model.languages])).alias("lang")
+    result = wanted.select("gram", langs, F.lit(float(model.unseen[0])).alias("v"))
+    for part in parts:
+        result = result.unionByName(part)
+    return settle(result.groupBy("gram", "lang").agg(F.sum("v").alias("v")), "values")
+
+
+def _summed(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """``keep`` columns, n and ``sums`` per language of every row, where tables are cut: what they lack comes by joins."""
+    box = docs.sparkSession.sparkContext.broadcast(replace(model, written=None))
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left: list = []
+            n, total = _sums(box.value, batch.column("text").to_pylist(), left)
+            text, gram = (np.concatenate(x) for x in zip(*left)) if left else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            order = np.lexsort((gram, text))
+            text, gram = text[order], gram[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
+            starts = np.flatnonzero(new)
+            times = np.diff(np.append(starts, len(text)))
+            of_text = np.searchsorted(text[starts], np.arange(len(n) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({
+                **{c: batch.column(c) for c in keep}, "n": pa.array(n), "sums": pa.array(list(total), pa.list_(pa.float64())),
+                "rest": pa.ListArray.from_arrays(of_text, pa.StructArray.from_arrays(
+                    [pa.array(gram[starts].view("i8")), pa.array(times)], ["gram", "times"]))})
+
+    # Written, so that the numbers of rows stay.
+    rows = settle(by_batch(docs.select(*keep, "text"), work,
+                           f"{kinds}, n long, sums array<double>, rest array<struct<gram: long, times: long>>")
+                  .withColumn("row", F.monotonically_increasing_id()), "rows")
+    rest = rows.select("row", F.explode("rest").alias("r")).select("row", "r.gram", "r.times")
+    values = _values(model, rest.select("gram").distinct())
+    number = F.map_from_arrays(F.array(*[F.lit(x) for x in model.languages]),
+                               F.array(*[F.lit(i) for i in range(len(model.languages))]))
+    added = (rest.join(values, "gram").groupBy("row", "lang").agg(F.sum(F.col("times") * F.col("v")).alias("v"))
+             .groupBy("row").agg(F.array_sort(F.collect_list(F.struct(number[F.col("lang")].alias("i"), "v"))).alias("a")))
+    # A gram has a value in every language, and so has a row with grams.
+    joined = rows.join(added.select("row", F.col("a.v").alias("added")), "row", "left")
+    return joined.select(*keep, "n", F.when(F.col("added").isNull(), F.col("sums")).otherwise(
+        F.zip_with("sums", "added", lambda total, v: total - v)).alias("sums"))
 
 
 def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with lang_pred, score, cross_entropy, rejected of every row."""
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    box = docs.sparkSession.sparkContext.broadcast(replace(model, written=None))
+    cut = model.cut is not None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = box.value
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
-            n, entropy = cross_entropies(m, batch.column("text").to_pylist())
+            if cut:
+                n = batch.column("n").to_numpy()
+                entropy = batch.column("sums").flatten().to_numpy().reshape(len(n), -1) / np.maximum(n, 1)[:, None]
+            else:
+                n, entropy = cross_entropies(m, batch.column("text").to_pylist())
             some = n > 0
             best = np.where(some, entropy.argmin(axis=1) if m.languages else 0, len(m.languages)) if len(
                 m.languages) else np.zeros(len(n), int)
@@ -298,7 +410,7 @@ def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 "rejected": pa.array(~some | (least > limit))})
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return by_batch(docs.select(*keep, "text"), work,
+    return by_batch(_summed(docs, model, keep) if cut else docs.select(*keep, "text"), work,
                     f"{kinds}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
