@@ -160,7 +160,7 @@ def b6(spark: SparkSession, d: str) -> DataFrame:
 @query("B_audit_hospital")
 def b_hospital(spark: SparkSession, d: str) -> DataFrame:
     """Every declared rule over four tables; procedures over size 48 are not in the catalogue."""
-    t = orders_clinic(spark, d)
+    t = orders_clinic(spark, d, keep=True)
     tables = {name: t[name] for name in ("encounter", "performed", "billing")}
     tables["procedure"] = t["procedure"].where("expected_minutes <= 48")
     return quality.audit_hospital(tables, ORDERS_AS_OF)

@@ -10,12 +10,14 @@ unchanged.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardbook.functions import weekday_label
+from wardbook.functions.frames import written
 from wardbook.model import RESIDENT, SUPERVISOR, TURNS
 from wardbook.sources.load import load_tables
 
@@ -133,8 +135,14 @@ class Clinic(Mapping):
         return len(self._builders)
 
 
-def orders_clinic(spark: SparkSession, directory: str) -> Clinic:
-    """Patients are customers, staff are suppliers, encounters orders, procedures parts."""
+def orders_clinic(spark: SparkSession, directory: str, keep: bool = False) -> Clinic:
+    """Patients are customers, staff are suppliers, encounters orders, procedures parts.
+
+    With ``keep`` the facts are derived once and written to the shared folder, for queries that read them many times.
+    """
+
+    def kept(df: DataFrame, job: str) -> DataFrame:
+        return written(df, job) if keep else df
 
     def raw(name: str) -> DataFrame:
         return read_raw(spark, directory, name)[0]
@@ -184,19 +192,21 @@ def orders_clinic(spark: SparkSession, directory: str) -> Clinic:
         )
 
     def encounter() -> DataFrame:
-        return (
+        return kept(
             encounter_requests(*read_raw(spark, directory, "orders", "customer", "lineitem"))
             .transform(with_both)
             .select("encounter_id", "started_at", (1 + F.col("price") % 90).cast("int").alias("minutes"),
-                    "patient_id", "resident_id", "supervisor_id", "unit_id")
-        )
+                    "patient_id", "resident_id", "supervisor_id", "unit_id"), "encounter")
 
+    @cache
     def lines() -> DataFrame:
         # Every line's order exists and every order's customer does, so the lines of
-        # an encounter are those of an order with both kinds of staff.
-        lineitem = raw("lineitem")
-        staffed = with_both(lead_staff(lineitem)).select("encounter_id")
-        return performed_lines(lineitem).join(staffed, "encounter_id", "left_semi")
+        # an encounter are those of an order with both kinds of staff. Lines are dealt out by
+        # order once: the window, the aggregate by pair and its filter need no other exchange.
+        of_order, key = Window.partitionBy("l_orderkey"), F.col("l_suppkey")
+        staffed = raw("lineitem").where("l_orderkey is not null").withColumns({
+            "even": F.max(key % 2 == 0).over(of_order), "odd": F.max(key % 2 == 1).over(of_order)})
+        return kept(performed_lines(staffed.where("even and odd")), "lines")
 
     def performed() -> DataFrame:
         return lines().drop("amount", "flag")
